@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revdelta.llm import bpe, packing, quality_rules, simhash
+from revdelta.llm import bpe, licenses, packing, pii, quality_rules, simhash, url_filters
 from revdelta.llm.common import table
 
 
@@ -18,6 +18,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    of = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("pii", lambda s: s["kind"].isin([k.name for k in pii.BASE]))
+    return found.select(
+        "doc_id",
+        *[of(k.name).alias(f"n_{k.name}") for k in pii.BASE],
+        F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        pii.joined(F.col("pii")).alias("spans"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -30,10 +42,42 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: (verdict, host, path) of the url query's rules.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document of the same number: good if of quality and not toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality = 1 and toxic = 0 as good")
+    return url_filters.judge(pages, labels, URL_RULES).drop("url")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("base_places", lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.labels(F.col("base_places")).alias("base_labels"),
+        licenses.labels(F.concat("base_places", "places")).alias("labels"),
+        "score",
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = quality_rules.passes(quality_rules.BASE_POLICY)
@@ -44,7 +88,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op3_byte_bpe, op6_simhash, op9_quality_rules)}
+    return {f.__name__: f for f in (
+        op1_packing, op2_pii, op3_byte_bpe, op4_url_filters, op6_simhash, op8_licenses, op9_quality_rules,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
