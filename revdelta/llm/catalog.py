@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revdelta.llm import bpe, licenses, packing, pii, quality_rules, simhash, url_filters
-from revdelta.llm.common import table
+from revdelta.llm import bpe, licenses, neighbours, packing, pii, quality_rules, simhash, url_filters
+from revdelta.llm.common import cut, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +87,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(cut(neighbours.index(vectors)), vectors.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_packing, op2_pii, op3_byte_bpe, op4_url_filters, op6_simhash, op8_licenses, op9_quality_rules,
+        op10_neighbours,
     )}
 
 
