@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +44,24 @@ def free(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in wanted])
 
 
+#: Bytes of text that become Python objects at once in a worker.
+SLICE = 4 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most SLICE bytes of its last column, or of one row."""
+    if not batch.num_rows:
+        yield batch
+        return
+    ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -60,9 +80,10 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            kept, texts = batch.columns[:-1], batch.column(batch.num_columns - 1)
-            made = work([x.as_py() for x in texts])
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
+            for part in _slices(batch):
+                kept, texts = part.columns[:-1], part.column(part.num_columns - 1)
+                made = work(texts.to_pylist())
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
 
     bytes_of = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     return df.select(*[F.col(f"`{c}`") for c in df.columns], bytes_of.alias(raw)).mapInArrow(run, schema)
