@@ -1,12 +1,66 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Each stage reads what its predecessor wrote, works on all of it and hands on the columns
+of documents; the last one packs.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from revdelta.llm import packing, pii, quality_rules, simhash, substrings
+from revdelta.llm.common import shared_folder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    kept = quality_rules.ledger(docs).where(quality_rules.passes(quality_rules.POLICY))
+    return kept.select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays."""
+    return simhash.representatives(docs).select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Paragraphs and passages that repeat across documents stay in one of them."""
+    return substrings.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked by its kind."""
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left becomes training sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("repeats", repeats),
+    ("personal_data", personal_data),
+    ("sequences", sequences),
+]
 
-STAGES = []
+#: SQL expresses neither the fingerprints nor the tokens.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; each result is written to the shared folder and read again."""
+    at = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+    return docs

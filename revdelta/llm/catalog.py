@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revdelta.llm import bpe, licenses, neighbours, packing, pii, quality_rules, simhash, url_filters
+from revdelta.llm import bpe, grader, licenses, neighbours, packing, pii, quality_rules, simhash, substrings, url_filters
 from revdelta.llm.common import cut, table
 
 
@@ -59,10 +59,26 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, labels, URL_RULES).drop("url")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = grader.fit(docs, grader.ratings_of(table(spark, sf_dir, "labels")))
+    return grader.grade(docs, model).select(
+        "doc_id",
+        "expected_grade",
+        F.element_at("tails", 1).alias("p_not_toxic"),
+        F.element_at("tails", -1).alias("p_good"),
+        grader.kept().alias("kept"),
+    )
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     starts = F.transform("base_places", lambda p: p["start"])
@@ -93,10 +109,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (
-        op1_packing, op2_pii, op3_byte_bpe, op4_url_filters, op6_simhash, op8_licenses, op9_quality_rules,
-        op10_neighbours,
-    )}
+    found = (
+        op1_packing, op2_pii, op3_byte_bpe, op4_url_filters, op5_substrings, op6_simhash, op7_grades,
+        op8_licenses, op9_quality_rules, op10_neighbours,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
