@@ -12,9 +12,11 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,9 @@ from revdelta.llm.common import free, map_texts
 
 LONGEST = 2048
 END_ID = 1
+WORD_END = "</w>"
 #: Words kept with their ids in a Python worker; when full, it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 #: Characters below are handled word by word; texts with any other go to the tokenizer whole.
 LATIN = 0x250
 
@@ -47,36 +50,49 @@ def _latin() -> tuple[re.Pattern, re.Pattern]:
 
 
 class WordIds:
-    """Ids of texts by a tokenizer whose words are encoded independently of each other.
+    """Ids of texts by a tokenizer whose words are encoded independently of each other
+    and end in tokens marked as word ends.
 
-    encode() gives each text's ids as little-endian unsigned 32-bit bytes, equal to
+    encode() gives the ids of each text as little-endian unsigned 32-bit bytes, equal to
     those of the tokenizer on the whole text.
     """
 
     def __init__(self, tokenizer_file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, text: str) -> bytes:
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words in one text; spaces keep them apart."""
+        ids = self._whole(" ".join(words))
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not encode words independently")
+        flat, start = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist()):
+            self.known[word] = flat[start:end]
+            start = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         odd, pattern = _latin()
-        if odd.search(text):
-            return self._whole([text])[0]
-        words = pattern.findall(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > CACHE_WORDS:
+        split = [None if odd.search(t) else pattern.findall(t.lower()) for t in texts]
+        new = set(chain.from_iterable(x for x in split if x is not None)).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
-            new = list(set(words).difference(self.known))
-            self.known.update(zip(new, self._whole(new)))
-            return b"".join(map(self.known.__getitem__, words))
+                new = set(chain.from_iterable(x for x in split if x is not None))
+            self._learn(list(new))
+        known = self.known.__getitem__
+        return [self._whole(t).tobytes() if x is None else b"".join(map(known, x)) for t, x in zip(texts, split)]
 
 
 def token_ids(docs: DataFrame, tokenizer_file: str, text: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -90,7 +106,8 @@ def token_ids(docs: DataFrame, tokenizer_file: str, text: str = "text", end_id:
         encode = WordIds(tokenizer_file).encode
 
         def work(texts: list[bytes]) -> list[pa.Array]:
-            return [pa.array([encode(t.decode("utf-8", "replace")) + end for t in texts], pa.binary())]
+            found = encode([t.decode("utf-8", "replace") for t in texts])
+            return [pa.array([x + end for x in found], pa.binary())]
 
         return work
 
