@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,32 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a membership bitmap: 8 MB, whatever the data.
+MEMBER_BITS = 1 << 26
+
+
+def possibly_in(df: DataFrame, value: Column, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """df plus a boolean column `name`: false only if `value` is not among keys' `key`.
+
+    The keys' hashes are set in a bitmap of fixed size, which is broadcast (at most 2048
+    rows of 4 KB). It keeps rows out of a later join; where there are so many keys that
+    most bits are set, it merely stops helping. Null values are never among the keys.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MEMBER_BITS))
+    chunk, bits = hidden(df, "chunk"), hidden(df, "bits")
+    hashed = keys.select(bit(F.col(key)).alias("bit"))
+    bitmap = hashed.groupBy(F.shiftright("bit", 15).cast("int").alias(chunk)).agg(
+        F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias(bits)
+    )
+    at = bit(value).bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
+    own = df.withColumn(chunk, F.shiftright(bit(value), 15).cast("int"))
+    joined = own.join(F.broadcast(bitmap), chunk, "left")
+    flag = F.coalesce(held, F.lit(False)) & value.isNotNull()
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], flag.alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,29 +23,30 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from revdelta.llm.common import SLICE, components, cut, stored
+from revdelta.llm.common import SLICE, components, cut, possibly_in, stored
 
 MIN_WORDS = 20
 SHINGLE = 5
 SIMILARITY = 0.8
-#: 16 bands of 5 find a pair of similarity 0.8 with probability 0.998.
-BANDS, ROWS = 16, 5
+#: 8 bands of 3 find a pair of similarity 0.8 with probability 0.997.
+BANDS, ROWS = 8, 3
 #: Words in a run.
 RUN = 24
-#: Bits of a 240-bit sketch of the signature that a similar pair may differ in: 24 are
-#: expected at 0.8, with a deviation of about 6.5.
-SKETCH_BITS = 54
+#: Bits of a 240-bit sketch (3 of each of 80 least hashes) that a similar pair may
+#: differ in: 24 are expected at 0.8, with a deviation of about 6.5.
+SKETCH_HASHES, SKETCH_BITS = 80, 54
 
 _WORD_STARTS = np.zeros(256, bool)
 _WORD_STARTS[[9, 10, 11, 12, 13, 32]] = True
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_PERMUTE = np.random.default_rng(20240229).integers(0, 1 << 63, BANDS * ROWS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_PERMUTE = np.random.default_rng(20240229).integers(0, 1 << 63, SKETCH_HASHES, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 UNITS = T.StructType(
     [
@@ -53,10 +54,9 @@ UNITS = T.StructType(
         T.StructField("start", T.LongType()),
         T.StructField("end", T.LongType()),
         T.StructField("n_words", T.IntegerType()),
-        T.StructField("hi", T.LongType()),
+        T.StructField("hi", T.IntegerType()),
         T.StructField("lo", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("sketch", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -105,20 +105,26 @@ class _Text:
         return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
 
 
-def _signatures(groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(bands, sketches) as signed longs, a row for each group of shingle hashes."""
+def _bands(groups: list[np.ndarray]) -> np.ndarray:
+    """The bands as signed longs, a row for each group of shingle hashes."""
     flat = np.concatenate(groups)
     firsts = np.cumsum([0, *map(len, groups)])[:-1]
     with np.errstate(over="ignore"):
-        least = np.stack([np.minimum.reduceat(flat * p, firsts) for p in _PERMUTE], axis=1)
-        mixed = _mix(least)
+        least = [_mix(np.minimum.reduceat(flat * p, firsts)) for p in _PERMUTE[: BANDS * ROWS]]
         bands = np.zeros((len(groups), BANDS), np.uint64)
-        for i in range(ROWS):
-            bands = bands * _BASES[0] + mixed[:, i::ROWS]
-        bands = _mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * _BASES[1])
-    bits = (mixed[:, :, None] >> np.array([3, 17, 40], np.uint64)) & np.uint64(1)
-    bits = np.pad(bits.reshape(len(groups), -1).astype(np.uint8), ((0, 0), (0, 16)))
-    return bands.view(np.int64), np.packbits(bits, axis=1).view(np.int64)
+        for i, column in enumerate(least):
+            bands[:, i % BANDS] = bands[:, i % BANDS] * _BASES[0] + column
+        return _mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * _BASES[1]).view(np.int64)
+
+
+def _sketches(shingles: pd.Series) -> pd.Series:
+    def one(own: np.ndarray) -> list[int]:
+        with np.errstate(over="ignore"):
+            least = _mix((np.asarray(own, np.int64).view(np.uint64)[:, None] * _PERMUTE).min(axis=0))
+        bits = (least[:, None] >> np.array([3, 17, 40], np.uint64)) & np.uint64(1)
+        return np.packbits(np.pad(bits.astype(np.uint8).ravel(), (0, 16))).view(np.int64).tolist()
+
+    return shingles.map(one)
 
 
 def _units(docs: list[tuple[int, bytes]], lines: bool) -> pa.RecordBatch:
@@ -146,19 +152,17 @@ def _units(docs: list[tuple[int, bytes]], lines: bool) -> pa.RecordBatch:
         columns[1].append(t.starts[first])
         columns[2].append(t.ends[last - 1])
         columns[3].append((last - first).astype(np.int32))
-        columns[4].append(keys[0].view(np.int64))
+        columns[4].append(keys[0].astype(np.uint32).view(np.int32))
         columns[5].append(keys[1].view(np.int64))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     flat = [pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(columns, kinds)]
     n = len(flat[0])
-    if lines and groups:
-        lists = [
-            pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * m.shape[1], pa.int32()), pa.array(m.ravel()))
-            for m in _signatures(groups)
-        ]
+    if groups:
+        ends = pa.array(np.arange(n + 1) * BANDS, pa.int32())
+        bands = pa.ListArray.from_arrays(ends, pa.array(_bands(groups).ravel()))
     else:
-        lists = [pa.nulls(n, pa.list_(pa.int64()))] * 2
-    return pa.RecordBatch.from_arrays([*flat, *lists], names=UNITS.names)
+        bands = pa.nulls(n, pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([*flat, bands], names=UNITS.names)
 
 
 def _key(hashes: np.ndarray, base: np.uint64) -> np.uint64:
@@ -187,27 +191,31 @@ def units(docs: DataFrame, id_col: str, text: str, lines: bool) -> DataFrame:
     return given.where("doc is not null and length(raw) > 0").mapInArrow(run, UNITS)
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, similarity: float) -> DataFrame:
-    """The (u, v) pairs of paragraphs, as places, whose exact Jaccard similarity suffices.
+def _shingles(places: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(p, shingles): the distinct shingles of the paragraphs at `places` (p).
 
-    Only documents that hold a paragraph of some pair are read, and only the paragraphs
-    go on from there.
+    Only documents that hold one are read beyond their id, and only the paragraphs go on.
     """
-    places = pairs.select(F.col("u").alias("p")).unionByName(pairs.select(F.col("v").alias("p"))).distinct()
+    wanted = places.select("p", F.col("p.doc").alias("doc"))
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("words"))
-    texts = own.join(places.select("p", F.col("p.doc").alias("doc")), "doc").select(
+    own = possibly_in(own, F.col("doc"), wanted, "doc", "held").where("held").drop("held")
+    texts = own.join(wanted, "doc").select(
         "p", F.substring("words", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("words")
     )
     lower = F.translate("words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    shingles = F.transform(
+    hashed = F.transform(
         F.sequence(F.lit(1), F.size("ws") - SHINGLE + 1), lambda i: F.xxhash64(F.slice("ws", i, F.lit(SHINGLE)))
     )
-    sets = texts.select("p", words.alias("ws")).select("p", F.array_distinct(shingles).alias("shingles"))
-    sets = cut(sets.groupBy("p").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(sets.select(F.col("p").alias("u"), F.col("shingles").alias("su")), "u").join(
-        sets.select(F.col("p").alias("v"), F.col("shingles").alias("sv")), "v"
-    )
+    sets = texts.select("p", words.alias("ws")).select("p", F.array_distinct(hashed).alias("shingles"))
+    return sets.dropDuplicates(["p"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) pairs whose exact Jaccard similarity suffices."""
+    a = sets.select(F.col("p").alias("u"), F.col("shingles").alias("su"))
+    b = sets.select(F.col("p").alias("v"), F.col("shingles").alias("sv"))
+    both = pairs.join(a, "u").join(b, "v")
     common = F.size(F.array_intersect("su", "sv"))
     return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
@@ -216,63 +224,72 @@ def paragraph_clusters(docs: DataFrame, id_col: str, text: str, similarity: floa
     """(doc, start, end, n_words, kept_doc, kept_start): paragraphs of clusters that span documents."""
     lines = stored(units(docs, id_col, text, lines=True))
     place = F.struct("doc", "start", "end")
-    classes = stored(
-        lines.groupBy("hi", "lo").agg(
-            F.min(place).alias("p"),
-            F.max("doc").alias("last_doc"),
-            F.min_by("bands", place).alias("bands"),
-            F.min_by("sketch", place).alias("sketch"),
-        )
-    )
-    banded = classes.select("p", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("p").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = cut(banded.join(buckets, "band").select("p", "band", "pivot"))
+    keys = ["hi", "lo"]
+    # bands that different classes share; equal paragraphs meet in the partial aggregate
+    banded = lines.select(*keys, F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where("a != b")
+    shared = stored(shared.select("band"))
+    held = possibly_in(banded, F.col("band"), shared, "band", "held").where("held").drop("held")
+    held = held.distinct().join(shared, "band")
+    classes = lines.groupBy(*keys).agg(F.min(place).alias("p"), F.max("doc").alias("last_doc"))
+    named = possibly_in(lines, F.col("lo"), held, "lo", "held").where("held")
+    members = stored(held.join(named.groupBy(*keys).agg(F.min(place).alias("p")), keys).select("p", "band"))
+    sets = stored(_shingles(members.select("p").distinct(), docs, id_col, text))
     # first to the smallest of the bucket, then only between what this leaves apart
-    stars = members.where("p != pivot").select(F.col("pivot").alias("u"), F.col("p").alias("v")).distinct()
-    stars = cut(_similar(stars, docs, id_col, text, similarity))
-    known = cut(components(stars))
+    pivots = members.groupBy("band").agg(F.min("p").alias("pivot"))
+    stars = members.join(pivots, "band").where("p != pivot").select(F.col("pivot").alias("u"), F.col("p").alias("v"))
+    stars = stars.distinct()
+    known = cut(components(_similar(stars, sets, similarity)))
     labelled = members.join(known.withColumnRenamed("node", "p"), "p", "left")
     labelled = labelled.select("p", "band", F.coalesce("component", "p").alias("c"))
     mixed = labelled.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-    labelled = labelled.join(mixed.select("band"), "band").join(classes.select("p", "sketch"), "p")
+    sketches = sets.select("p", F.pandas_udf(_sketches, "array<bigint>")("shingles").alias("sketch"))
+    labelled = labelled.join(mixed.select("band"), "band").join(sketches, "p")
     differ = reduce(
         lambda a, b: a + b, [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(4)]
     )
     one = labelled.select("band", F.col("p").alias("u"), F.col("c").alias("cu"), F.col("sketch").alias("sa"))
     two = labelled.select("band", F.col("p").alias("v"), F.col("c").alias("cv"), F.col("sketch").alias("sb"))
     rest = one.join(two, "band").where((F.col("cu") < F.col("cv")) & (differ <= SKETCH_BITS))
-    tried = members.where("p != pivot").select(F.col("pivot").alias("u"), F.col("p").alias("v"))
-    rest = cut(rest.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"))
+    rest = cut(rest.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti"))
     links = known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(
-        _similar(rest, docs, id_col, text, similarity)
+        _similar(rest, sets, similarity)
     )
     roots = components(links).select(F.col("node").alias("p"), "component")
+    # most classes are one paragraph of one document: they are done with before the next shuffle
     rooted = classes.join(roots, "p", "left").select(
-        "hi", "lo", F.col("p.doc").alias("first_doc"), "last_doc", F.coalesce("component", "p").alias("component")
-    )
+        *keys, F.col("p.doc").alias("first_doc"), "last_doc", F.coalesce("component", "p").alias("component"),
+        F.col("component").isNotNull().alias("linked"),
+    ).where("linked or first_doc < last_doc")
     spread = rooted.groupBy("component").agg(F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).where("a < b")
-    rooted = rooted.join(spread.select("component"), "component")
-    return lines.join(rooted.select("hi", "lo", "component"), ["hi", "lo"]).select(
+    rooted = stored(rooted.join(spread.select("component"), "component").select(*keys, "component"))
+    found = possibly_in(lines.drop("bands"), F.col("lo"), rooted, "lo", "held").where("held").drop("held")
+    return found.join(rooted, keys).select(
         "doc", "start", "end", "n_words", F.col("component.doc").alias("kept_doc"), F.col("component.start").alias("kept_start")
     )
 
 
 def shared_runs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """As paragraph_clusters(), for runs of RUN words that stand in several documents."""
-    runs = stored(units(docs, id_col, text, lines=False).select("doc", "start", "end", "hi", "lo"))
-    keys = runs.groupBy("hi", "lo").agg(F.min(F.struct("doc", "start")).alias("kept"), F.max("doc").alias("last"))
-    keys = keys.where("kept.doc < last").select("hi", "lo", "kept")
-    return runs.join(keys, ["hi", "lo"]).select(
-        "doc", "start", "end", F.lit(RUN).alias("n_words"),
-        F.col("kept.doc").alias("kept_doc"), F.col("kept.start").alias("kept_start"),
-    )
+    """(doc, start, end, n_words, kept_doc, kept_start): runs of RUN words that stand in
+    several documents. kept_start is not known for them.
+
+    The runs are made twice rather than kept: only those whose key repeats are shuffled
+    with their places.
+    """
+    runs = units(docs, id_col, text, lines=False).select("doc", "start", "end", "hi", "lo")
+    keys = runs.groupBy("hi", "lo").agg(F.min("doc").alias("kept_doc"), F.max("doc").alias("last"))
+    keys = stored(keys.where("kept_doc < last").select("hi", "lo", "kept_doc"))
+    found = possibly_in(runs, F.col("lo"), keys, "lo", "held").where("held").drop("held")
+    return found.join(keys, ["hi", "lo"]).select(
+        "doc", "start", "end", F.lit(RUN).alias("n_words"), "kept_doc", F.lit(None).cast("long").alias("kept_start")
+    )
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row for every paragraph or run that repeats across documents, the kept ones too.
 
     Columns: <id_col>, kind ("paragraph" or "run"), start, end (code points from 0, end
-    exclusive), n_words, kept_doc_id, kept_start (what stays of the cluster), removed.
+    exclusive), n_words, kept_doc_id, kept_start (what stays of the cluster; null for runs), removed.
     A paragraph is removed unless it is the kept one; a run unless it is in the kept
     run's document.
     """
@@ -310,7 +327,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarit
     white space stays goes. Documents without repeats pass through unchanged."""
     spans = find(docs, id_col, text, similarity).where("removed").groupBy(id_col)
     spans = spans.agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    joined = docs.join(spans.withColumnRenamed(id_col, "_doc"), F.col(f"`{id_col}`") == F.col("_doc"), "left")
+    spans = stored(spans.withColumnRenamed(id_col, "_doc"))
+    # documents without spans do not take part in the join
+    parted = possibly_in(docs, F.col(f"`{id_col}`"), spans, "_doc", "_held")
+    joined = parted.where("_held").join(spans, F.col(f"`{id_col}`") == F.col("_doc"), "left")
     hit = joined.where("_spans is not null").withColumn(text, remove(F.col(f"`{text}`"), F.col("_spans")))
     hit = hit.where(F.col(f"`{text}`").rlike(r"\S"))
-    return joined.where("_spans is null").unionByName(hit).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = parted.where("not _held").select(*columns)
+    return rest.unionByName(joined.where("_spans is null").select(*columns)).unionByName(hit.select(*columns))
