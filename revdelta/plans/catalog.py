@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from revdelta.plans import reporting
+from revdelta.plans import reporting, wording
 
-MODULES = (reporting,)
+MODULES = (reporting, wording)
 
 
 def queries() -> dict:
