@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from revdelta.plans import reporting, wording
+from revdelta.plans import comparing, reporting, reviewing, visual, wording
 
-MODULES = (reporting, wording)
+MODULES = (reporting, wording, visual, reviewing, comparing)
 
 
 def queries() -> dict:
