@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +30,7 @@ LONGEST = 2048
 END_ID = 1
 WORD_END = "</w>"
 #: Words kept with their ids in a Python worker; when full, it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 #: Characters below are handled word by word; texts with any other go to the tokenizer whole.
 LATIN = 0x250
 
@@ -95,6 +95,12 @@ class WordIds:
         return [self._whole(t).tobytes() if x is None else b"".join(map(known, x)) for t, x in zip(texts, split)]
 
 
+@lru_cache(maxsize=1)
+def word_ids(tokenizer_file: str) -> WordIds:
+    """One for a worker process, so that later tasks find the words of earlier ones."""
+    return WordIds(tokenizer_file)
+
+
 def token_ids(docs: DataFrame, tokenizer_file: str, text: str = "text", end_id: int = END_ID) -> DataFrame:
     """docs plus `ids_le`: the document's ids with the end id, little-endian unsigned 32 bits.
 
@@ -103,7 +109,7 @@ def token_ids(docs: DataFrame, tokenizer_file: str, text: str = "text", end_id:
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        encode = WordIds(tokenizer_file).encode
+        encode = word_ids(tokenizer_file).encode
 
         def work(texts: list[bytes]) -> list[pa.Array]:
             found = encode([t.decode("utf-8", "replace") for t in texts])
