@@ -222,7 +222,7 @@ def search(
     held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(points: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        none = {"query_id": np.array([], np.int64), "ids": [], "score": np.array([], np.float64)}
+        none = {"query_id": np.array([], np.int64), "ids": pd.Series([], dtype=object), "score": np.array([], np.float64)}
         if points.empty or questions.empty:
             return pd.DataFrame(none)
         return _search_shard(points, questions, k, beam)

@@ -46,7 +46,8 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", r"card|karte|tarjeta|carte|visa|credit|payment", 0.7),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"tel|phone|call|mobil|fax", 0.6, "+"),
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        "iban",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
         r"iban|konto|account|cuenta|compte|bank", 0.7,
     ),
 )
