@@ -87,7 +87,7 @@ def free(df: DataFrame, *names: str) -> DataFrame:
 
 
 #: Bytes of text that become Python objects at once in a worker.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -131,11 +131,8 @@ def map_texts(
     return df.select(*[F.col(f"`{c}`") for c in df.columns], bytes_of.alias(raw)).mapInArrow(run, schema)
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    def digest(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    return digest(a) == digest(b)
+def _digest(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -149,16 +146,18 @@ def components(edges: DataFrame) -> DataFrame:
     u, v = F.col("u"), F.col("v")
     edges = edges.toDF("u", "v").where(u.isNotNull() & v.isNotNull() & (u != v))
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    seen = _digest(now)
     while True:
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v"))
-        large = large.where(u != v).distinct()
+        large = large.where(u != v)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
         small = star.where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         after = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        if _same(now, after):
+        last, seen = seen, _digest(after)
+        if last == seen:
             break
         now = after
     roots = after.select(F.col("v").alias("node")).distinct()

@@ -20,12 +20,9 @@ one document. An empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -39,14 +36,13 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 #: Words in a run.
 RUN = 24
-#: Bits of a 240-bit sketch (3 of each of 80 least hashes) that a similar pair may
-#: differ in: 24 are expected at 0.8, with a deviation of about 6.5.
-SKETCH_HASHES, SKETCH_BITS = 80, 54
+#: Drawn members with which a prefix bucket is compared before its pairs are.
+PIVOTS = 12
 
 _WORD_STARTS = np.zeros(256, bool)
 _WORD_STARTS[[9, 10, 11, 12, 13, 32]] = True
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_PERMUTE = np.random.default_rng(20240229).integers(0, 1 << 63, SKETCH_HASHES, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_PERMUTE = np.random.default_rng(20240229).integers(0, 1 << 63, BANDS * ROWS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 UNITS = T.StructType(
     [
@@ -110,23 +106,13 @@ def _bands(groups: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(groups)
     firsts = np.cumsum([0, *map(len, groups)])[:-1]
     with np.errstate(over="ignore"):
-        least = [_mix(np.minimum.reduceat(flat * p, firsts)) for p in _PERMUTE[: BANDS * ROWS]]
+        least = [_mix(np.minimum.reduceat(flat * p, firsts)) for p in _PERMUTE]
         bands = np.zeros((len(groups), BANDS), np.uint64)
         for i, column in enumerate(least):
             bands[:, i % BANDS] = bands[:, i % BANDS] * _BASES[0] + column
         return _mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * _BASES[1]).view(np.int64)
 
 
-def _sketches(shingles: pd.Series) -> pd.Series:
-    def one(own: np.ndarray) -> list[int]:
-        with np.errstate(over="ignore"):
-            least = _mix((np.asarray(own, np.int64).view(np.uint64)[:, None] * _PERMUTE).min(axis=0))
-        bits = (least[:, None] >> np.array([3, 17, 40], np.uint64)) & np.uint64(1)
-        return np.packbits(np.pad(bits.astype(np.uint8).ravel(), (0, 16))).view(np.int64).tolist()
-
-    return shingles.map(one)
-
-
 def _units(docs: list[tuple[int, bytes]], lines: bool) -> pa.RecordBatch:
     columns: list[list] = [[] for _ in range(6)]
     groups: list[np.ndarray] = []
@@ -220,6 +206,65 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(s, p, n, at): the first n - ceil(similarity * n) + 1 of each paragraph's n shingles,
+    rarest first; similar paragraphs share one of them."""
+    rows = sets.select("p", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    counts = rows.groupBy("s").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("p").orderBy("df", "s"))
+    ranked = rows.join(counts, "s").withColumn("at", rank)
+    return ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity) + 1) & (F.col("df") > 1)).drop("df")
+
+
+def _enough(similarity: float) -> Column:
+    """Whether what follows a shared shingle is long enough for the overlap that is needed."""
+    left = F.least(F.col("nu") - F.col("au"), F.col("nv") - F.col("av")) + 1
+    return left >= (F.col("nu") + F.col("nv")) * (similarity / (1 + similarity)) - 1e-9
+
+
+def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    named = rows.join(known.withColumnRenamed("node", "p"), "p", "left")
+    return named.withColumn("c", F.coalesce("component", "p")).drop("component")
+
+
+def _as_edges(known: DataFrame) -> DataFrame:
+    return known.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def _connect(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Components after linking what is similar among `sets` and not connected yet.
+
+    A family of variants has as many similar pairs as its size squared, but a few links
+    connect it. So each prefix bucket is first compared with members drawn from it, and only pairs that are then still apart are compared one by one.
+    """
+    # numbers instead of places: what follows is shuffled several times
+    named = stored(_labelled(sets.select("p", "shingles"), known).withColumn("id", F.monotonically_increasing_id()))
+    roots = named.groupBy("c").agg(F.min("id").alias("component"))
+    labels = cut(named.select("c", F.col("id").alias("node")).join(roots, "c").select("node", "component"))
+    own = named.select(F.col("id").alias("p"), "shingles")
+    prefix = stored(_prefixes(own, similarity))
+    rows = _labelled(prefix, labels)
+    mixed = rows.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("s")
+    rows = rows.join(mixed, "s")
+    drawn = [F.min(F.struct(F.hash("p", F.lit(i)), "p", "n", "at", "c")) for i in range(PIVOTS)]
+    pivots = rows.groupBy("s").agg(F.array_distinct(F.array(*drawn)).alias("ds")).select("s", F.explode("ds").alias("d"))
+    both = rows.join(pivots, "s").where("c != d.c").select(
+        F.least("d.p", "p").alias("u"), F.greatest("d.p", "p").alias("v"), F.col("d.n").alias("nu"), F.col("n").alias("nv"),
+        F.col("d.at").alias("au"), F.col("at").alias("av"),
+    )
+    new = _similar(both.where(_enough(similarity)).select("u", "v").distinct(), own, similarity)
+    labels = cut(components(_as_edges(labels).unionByName(new)))
+    rows = _labelled(prefix, labels)
+    one = rows.select("s", F.col("p").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"))
+    two = rows.select("s", F.col("p").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"))
+    rest = one.join(two, "s").where((F.col("cu") < F.col("cv")) & _enough(similarity)).select("u", "v").distinct()
+    linked = _as_edges(labels).unionByName(_similar(rest, own, similarity)).where("u != v")
+    places = named.select("id", "p")
+    back = linked.join(places.withColumnsRenamed({"id": "u", "p": "a"}), "u")
+    back = back.join(places.withColumnsRenamed({"id": "v", "p": "b"}), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return components(_as_edges(known).unionByName(back))
+
+
 def paragraph_clusters(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataFrame:
     """(doc, start, end, n_words, kept_doc, kept_start): paragraphs of clusters that span documents."""
     lines = stored(units(docs, id_col, text, lines=True))
@@ -235,27 +280,16 @@ def paragraph_clusters(docs: DataFrame, id_col: str, text: str, similarity: floa
     named = possibly_in(lines, F.col("lo"), held, "lo", "held").where("held")
     members = stored(held.join(named.groupBy(*keys).agg(F.min(place).alias("p")), keys).select("p", "band"))
     sets = stored(_shingles(members.select("p").distinct(), docs, id_col, text))
-    # first to the smallest of the bucket, then only between what this leaves apart
-    pivots = members.groupBy("band").agg(F.min("p").alias("pivot"))
+    # first to the shortest of the bucket, which other paragraphs may contain
+    length = F.col("p.end") - F.col("p.start")
+    pivots = members.groupBy("band").agg(F.min(F.struct(length, "p")).alias("least")).select("band", F.col("least.p").alias("pivot"))
     stars = members.join(pivots, "band").where("p != pivot").select(F.col("pivot").alias("u"), F.col("p").alias("v"))
-    stars = stars.distinct()
-    known = cut(components(_similar(stars, sets, similarity)))
-    labelled = members.join(known.withColumnRenamed("node", "p"), "p", "left")
-    labelled = labelled.select("p", "band", F.coalesce("component", "p").alias("c"))
+    known = cut(components(_similar(stars.distinct(), sets, similarity)))
+    # then what this leaves apart within a bucket
+    labelled = _labelled(members, known)
     mixed = labelled.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-    sketches = sets.select("p", F.pandas_udf(_sketches, "array<bigint>")("shingles").alias("sketch"))
-    labelled = labelled.join(mixed.select("band"), "band").join(sketches, "p")
-    differ = reduce(
-        lambda a, b: a + b, [F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(4)]
-    )
-    one = labelled.select("band", F.col("p").alias("u"), F.col("c").alias("cu"), F.col("sketch").alias("sa"))
-    two = labelled.select("band", F.col("p").alias("v"), F.col("c").alias("cv"), F.col("sketch").alias("sb"))
-    rest = one.join(two, "band").where((F.col("cu") < F.col("cv")) & (differ <= SKETCH_BITS))
-    rest = cut(rest.select("u", "v").distinct().join(stars, ["u", "v"], "left_anti"))
-    links = known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(
-        _similar(rest, sets, similarity)
-    )
-    roots = components(links).select(F.col("node").alias("p"), "component")
+    apart = labelled.join(mixed.select("band"), "band").select("p").distinct()
+    roots = _connect(apart.join(sets, "p"), known, similarity).select(F.col("node").alias("p"), "component")
     # most classes are one paragraph of one document: they are done with before the next shuffle
     rooted = classes.join(roots, "p", "left").select(
         *keys, F.col("p.doc").alias("first_doc"), "last_doc", F.coalesce("component", "p").alias("component"),
@@ -273,10 +307,10 @@ def shared_runs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(doc, start, end, n_words, kept_doc, kept_start): runs of RUN words that stand in
     several documents. kept_start is not known for them.
 
-    The runs are made twice rather than kept: only those whose key repeats are shuffled
-    with their places.
+    All runs are shuffled by key and document only; with their places only those whose
+    key repeats.
     """
-    runs = units(docs, id_col, text, lines=False).select("doc", "start", "end", "hi", "lo")
+    runs = stored(units(docs, id_col, text, lines=False).select("doc", "start", "end", "hi", "lo"))
     keys = runs.groupBy("hi", "lo").agg(F.min("doc").alias("kept_doc"), F.max("doc").alias("last"))
     keys = stored(keys.where("kept_doc < last").select("hi", "lo", "kept_doc"))
     found = possibly_in(runs, F.col("lo"), keys, "lo", "held").where("held").drop("held")
@@ -316,7 +350,8 @@ def remove(text: Column, spans: Column) -> Column:
                 at = max(at, end)
                 if (start == 0 or t[start - 1] == "\n") and t[at : at + 1] == "\n":
                     at += 1
-            out.append("".join([*kept, t[at:]]))
+            whole = "".join([*kept, t[at:]])
+            out.append(whole.removesuffix("\n") if at == len(t) else whole)
         return type(texts)(out)
 
     return without(text, spans)
