@@ -207,13 +207,15 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(s, p, n, at): the first n - ceil(similarity * n) + 1 of each paragraph's n shingles,
-    rarest first; similar paragraphs share one of them."""
+    """(s, p, n, at, before): the first n - ceil(similarity * n) + 1 of each paragraph's n shingles,
+    rarest first; similar paragraphs share one of them. before holds those ahead of s."""
     rows = sets.select("p", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = rows.groupBy("s").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("p").orderBy("df", "s"))
     ranked = rows.join(counts, "s").withColumn("at", rank)
-    return ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity) + 1) & (F.col("df") > 1)).drop("df")
+    prefix = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity) + 1) & (F.col("df") > 1))
+    ahead = Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return prefix.select("s", "p", "n", "at", F.collect_list("s").over(ahead).alias("before"))
 
 
 def _enough(similarity: float) -> Column:
@@ -243,7 +245,7 @@ def _connect(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     labels = cut(named.select("c", F.col("id").alias("node")).join(roots, "c").select("node", "component"))
     own = named.select(F.col("id").alias("p"), "shingles")
     prefix = stored(_prefixes(own, similarity))
-    rows = _labelled(prefix, labels)
+    rows = _labelled(prefix.drop("before"), labels)
     mixed = rows.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("s")
     rows = rows.join(mixed, "s")
     drawn = [F.min(F.struct(F.hash("p", F.lit(i)), "p", "n", "at", "c")) for i in range(PIVOTS)]
@@ -255,9 +257,11 @@ def _connect(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     new = _similar(both.where(_enough(similarity)).select("u", "v").distinct(), own, similarity)
     labels = cut(components(_as_edges(labels).unionByName(new)))
     rows = _labelled(prefix, labels)
-    one = rows.select("s", F.col("p").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"))
-    two = rows.select("s", F.col("p").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"))
-    rest = one.join(two, "s").where((F.col("cu") < F.col("cv")) & _enough(similarity)).select("u", "v").distinct()
+    one = rows.select("s", F.col("p").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"), F.col("before").alias("bu"))
+    two = rows.select("s", F.col("p").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"), F.col("before").alias("bv"))
+    # a pair meets at the first shingle that it shares only
+    first = ~F.arrays_overlap("bu", "bv")
+    rest = one.join(two, "s").where((F.col("cu") < F.col("cv")) & _enough(similarity) & first).select("u", "v")
     linked = _as_edges(labels).unionByName(_similar(rest, own, similarity)).where("u != v")
     places = named.select("id", "p")
     back = linked.join(places.withColumnsRenamed({"id": "u", "p": "a"}), "u")
