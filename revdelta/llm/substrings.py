@@ -8,7 +8,9 @@ connected components are the clusters, of which one paragraph stays.
 Passages that were pasted into longer lines hide from paragraphs. So runs of RUN words
 are compared too, wherever they stand: of every RUN neighbouring starts the one with the
 least hash is taken, so two texts that share 2 * RUN - 1 words in a row share a run that
-both take. Runs that stand in several documents stay in the first one only.
+both take. Around a taken run that stands in several documents every run counts, taken or
+not: whatever stands in an earlier document too goes, so a shared passage of 2 * RUN - 1
+words or more goes whole.
 
 Class tables, bands and runs are shuffled as hashes and places; text is read again only
 for classes that share a band with another.
@@ -55,6 +57,28 @@ UNITS = T.StructType(
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
+#: A taken run that starts at word `at`.
+RUNS = T.StructType(
+    [
+        T.StructField("doc", T.LongType()),
+        T.StructField("at", T.IntegerType()),
+        T.StructField("hi", T.IntegerType()),
+        T.StructField("lo", T.LongType()),
+    ]
+)
+#: Words first to last (exclusive) of a document: a run whose key is to be looked up, or a span whose keeper is known.
+SPANS = T.StructType(
+    [
+        T.StructField("doc", T.LongType()),
+        T.StructField("first", T.IntegerType()),
+        T.StructField("last", T.IntegerType()),
+        T.StructField("start", T.LongType()),
+        T.StructField("end", T.LongType()),
+        T.StructField("hi", T.IntegerType()),
+        T.StructField("lo", T.LongType()),
+        T.StructField("kept_doc", T.LongType()),
+    ]
+)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -100,6 +124,11 @@ class _Text:
         windows = np.lib.stride_tricks.sliding_window_view(order, RUN)
         return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
 
+    def run_keys(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """hi and lo of the runs that start at the words `first`."""
+        a, b = (_rolled(self.hashes, RUN, base)[first] for base in _BASES)
+        return a.astype(np.uint32).view(np.int32), b.view(np.int64)
+
 
 def _bands(groups: list[np.ndarray]) -> np.ndarray:
     """The bands as signed longs, a row for each group of shingle hashes."""
@@ -113,27 +142,20 @@ def _bands(groups: list[np.ndarray]) -> np.ndarray:
         return _mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * _BASES[1]).view(np.int64)
 
 
-def _units(docs: list[tuple[int, bytes]], lines: bool) -> pa.RecordBatch:
+def _paragraphs(docs: list[tuple]) -> pa.RecordBatch:
     columns: list[list] = [[] for _ in range(6)]
     groups: list[np.ndarray] = []
     for doc, text in docs:
         t = _Text(text)
-        if lines:
-            shingles = _rolled(t.hashes, SHINGLE, _BASES[0])
-            found = t.paragraphs()
-            first = np.array([a for a, _ in found], np.int64)
-            last = np.array([b for _, b in found], np.int64)
-            groups += [shingles[a : b - SHINGLE + 1] for a, b in found]
-            keys = [[int(_key(t.hashes[a:b], base)) for a, b in found] for base in _BASES]
-            keys = [np.array(k, np.uint64) for k in keys]
-        else:
-            first = t.runs()
-            last = first + RUN
-            keys = [_rolled(t.hashes, RUN, base)[first] for base in _BASES]
-            _, once = np.unique(keys[0], return_index=True)
-            first, last, keys = first[once], last[once], [k[once] for k in keys]
-        if not len(first):
+        shingles = _rolled(t.hashes, SHINGLE, _BASES[0])
+        found = t.paragraphs()
+        if not found:
             continue
+        first = np.array([a for a, _ in found], np.int64)
+        last = np.array([b for _, b in found], np.int64)
+        groups += [shingles[a : b - SHINGLE + 1] for a, b in found]
+        keys = [[int(_key(t.hashes[a:b], base)) for a, b in found] for base in _BASES]
+        keys = [np.array(k, np.uint64) for k in keys]
         columns[0].append(np.full(len(first), doc, np.int64))
         columns[1].append(t.starts[first])
         columns[2].append(t.ends[last - 1])
@@ -151,6 +173,70 @@ def _units(docs: list[tuple[int, bytes]], lines: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*flat, bands], names=UNITS.names)
 
 
+def _taken(docs: list[tuple]) -> pa.RecordBatch:
+    columns: list[list] = [[] for _ in RUNS]
+    for doc, text in docs:
+        t = _Text(text)
+        first = t.runs()
+        if not len(first):
+            continue
+        keys = t.run_keys(first)
+        _, once = np.unique(keys[0], return_index=True)
+        first, keys = first[once], [k[once] for k in keys]
+        for column, values in zip(columns, (np.full(len(first), doc, np.int64), first, *keys)):
+            column.append(values)
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    flat = [pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(columns, kinds)]
+    return pa.RecordBatch.from_arrays(flat, names=RUNS.names)
+
+
+def _spans(docs: list[tuple]) -> pa.RecordBatch:
+    """The shared taken runs of documents with what has to be looked up around them.
+
+    Taken runs that follow each other by RUN words at most, here as in the document that
+    keeps them, are one span of a known keeper. Runs inside it stand in the keeper, which
+    looks them up itself, so here only those that leave the span are looked up.
+    """
+    columns: list[list] = [[] for _ in SPANS]
+    for doc, text, hits in docs:
+        t = _Text(text)
+        n = len(t.hashes) - RUN + 1
+        hits = sorted((h["at"], h["kept_doc"], h["kept_at"], h["lo"]) for h in hits)
+        at, kept, there, lo = (np.array(c, np.int64) for c in zip(*hits))
+        real = at < n  # rows that repeat an id may have other texts
+        real[real] = t.run_keys(at[real])[1] == lo[real]
+        at, kept, there = at[real], kept[real], there[real]
+        if not len(at):
+            continue
+        wanted = np.zeros(n + 1, np.int64)
+        np.add.at(wanted, np.maximum(at - RUN + 1, 0), 1)
+        np.add.at(wanted, np.minimum(at + RUN, n), -1)
+        follows = (np.diff(at) <= RUN) & (kept[1:] == kept[:-1]) & (np.diff(at) == np.diff(there))
+        heads = np.flatnonzero(np.concatenate([[True], ~follows]))
+        tails = np.concatenate([heads[1:], [len(at)]]) - 1
+        inside = np.zeros(n + 1, np.int64)
+        others = kept[heads] != doc
+        np.add.at(inside, at[heads][others], 1)
+        np.add.at(inside, at[tails][others] + 1, -1)
+        asked = np.flatnonzero((np.cumsum(wanted)[:n] > 0) & (np.cumsum(inside)[:n] == 0))
+        first = np.concatenate([at[heads], asked])
+        last = np.concatenate([at[tails], asked]) + RUN
+        hi, low = t.run_keys(asked)
+        known = np.zeros(len(heads), np.int64)
+        keeper = np.ma.masked_array(np.concatenate([kept[heads], np.zeros(len(asked), np.int64)]), np.arange(len(first)) >= len(heads))
+        values = (
+            np.full(len(first), doc, np.int64), first, last, t.starts[first], t.ends[last - 1],
+            np.concatenate([known.astype(np.int32), hi]), np.concatenate([known, low]), keeper,
+        )
+        for column, value in zip(columns, values):
+            column.append(value)
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    flat = [pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(columns, kinds)]
+    keepers = np.ma.concatenate(columns[-1]) if columns[-1] else np.ma.masked_array(np.zeros(0, np.int64), np.zeros(0, bool))
+    flat.append(pa.array(keepers.data, pa.int64(), mask=np.ma.getmaskarray(keepers)))
+    return pa.RecordBatch.from_arrays(flat, names=SPANS.names)
+
+
 def _key(hashes: np.ndarray, base: np.uint64) -> np.uint64:
     """A hash of all the words of a paragraph."""
     with np.errstate(over="ignore"):
@@ -159,22 +245,31 @@ def _key(hashes: np.ndarray, base: np.uint64) -> np.uint64:
 
 
 
-def units(docs: DataFrame, id_col: str, text: str, lines: bool) -> DataFrame:
-    """Paragraphs (lines=True) or taken runs of all documents, as UNITS."""
+def _sliced(rows: DataFrame, work, schema: T.StructType) -> DataFrame:
+    """work() over (doc, raw, ...) rows in lists of about SLICE bytes of raw."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, others = batch.column(0).to_pylist(), batch.columns[1:]
             at, size = [], 0
             for i, doc in enumerate(ids):
-                at.append((doc, texts[i].as_py()))
+                at.append((doc, *[c[i].as_py() for c in others]))
                 size += len(at[-1][1])
                 if size >= SLICE or i + 1 == len(ids):
-                    yield _units(at, lines)
+                    yield work(at)
                     at, size = [], 0
 
+    return rows.mapInArrow(run, schema)
+
+
+def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("raw"))
-    return given.where("doc is not null and length(raw) > 0").mapInArrow(run, UNITS)
+    return given.where("doc is not null and length(raw) > 0")
+
+
+def units(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Paragraphs of all documents, as UNITS."""
+    return _sliced(_texts(docs, id_col, text), _paragraphs, UNITS)
 
 
 def _shingles(places: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -271,7 +366,7 @@ def _connect(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
 
 def paragraph_clusters(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataFrame:
     """(doc, start, end, n_words, kept_doc, kept_start): paragraphs of clusters that span documents."""
-    lines = stored(units(docs, id_col, text, lines=True))
+    lines = stored(units(docs, id_col, text))
     place = F.struct("doc", "start", "end")
     keys = ["hi", "lo"]
     # bands that different classes share; equal paragraphs meet in the partial aggregate
@@ -308,28 +403,45 @@ def paragraph_clusters(docs: DataFrame, id_col: str, text: str, similarity: floa
 
 
 def shared_runs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, start, end, n_words, kept_doc, kept_start): runs of RUN words that stand in
-    several documents. kept_start is not known for them.
+    """(doc, start, end, n_words, kept_doc, kept_start): passages that stand in several
+    documents. kept_start is not known for them.
 
-    All runs are shuffled by key and document only; with their places only those whose
-    key repeats.
+    All taken runs are shuffled by key and place; texts are read again only where a taken
+    run is shared. There every run is looked up that leaves what is known, and overlapping
+    finds with the same keeper are one passage.
     """
-    runs = stored(units(docs, id_col, text, lines=False).select("doc", "start", "end", "hi", "lo"))
-    keys = runs.groupBy("hi", "lo").agg(F.min("doc").alias("kept_doc"), F.max("doc").alias("last"))
-    keys = stored(keys.where("kept_doc < last").select("hi", "lo", "kept_doc"))
-    found = possibly_in(runs, F.col("lo"), keys, "lo", "held").where("held").drop("held")
-    return found.join(keys, ["hi", "lo"]).select(
-        "doc", "start", "end", F.lit(RUN).alias("n_words"), "kept_doc", F.lit(None).cast("long").alias("kept_start")
-    )
+    texts = _texts(docs, id_col, text)
+    runs = stored(_sliced(texts, _taken, RUNS))
+    keys = runs.groupBy("hi", "lo").agg(F.min(F.struct("doc", "at")).alias("kept"), F.max("doc").alias("most"))
+    keys = keys.where("kept.doc < most").select("hi", "lo", F.col("kept.doc").alias("kept_doc"), F.col("kept.at").alias("kept_at"))
+    keys = stored(keys)
+    held = possibly_in(runs, F.col("lo"), keys, "lo", "held").where("held").drop("held")
+    hits = held.join(keys, ["hi", "lo"]).groupBy("doc").agg(F.collect_list(F.struct("at", "kept_doc", "kept_at", "lo")).alias("hits"))
+    hits = stored(hits)
+    own = possibly_in(texts, F.col("doc"), hits, "doc", "held").where("held").drop("held")
+    spans = stored(_sliced(own.join(hits, "doc"), _spans, SPANS))
+    asked = spans.where("kept_doc is null").drop("kept_doc")
+    keepers = asked.groupBy("hi", "lo").agg(F.min("doc").alias("kept_doc"), F.max("doc").alias("most"))
+    keepers = stored(keepers.where("kept_doc < most").drop("most"))
+    again = possibly_in(asked, F.col("lo"), keepers, "lo", "held").where("held").drop("held").join(keepers, ["hi", "lo"])
+    found = spans.where("kept_doc is not null").drop("hi", "lo").unionByName(again.drop("hi", "lo"))
+    order = Window.partitionBy("doc", "kept_doc").orderBy("first")
+    ahead = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("first") <= ahead, 0).otherwise(1)
+    merged = found.withColumn("opens", opens).withColumn("passage", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return merged.groupBy("doc", "kept_doc", "passage").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("first")).alias("n_words")
+    ).select("doc", "start", "end", "n_words", "kept_doc", F.lit(None).cast("long").alias("kept_start"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row for every paragraph or run that repeats across documents, the kept ones too.
+    """A row for every paragraph or passage of runs that repeats across documents, the kept
+    ones too.
 
     Columns: <id_col>, kind ("paragraph" or "run"), start, end (code points from 0, end
     exclusive), n_words, kept_doc_id, kept_start (what stays of the cluster; null for runs), removed.
-    A paragraph is removed unless it is the kept one; a run unless it is in the kept
-    run's document.
+    A paragraph is removed unless it is the kept one; a passage unless it is in the
+    document that keeps it.
     """
     lines = paragraph_clusters(docs, id_col, text, similarity).withColumn("kind", F.lit("paragraph"))
     lines = lines.withColumn("removed", F.expr("doc != kept_doc or start != kept_start"))

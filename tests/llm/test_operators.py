@@ -239,6 +239,27 @@ def test_substrings(spark):
     assert substrings.find(empty(spark)).count() == 0
 
 
+def test_pasted_passages_are_removed_whole(spark):
+    texts, want = [], []
+    for k in range(40):
+        passage, lead, tail = paragraph(1000 + k, 51 if k % 2 else 60), paragraph(2000 + k, 33), paragraph(3000 + k, 37)
+        texts += [f"{paragraph(4000 + k, 30)} {passage} {paragraph(5000 + k, 30)}", f"{lead} before {passage} behind {tail}"]
+        want += [texts[-2].split(), f"{lead} before behind {tail}".split()]
+    # the keeper of the middle has less of the passage than a later document
+    whole = paragraph(6000, 140).split()
+    texts += [" ".join([paragraph(6001, 30), *whole[40:100], paragraph(6002, 30)])]
+    texts += [" ".join([paragraph(6001 + 2 * k, 30), *whole, paragraph(6002 + 2 * k, 30)]) for k in (1, 2)]
+    want += [texts[-3].split(), [*paragraph(6003, 30).split(), *whole[:40], *whole[100:], *paragraph(6004, 30).split()]]
+    want += [[*paragraph(6005, 30).split(), *paragraph(6006, 30).split()]]
+    frame = spark.createDataFrame(list(enumerate(texts)), TEXT)
+    left = {r.doc_id: r.text.split() for r in substrings.dedup(frame).collect()}
+    assert [left[i] for i in range(len(texts))] == want
+    found = substrings.find(frame).where("kind = 'run' and doc_id < 80").collect()
+    assert sorted((r.doc_id, r.kept_doc_id, r.n_words, r.removed) for r in found) == [
+        (i, i - i % 2, 51 if i // 2 % 2 else 60, i % 2 == 1) for i in range(80)
+    ]
+
+
 def test_similar_families_are_found_whole(spark):
     rng = random.Random(8)
     base = paragraph(11, 70).split()
