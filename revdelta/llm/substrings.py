@@ -114,7 +114,7 @@ class _Text:
         return [(a, b) for a, b in zip(self.lines.tolist(), self.lines[1:].tolist()) if b - a >= MIN_WORDS]
 
     def runs(self) -> np.ndarray:
-        """Starts (word numbers) of the runs that are taken, each distinct run once."""
+        """Starts (word numbers) of the runs that are taken, wherever a run is repeated too."""
         n = len(self.hashes) - RUN + 1
         if n <= 0:
             return np.zeros(0, np.int64)
@@ -180,10 +180,7 @@ def _taken(docs: list[tuple]) -> pa.RecordBatch:
         first = t.runs()
         if not len(first):
             continue
-        keys = t.run_keys(first)
-        _, once = np.unique(keys[0], return_index=True)
-        first, keys = first[once], [k[once] for k in keys]
-        for column, values in zip(columns, (np.full(len(first), doc, np.int64), first, *keys)):
+        for column, values in zip(columns, (np.full(len(first), doc, np.int64), first, *t.run_keys(first))):
             column.append(values)
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     flat = [pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(columns, kinds)]

@@ -260,6 +260,19 @@ def test_pasted_passages_are_removed_whole(spark):
     ]
 
 
+def test_every_place_of_a_shared_passage_is_found(spark):
+    passage, same = paragraph(7000, 55), "again " * 90
+    piece = [paragraph(7001 + k, 30) for k in range(12)]
+    texts = [
+        f"{piece[0]} {passage} {piece[1]} {passage} {piece[2]}", f"{piece[3]} {passage} {piece[4]} {passage} {piece[5]}\n{piece[6]} {passage} end",
+        f"{piece[7]} {same}{piece[8]}", f"{piece[9]} {same}{piece[10]} {same}{piece[11]}",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), TEXT)
+    left = {r.doc_id: r.text.split() for r in substrings.dedup(frame).collect()}
+    assert left[0] == texts[0].split() and left[2] == texts[2].split()
+    assert left[1] == " ".join([*piece[3:7], "end"]).split() and left[3] == " ".join(piece[9:12]).split()
+
+
 def test_similar_families_are_found_whole(spark):
     rng = random.Random(8)
     base = paragraph(11, 70).split()
