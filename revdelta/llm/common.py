@@ -18,16 +18,23 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df now and cut its lineage with a checkpoint.
 
     The checkpoint goes to the folder that the session names in spark.checkpoint.dir,
-    so it outlives executors; only where nothing is named (tests) a temporary one is set.
+    so it outlives executors.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder serves a session in one local process; a cluster
+    must name one, as a machine's own folder would lose rows there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if named is None and not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return named or spark.sparkContext.getCheckpointDir()
 

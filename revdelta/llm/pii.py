@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revdelta.llm.common import free
+from revdelta.llm.common import free, hidden
 
 #: Spans are numbered in blocks: each append to an array copies it.
 BLOCK = 64

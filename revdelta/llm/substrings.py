@@ -1,23 +1,27 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Paragraphs are lines of at least MIN_WORDS words. Equal ones (without regard to case of
-A-Z and to spacing) are one class. Each class has a MinHash signature over its five-word
-shingles; bands of it find classes to compare, exact Jaccard similarity decides, and
-connected components are the clusters, of which one paragraph stays.
-
-Passages that were pasted into longer lines hide from paragraphs. So runs of RUN words
-are compared too, wherever they stand: of every RUN neighbouring starts the one with the
-least hash is taken, so two texts that share 2 * RUN - 1 words in a row share a run that
-both take. Around a taken run that stands in several documents every run counts, taken or
-not: whatever stands in an earlier document too goes, so a shared passage of 2 * RUN - 1
-words or more goes whole.
+Paragraphs are lines of at least `min_words` words; shorter lines that follow each other
+without a blank line are one paragraph together, as in hard-wrapped text. Equal ones
+(without regard to case of A-Z and to spacing) are one class. Each class has a MinHash
+signature over its five-word shingles; bands of it find classes to compare, exact Jaccard
+similarity decides, and connected components are the clusters, of which one paragraph stays.
+
+Passages pasted into longer lines hide from paragraphs, whose similarity they hardly move.
+So what the clusters leave is compared by runs of RUN words, wherever they stand: of every
+RUN neighbouring starts the one with the least hash is taken, so two texts that share
+2 * RUN - 1 words in a row share a run that both take. Around a taken run that stands in
+several documents every run counts, taken or not: whatever stands in an earlier document
+too goes, so a shared passage of 2 * RUN - 1 words or more goes whole. Removed paragraphs
+take no part, so a run is never kept in a place that is removed itself.
 
 Class tables, bands and runs are shuffled as hashes and places; text is read again only
-for classes that share a band with another.
+for classes that share a band with another, documents that lost a paragraph and documents
+that hold a shared run.
 
-Null and short texts have no paragraphs. Repeats within one document alone are left to
-other operators. Documents with a null id take no part; rows that repeat an id count as
-one document. An empty table gives no rows.
+A document is a row: rows that repeat an id with other text are documents of their own,
+rows that repeat id and text count as one. Null and short texts have no paragraphs. Runs
+that repeat within one document alone are left to other operators, and so are paragraphs
+unless `within` is set. Rows with a null id take no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from revdelta.llm.common import SLICE, components, cut, possibly_in, stored
+from revdelta.llm.common import SLICE, components, cut, hidden, possibly_in, stored
 
 MIN_WORDS = 20
 SHINGLE = 5
@@ -40,6 +44,8 @@ BANDS, ROWS = 8, 3
 RUN = 24
 #: Drawn members with which a prefix bucket is compared before its pairs are.
 PIVOTS = 12
+#: Shingles of a prefix that are carried along to see where two prefixes meet first.
+AHEAD = 256
 
 _WORD_STARTS = np.zeros(256, bool)
 _WORD_STARTS[[9, 10, 11, 12, 13, 32]] = True
@@ -49,6 +55,7 @@ _PERMUTE = np.random.default_rng(20240229).integers(0, 1 << 63, BANDS * ROWS, np
 UNITS = T.StructType(
     [
         T.StructField("doc", T.LongType()),
+        T.StructField("row", T.LongType()),
         T.StructField("start", T.LongType()),
         T.StructField("end", T.LongType()),
         T.StructField("n_words", T.IntegerType()),
@@ -61,6 +68,7 @@ UNITS = T.StructType(
 RUNS = T.StructType(
     [
         T.StructField("doc", T.LongType()),
+        T.StructField("row", T.LongType()),
         T.StructField("at", T.IntegerType()),
         T.StructField("hi", T.IntegerType()),
         T.StructField("lo", T.LongType()),
@@ -70,6 +78,7 @@ RUNS = T.StructType(
 SPANS = T.StructType(
     [
         T.StructField("doc", T.LongType()),
+        T.StructField("row", T.LongType()),
         T.StructField("first", T.IntegerType()),
         T.StructField("last", T.IntegerType()),
         T.StructField("start", T.LongType()),
@@ -77,6 +86,8 @@ SPANS = T.StructType(
         T.StructField("hi", T.IntegerType()),
         T.StructField("lo", T.LongType()),
         T.StructField("kept_doc", T.LongType()),
+        T.StructField("kept_row", T.LongType()),
+        T.StructField("known", T.IntegerType()),
     ]
 )
 
@@ -96,9 +107,12 @@ def _rolled(hashes: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
 
 
 class _Text:
-    """Words of one text with their hashes and places in code points."""
+    """Words of one text with their hashes and places in code points.
 
-    def __init__(self, text: bytes):
+    cut: (start, end) places whose words are left out of runs.
+    """
+
+    def __init__(self, text: bytes, cut: list[dict] | None = None):
         raw = np.frombuffer(text, np.uint8)
         gap = _WORD_STARTS[raw]
         edges = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]])))
@@ -109,20 +123,39 @@ class _Text:
         breaks = np.flatnonzero(raw == 10)
         #: number of words before each line and at the text's end
         self.lines = np.concatenate([[0], np.searchsorted(edges[0::2], breaks), [len(words)]])
-
-    def paragraphs(self) -> list[tuple[int, int]]:
-        return [(a, b) for a, b in zip(self.lines.tolist(), self.lines[1:].tolist()) if b - a >= MIN_WORDS]
+        gone = np.zeros(len(words) + 1, np.int64)
+        for place in cut or ():
+            first, last = np.searchsorted(self.starts, [place["start"], place["end"]])
+            gone[first] += 1
+            gone[last] -= 1
+        before = np.concatenate([[0], np.cumsum(np.cumsum(gone[:-1]) > 0)])
+        #: whether the run that starts at a word keeps clear of the cut
+        self.clear = before[RUN:] == before[: max(0, len(before) - RUN)]
+
+    def paragraphs(self, least: int) -> list[tuple[int, int]]:
+        out, start, end = [], 0, 0
+        for a, b in zip(self.lines.tolist(), self.lines[1:].tolist()):
+            if start < end and (b == a or b - a >= least):
+                out.append((start, end))
+                start = end
+            if b - a >= least:
+                out.append((a, b))
+            elif b > a:
+                start, end = (start, b) if start < end else (a, b)
+        return [(a, b) for a, b in [*out, (start, end)] if b - a >= least]
 
     def runs(self) -> np.ndarray:
         """Starts (word numbers) of the runs that are taken, wherever a run is repeated too."""
-        n = len(self.hashes) - RUN + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        order = _rolled(self.hashes, 2, _BASES[1])[:n]
-        if n <= RUN:
-            return np.array([order.argmin()])
-        windows = np.lib.stride_tricks.sliding_window_view(order, RUN)
-        return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+        order = _rolled(self.hashes, 2, _BASES[1])
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], self.clear, [False]])))
+        taken = [np.zeros(0, np.int64)]
+        for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()):
+            if b - a <= RUN:
+                taken.append(a + order[a:b].argmin(keepdims=True))
+            else:
+                windows = np.lib.stride_tricks.sliding_window_view(order[a:b], RUN)
+                taken.append(a + np.unique(windows.argmin(axis=1) + np.arange(len(windows))))
+        return np.concatenate(taken)
 
     def run_keys(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """hi and lo of the runs that start at the words `first`."""
@@ -142,49 +175,49 @@ def _bands(groups: list[np.ndarray]) -> np.ndarray:
         return _mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * _BASES[1]).view(np.int64)
 
 
-def _paragraphs(docs: list[tuple]) -> pa.RecordBatch:
-    columns: list[list] = [[] for _ in range(6)]
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    """One record batch of rows of arrays, a value for each field but for those left out."""
+    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}
+    flat = [
+        pa.array(np.concatenate([r[i] for r in rows]) if rows else [], kinds[f.dataType]) for i, f in enumerate(schema)
+        if f.dataType in kinds
+    ]
+    return pa.RecordBatch.from_arrays(flat, names=[f.name for f in schema if f.dataType in kinds])
+
+
+def _paragraphs(docs: list[tuple], least: int) -> pa.RecordBatch:
+    rows: list[tuple] = []
     groups: list[np.ndarray] = []
-    for doc, text in docs:
+    for text, doc, row in docs:
         t = _Text(text)
-        shingles = _rolled(t.hashes, SHINGLE, _BASES[0])
-        found = t.paragraphs()
+        found = t.paragraphs(least)
         if not found:
             continue
-        first = np.array([a for a, _ in found], np.int64)
-        last = np.array([b for _, b in found], np.int64)
+        shingles = _rolled(t.hashes, SHINGLE, _BASES[0])
+        first, last = (np.array(x, np.int64) for x in zip(*found))
         groups += [shingles[a : b - SHINGLE + 1] for a, b in found]
-        keys = [[int(_key(t.hashes[a:b], base)) for a, b in found] for base in _BASES]
-        keys = [np.array(k, np.uint64) for k in keys]
-        columns[0].append(np.full(len(first), doc, np.int64))
-        columns[1].append(t.starts[first])
-        columns[2].append(t.ends[last - 1])
-        columns[3].append((last - first).astype(np.int32))
-        columns[4].append(keys[0].astype(np.uint32).view(np.int32))
-        columns[5].append(keys[1].view(np.int64))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-    flat = [pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(columns, kinds)]
-    n = len(flat[0])
+        hi, lo = (np.array([int(_key(t.hashes[a:b], base)) for a, b in found], np.uint64) for base in _BASES)
+        rows.append((
+            np.full(len(first), doc), np.full(len(first), row), t.starts[first], t.ends[last - 1], last - first,
+            hi.astype(np.uint32).view(np.int32), lo.view(np.int64),
+        ))
+    flat = _batch(rows, UNITS)
     if groups:
-        ends = pa.array(np.arange(n + 1) * BANDS, pa.int32())
+        ends = pa.array(np.arange(flat.num_rows + 1) * BANDS, pa.int32())
         bands = pa.ListArray.from_arrays(ends, pa.array(_bands(groups).ravel()))
     else:
-        bands = pa.nulls(n, pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([*flat, bands], names=UNITS.names)
+        bands = pa.nulls(0, pa.list_(pa.int64()))
+    return flat.append_column("bands", bands)
 
 
 def _taken(docs: list[tuple]) -> pa.RecordBatch:
-    columns: list[list] = [[] for _ in RUNS]
-    for doc, text in docs:
-        t = _Text(text)
+    rows: list[tuple] = []
+    for text, doc, row, cut in docs:
+        t = _Text(text, cut)
         first = t.runs()
-        if not len(first):
-            continue
-        for column, values in zip(columns, (np.full(len(first), doc, np.int64), first, *t.run_keys(first))):
-            column.append(values)
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-    flat = [pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(columns, kinds)]
-    return pa.RecordBatch.from_arrays(flat, names=RUNS.names)
+        if len(first):
+            rows.append((np.full(len(first), doc), np.full(len(first), row), first, *t.run_keys(first)))
+    return _batch(rows, RUNS)
 
 
 def _spans(docs: list[tuple]) -> pa.RecordBatch:
@@ -194,44 +227,35 @@ def _spans(docs: list[tuple]) -> pa.RecordBatch:
     keeps them, are one span of a known keeper. Runs inside it stand in the keeper, which
     looks them up itself, so here only those that leave the span are looked up.
     """
-    columns: list[list] = [[] for _ in SPANS]
-    for doc, text, hits in docs:
-        t = _Text(text)
+    rows: list[tuple] = []
+    for text, doc, row, cut, hits in docs:
+        t = _Text(text, cut)
         n = len(t.hashes) - RUN + 1
-        hits = sorted((h["at"], h["kept_doc"], h["kept_at"], h["lo"]) for h in hits)
-        at, kept, there, lo = (np.array(c, np.int64) for c in zip(*hits))
-        real = at < n  # rows that repeat an id may have other texts
-        real[real] = t.run_keys(at[real])[1] == lo[real]
-        at, kept, there = at[real], kept[real], there[real]
-        if not len(at):
-            continue
+        hits = sorted((h["at"], h["kept_doc"], h["kept_row"], h["kept_at"]) for h in hits)
+        at, kept, kept_row, there = (np.array(c, np.int64) for c in zip(*hits))
         wanted = np.zeros(n + 1, np.int64)
         np.add.at(wanted, np.maximum(at - RUN + 1, 0), 1)
         np.add.at(wanted, np.minimum(at + RUN, n), -1)
-        follows = (np.diff(at) <= RUN) & (kept[1:] == kept[:-1]) & (np.diff(at) == np.diff(there))
+        same = (kept[1:] == kept[:-1]) & (kept_row[1:] == kept_row[:-1])
+        follows = same & (np.diff(at) <= RUN) & (np.diff(at) == np.diff(there))
         heads = np.flatnonzero(np.concatenate([[True], ~follows]))
         tails = np.concatenate([heads[1:], [len(at)]]) - 1
         inside = np.zeros(n + 1, np.int64)
-        others = kept[heads] != doc
+        others = (kept[heads] != doc) | (kept_row[heads] != row)
         np.add.at(inside, at[heads][others], 1)
         np.add.at(inside, at[tails][others] + 1, -1)
-        asked = np.flatnonzero((np.cumsum(wanted)[:n] > 0) & (np.cumsum(inside)[:n] == 0))
+        asked = np.flatnonzero((np.cumsum(wanted)[:n] > 0) & (np.cumsum(inside)[:n] == 0) & t.clear)
         first = np.concatenate([at[heads], asked])
         last = np.concatenate([at[tails], asked]) + RUN
-        hi, low = t.run_keys(asked)
-        known = np.zeros(len(heads), np.int64)
-        keeper = np.ma.masked_array(np.concatenate([kept[heads], np.zeros(len(asked), np.int64)]), np.arange(len(first)) >= len(heads))
-        values = (
-            np.full(len(first), doc, np.int64), first, last, t.starts[first], t.ends[last - 1],
-            np.concatenate([known.astype(np.int32), hi]), np.concatenate([known, low]), keeper,
-        )
-        for column, value in zip(columns, values):
-            column.append(value)
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-    flat = [pa.array(np.concatenate(c) if c else [], kind) for c, kind in zip(columns, kinds)]
-    keepers = np.ma.concatenate(columns[-1]) if columns[-1] else np.ma.masked_array(np.zeros(0, np.int64), np.zeros(0, bool))
-    flat.append(pa.array(keepers.data, pa.int64(), mask=np.ma.getmaskarray(keepers)))
-    return pa.RecordBatch.from_arrays(flat, names=SPANS.names)
+        hi, lo = t.run_keys(asked)
+        pad = lambda known, looked_up: np.concatenate([known, looked_up])
+        zeros, open_ = np.zeros(len(heads), np.int64), np.zeros(len(asked), np.int64)
+        rows.append((
+            np.full(len(first), doc), np.full(len(first), row), first, last, t.starts[first], t.ends[last - 1],
+            pad(zeros, hi.astype(np.int64)), pad(zeros, lo), pad(kept[heads], open_), pad(kept_row[heads], open_),
+            pad(zeros + 1, np.zeros(len(asked), np.int64)),
+        ))
+    return _batch(rows, SPANS)
 
 
 def _key(hashes: np.ndarray, base: np.uint64) -> np.uint64:
@@ -241,32 +265,37 @@ def _key(hashes: np.ndarray, base: np.uint64) -> np.uint64:
         return _mix((hashes * powers).sum(dtype=np.uint64, keepdims=True))[0]
 
 
-
 def _sliced(rows: DataFrame, work, schema: T.StructType) -> DataFrame:
-    """work() over (doc, raw, ...) rows in lists of about SLICE bytes of raw."""
+    """work() over (raw, ...) rows in lists of about SLICE bytes of raw."""
 
     def run(batches):
         for batch in batches:
-            ids, others = batch.column(0).to_pylist(), batch.columns[1:]
             at, size = [], 0
-            for i, doc in enumerate(ids):
-                at.append((doc, *[c[i].as_py() for c in others]))
-                size += len(at[-1][1])
-                if size >= SLICE or i + 1 == len(ids):
+            for i in range(batch.num_rows):
+                at.append(tuple(c[i].as_py() for c in batch.columns))
+                size += len(at[-1][0])
+                if size >= SLICE or i + 1 == batch.num_rows:
                     yield work(at)
                     at, size = [], 0
 
     return rows.mapInArrow(run, schema)
 
 
+def _row(id_col: str, text: str) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text}`").cast("binary"))
+
+
 def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("binary").alias("raw"))
+    given = docs.select(
+        F.col(f"`{text}`").cast("binary").alias("raw"), F.col(f"`{id_col}`").cast("long").alias("doc"), _row(id_col, text).alias("row")
+    )
     return given.where("doc is not null and length(raw) > 0")
 
 
-def units(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+def units(docs: DataFrame, id_col: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """Paragraphs of all documents, as UNITS."""
-    return _sliced(_texts(docs, id_col, text), _paragraphs, UNITS)
+    return _sliced(_texts(docs, id_col, text), lambda rows: _paragraphs(rows, min_words), UNITS)
 
 
 def _shingles(places: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -274,10 +303,12 @@ def _shingles(places: DataFrame, docs: DataFrame, id_col: str, text: str) -> Dat
 
     Only documents that hold one are read beyond their id, and only the paragraphs go on.
     """
-    wanted = places.select("p", F.col("p.doc").alias("doc"))
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("words"))
-    own = possibly_in(own, F.col("doc"), wanted, "doc", "held").where("held").drop("held")
-    texts = own.join(wanted, "doc").select(
+    wanted = places.select("p", F.col("p.doc").alias("doc"), F.col("p.row").alias("row"))
+    own = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc"), _row(id_col, text).alias("row"), F.col(f"`{text}`").alias("words")
+    )
+    own = possibly_in(own, F.col("row"), wanted, "row", "held").where("held").drop("held")
+    texts = own.join(wanted, ["doc", "row"]).select(
         "p", F.substring("words", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("words")
     )
     lower = F.translate("words", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -300,14 +331,15 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     """(s, p, n, at, before): the first n - ceil(similarity * n) + 1 of each paragraph's n shingles,
-    rarest first; similar paragraphs share one of them. before holds those ahead of s."""
+    rarest first; similar paragraphs share one of them. before holds those ahead of s, the
+    AHEAD rarest at most: what it lacks lets a pair meet twice, never not at all."""
     rows = sets.select("p", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = rows.groupBy("s").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("p").orderBy("df", "s"))
     ranked = rows.join(counts, "s").withColumn("at", rank)
     prefix = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity) + 1) & (F.col("df") > 1))
     ahead = Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return prefix.select("s", "p", "n", "at", F.collect_list("s").over(ahead).alias("before"))
+    return prefix.select("s", "p", "n", "at", F.collect_list(F.when(F.col("at") <= AHEAD, F.col("s"))).over(ahead).alias("before"))
 
 
 def _enough(similarity: float) -> Column:
@@ -351,9 +383,9 @@ def _connect(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     rows = _labelled(prefix, labels)
     one = rows.select("s", F.col("p").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"), F.col("before").alias("bu"))
     two = rows.select("s", F.col("p").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"), F.col("before").alias("bv"))
-    # a pair meets at the first shingle that it shares only
+    # a pair meets at the first shingle that it shares only, unless that lies beyond AHEAD
     first = ~F.arrays_overlap("bu", "bv")
-    rest = one.join(two, "s").where((F.col("cu") < F.col("cv")) & _enough(similarity) & first).select("u", "v")
+    rest = one.join(two, "s").where((F.col("cu") < F.col("cv")) & _enough(similarity) & first).select("u", "v").distinct()
     linked = _as_edges(labels).unionByName(_similar(rest, own, similarity)).where("u != v")
     places = named.select("id", "p")
     back = linked.join(places.withColumnsRenamed({"id": "u", "p": "a"}), "u")
@@ -361,10 +393,13 @@ def _connect(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     return components(_as_edges(known).unionByName(back))
 
 
-def paragraph_clusters(docs: DataFrame, id_col: str, text: str, similarity: float) -> DataFrame:
-    """(doc, start, end, n_words, kept_doc, kept_start): paragraphs of clusters that span documents."""
-    lines = stored(units(docs, id_col, text))
-    place = F.struct("doc", "start", "end")
+def paragraph_clusters(
+    docs: DataFrame, id_col: str, text: str, similarity: float, min_words: int = MIN_WORDS, within: bool = False
+) -> DataFrame:
+    """(doc, row, start, end, n_words, kept_doc, kept_row, kept_start): paragraphs of clusters
+    that span documents, or of all that repeat if within is set."""
+    lines = stored(units(docs, id_col, text, min_words))
+    place = F.struct("doc", "row", "start", "end")
     keys = ["hi", "lo"]
     # bands that different classes share; equal paragraphs meet in the partial aggregate
     banded = lines.select(*keys, F.explode("bands").alias("band"))
@@ -372,7 +407,8 @@ def paragraph_clusters(docs: DataFrame, id_col: str, text: str, similarity: floa
     shared = stored(shared.select("band"))
     held = possibly_in(banded, F.col("band"), shared, "band", "held").where("held").drop("held")
     held = held.distinct().join(shared, "band")
-    classes = lines.groupBy(*keys).agg(F.min(place).alias("p"), F.max("doc").alias("last_doc"))
+    whose = F.struct("doc", "row", "start") if within else F.struct("doc", "row")
+    classes = lines.groupBy(*keys).agg(F.min(place).alias("p"), F.max(whose).alias("last"))
     named = possibly_in(lines, F.col("lo"), held, "lo", "held").where("held")
     members = stored(held.join(named.groupBy(*keys).agg(F.min(place).alias("p")), keys).select("p", "band"))
     sets = stored(_shingles(members.select("p").distinct(), docs, id_col, text))
@@ -387,64 +423,91 @@ def paragraph_clusters(docs: DataFrame, id_col: str, text: str, similarity: floa
     apart = labelled.join(mixed.select("band"), "band").select("p").distinct()
     roots = _connect(apart.join(sets, "p"), known, similarity).select(F.col("node").alias("p"), "component")
     # most classes are one paragraph of one document: they are done with before the next shuffle
+    first = F.struct("p.doc", "p.row", "p.start") if within else F.struct("p.doc", "p.row")
     rooted = classes.join(roots, "p", "left").select(
-        *keys, F.col("p.doc").alias("first_doc"), "last_doc", F.coalesce("component", "p").alias("component"),
+        *keys, first.alias("first"), "last", F.coalesce("component", "p").alias("component"),
         F.col("component").isNotNull().alias("linked"),
-    ).where("linked or first_doc < last_doc")
-    spread = rooted.groupBy("component").agg(F.min("first_doc").alias("a"), F.max("last_doc").alias("b")).where("a < b")
+    ).where("linked or first < last")
+    spread = rooted.groupBy("component").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a < b")
     rooted = stored(rooted.join(spread.select("component"), "component").select(*keys, "component"))
     found = possibly_in(lines.drop("bands"), F.col("lo"), rooted, "lo", "held").where("held").drop("held")
     return found.join(rooted, keys).select(
-        "doc", "start", "end", "n_words", F.col("component.doc").alias("kept_doc"), F.col("component.start").alias("kept_start")
-    )
+        "doc", "row", "start", "end", "n_words", F.col("component.doc").alias("kept_doc"),
+        F.col("component.row").alias("kept_row"), F.col("component.start").alias("kept_start"),
+    )
+
 
+def _with_cuts(texts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """texts plus `cut`, what paragraphs removed; only documents that lost some are joined."""
+    flagged = possibly_in(texts, F.col("row"), cuts, "row", "held")
+    hit = flagged.where("held").drop("held").join(cuts, ["doc", "row"], "left").select(*texts.columns, "cut")
+    whole = flagged.where("not held").drop("held").withColumn("cut", F.lit(None).cast(cuts.schema["cut"].dataType))
+    return whole.unionByName(hit)
 
-def shared_runs(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, start, end, n_words, kept_doc, kept_start): passages that stand in several
-    documents. kept_start is not known for them.
 
-    All taken runs are shuffled by key and place; texts are read again only where a taken
-    run is shared. There every run is looked up that leaves what is known, and overlapping
-    finds with the same keeper are one passage.
+def shared_runs(docs: DataFrame, id_col: str, text: str, cuts: DataFrame) -> DataFrame:
+    """(doc, row, start, end, n_words, kept_doc, kept_row): passages that stand in several
+    documents. cuts (doc, row, cut) names places that take no part.
+
+    All taken runs are shuffled by key; texts are read again only where a taken run is
+    shared. There every run is looked up that leaves what is known, and overlapping finds
+    with the same keeper are one passage.
     """
     texts = _texts(docs, id_col, text)
-    runs = stored(_sliced(texts, _taken, RUNS))
-    keys = runs.groupBy("hi", "lo").agg(F.min(F.struct("doc", "at")).alias("kept"), F.max("doc").alias("most"))
-    keys = keys.where("kept.doc < most").select("hi", "lo", F.col("kept.doc").alias("kept_doc"), F.col("kept.at").alias("kept_at"))
-    keys = stored(keys)
-    held = possibly_in(runs, F.col("lo"), keys, "lo", "held").where("held").drop("held")
-    hits = held.join(keys, ["hi", "lo"]).groupBy("doc").agg(F.collect_list(F.struct("at", "kept_doc", "kept_at", "lo")).alias("hits"))
-    hits = stored(hits)
-    own = possibly_in(texts, F.col("doc"), hits, "doc", "held").where("held").drop("held")
-    spans = stored(_sliced(own.join(hits, "doc"), _spans, SPANS))
-    asked = spans.where("kept_doc is null").drop("kept_doc")
-    keepers = asked.groupBy("hi", "lo").agg(F.min("doc").alias("kept_doc"), F.max("doc").alias("most"))
-    keepers = stored(keepers.where("kept_doc < most").drop("most"))
-    again = possibly_in(asked, F.col("lo"), keepers, "lo", "held").where("held").drop("held").join(keepers, ["hi", "lo"])
-    found = spans.where("kept_doc is not null").drop("hi", "lo").unionByName(again.drop("hi", "lo"))
-    order = Window.partitionBy("doc", "kept_doc").orderBy("first")
+    runs = stored(_sliced(_with_cuts(texts, cuts), _taken, RUNS))
+    keys = ["hi", "lo"]
+    shared = runs.groupBy(*keys).agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a != b")
+    shared = stored(shared.select(*keys))
+    held = possibly_in(runs, F.col("lo"), shared, "lo", "held").where("held").drop("held").join(shared, keys)
+    held = stored(held)
+    first = held.groupBy(*keys).agg(F.min(F.struct("doc", "row", "at")).alias("kept"))
+    first = first.select(*keys, F.col("kept.doc").alias("kept_doc"), F.col("kept.row").alias("kept_row"), F.col("kept.at").alias("kept_at"))
+    hits = held.join(first, keys).groupBy("doc", "row")
+    hits = stored(hits.agg(F.collect_list(F.struct("at", "kept_doc", "kept_row", "kept_at")).alias("hits")))
+    own = possibly_in(texts, F.col("row"), hits, "row", "held").where("held").drop("held")
+    spans = stored(_sliced(_with_cuts(own, cuts).join(hits, ["doc", "row"]).select("raw", "doc", "row", "cut", "hits"), _spans, SPANS))
+    asked = spans.where("known = 0").drop("kept_doc", "kept_row", "known")
+    keepers = asked.groupBy(*keys).agg(F.min(F.struct("doc", "row")).alias("kept"), F.min("row").alias("a"), F.max("row").alias("b"))
+    keepers = stored(keepers.where("a != b").select(*keys, F.col("kept.doc").alias("kept_doc"), F.col("kept.row").alias("kept_row")))
+    again = possibly_in(asked, F.col("lo"), keepers, "lo", "held").where("held").drop("held").join(keepers, keys)
+    found = spans.where("known = 1").drop("known", *keys).unionByName(again.drop(*keys))
+    passage = ["doc", "row", "kept_doc", "kept_row"]
+    order = Window.partitionBy(*passage).orderBy("first")
     ahead = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("first") <= ahead, 0).otherwise(1)
     merged = found.withColumn("opens", opens).withColumn("passage", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return merged.groupBy("doc", "kept_doc", "passage").agg(
+    return merged.groupBy(*passage, "passage").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("first")).alias("n_words")
-    ).select("doc", "start", "end", "n_words", "kept_doc", F.lit(None).cast("long").alias("kept_start"))
+    ).drop("passage")
+
+
+REMOVED = "doc != kept_doc or row != kept_row"
+
+
+def _both(docs: DataFrame, id_col: str, text: str, similarity: float, min_words: int, within: bool) -> DataFrame:
+    if min_words < SHINGLE:
+        raise ValueError("a paragraph needs the words of one shingle")
+    lines = stored(paragraph_clusters(docs, id_col, text, similarity, min_words, within))
+    lines = lines.withColumn("removed", F.expr(f"{REMOVED} or start != kept_start"))
+    cuts = lines.where("removed").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("cut"))
+    runs = shared_runs(docs, id_col, text, stored(cuts)).withColumn("removed", F.expr(REMOVED))
+    runs = runs.withColumn("kept_start", F.lit(None).cast("long"))
+    return lines.withColumn("kind", F.lit("paragraph")).unionByName(runs.withColumn("kind", F.lit("run")))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def find(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+    min_words: int = MIN_WORDS, within: bool = False,
+) -> DataFrame:
     """A row for every paragraph or passage of runs that repeats across documents, the kept
     ones too.
 
     Columns: <id_col>, kind ("paragraph" or "run"), start, end (code points from 0, end
     exclusive), n_words, kept_doc_id, kept_start (what stays of the cluster; null for runs), removed.
     A paragraph is removed unless it is the kept one; a passage unless it is in the
-    document that keeps it.
+    document that keeps it. Of rows that repeat id and text one is told of.
     """
-    lines = paragraph_clusters(docs, id_col, text, similarity).withColumn("kind", F.lit("paragraph"))
-    lines = lines.withColumn("removed", F.expr("doc != kept_doc or start != kept_start"))
-    runs = shared_runs(docs, id_col, text).withColumn("kind", F.lit("run"))
-    runs = runs.withColumn("removed", F.expr("doc != kept_doc"))
-    return lines.unionByName(runs).select(
+    return _both(docs, id_col, text, similarity, min_words, within).select(
         F.col("doc").alias(id_col), "kind", "start", "end", "n_words",
         F.col("kept_doc").alias("kept_doc_id"), "kept_start", "removed",
     )
@@ -470,17 +533,23 @@ def remove(text: Column, spans: Column) -> Column:
     return without(text, spans)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def dedup(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+    min_words: int = MIN_WORDS, within: bool = False,
+) -> DataFrame:
     """docs with the removed paragraphs and runs cut out; a document of which nothing but
     white space stays goes. Documents without repeats pass through unchanged."""
-    spans = find(docs, id_col, text, similarity).where("removed").groupBy(id_col)
-    spans = spans.agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    spans = stored(spans.withColumnRenamed(id_col, "_doc"))
+    spans = _both(docs, id_col, text, similarity, min_words, within).where("removed").groupBy("doc", "row")
+    held, row, cut_out = (hidden(docs, name) for name in ("held", "row", "spans"))
+    spans = stored(spans.agg(F.collect_list(F.struct("start", "end")).alias(cut_out)))
     # documents without spans do not take part in the join
-    parted = possibly_in(docs, F.col(f"`{id_col}`"), spans, "_doc", "_held")
-    joined = parted.where("_held").join(spans, F.col(f"`{id_col}`") == F.col("_doc"), "left")
-    hit = joined.where("_spans is not null").withColumn(text, remove(F.col(f"`{text}`"), F.col("_spans")))
+    parted = possibly_in(docs.withColumn(row, _row(id_col, text)), F.col(row), spans, "row", held)
+    id_key = hidden(docs, "doc")
+    spans = spans.select(F.col("doc").alias(id_key), F.col("row").alias(f"{row}_"), cut_out)
+    key = (F.col(f"`{id_col}`").cast("long") == F.col(id_key)) & (F.col(row) == F.col(f"{row}_"))
+    joined = parted.where(held).join(spans, key, "left")
+    hit = joined.where(F.col(cut_out).isNotNull()).withColumn(text, remove(F.col(f"`{text}`"), F.col(cut_out)))
     hit = hit.where(F.col(f"`{text}`").rlike(r"\S"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rest = parted.where("not _held").select(*columns)
-    return rest.unionByName(joined.where("_spans is null").select(*columns)).unionByName(hit.select(*columns))
+    rest = parted.where(~F.col(held)).select(*columns)
+    return rest.unionByName(joined.where(F.col(cut_out).isNull()).select(*columns)).unionByName(hit.select(*columns))

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from revdelta.llm import bpe, common, grader, licenses, neighbours, packing, pii, quality_rules, simhash, substrings, url_filters
 
 TEXT = "doc_id long, text string"
-ODD = ["", None, " \t\n", "A.", "Ünïcödé İstanbul ΣΑΣ 😀 don't 123 <|endoftext|> x", "náive\x85line\x1csep\xa0wide", "a " * 3000, "x" * 5000]
+ODD = ["", None, " \t\n", "A.", "Ünïcödé İstanbul ΣΑΣ 😀 don't 123 <|endoftext|> x", "náive\x85line\x1csep\xa0wide", "a " * 3000, "x" * 5000, "MƐ aƁb", "Ɛ, na ƏƁ Ⱥ"]
 WORDS = "the of and ing tion under license model table 42 3.14 ñandú größe école".split()
 
 
@@ -48,12 +48,14 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def test_packing_equals_the_tokenizer(spark, docs, rows):
+@pytest.mark.parametrize("specials", [True, False])
+def test_packing_equals_the_tokenizer(spark, docs, rows, specials):
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    pieces = packing.pack(docs.withColumn("start", F.lit("clash")), TOKENIZER, longest=64).collect()
+    tokenizer.encode_special_tokens = not specials
+    clashing = docs.withColumn("start", F.lit("clash")).withColumn("piece", F.lit("own"))
+    pieces = packing.pack(clashing, TOKENIZER, longest=64, specials=specials).collect()
     assert len({p.sequence_id for p in pieces}) == len(pieces) and {p.offset for p in pieces} == {0}
-    assert all(p.length == 1 << p.bucket for p in pieces)
+    assert all(p.length == 1 << p.bucket and p.piece == "own" for p in pieces)
     by = {}
     for p in pieces:
         by.setdefault((p.doc_id, p.doc_tokens), []).append(p)
@@ -65,6 +67,17 @@ def test_packing_equals_the_tokenizer(spark, docs, rows):
     assert packing.pack(empty(spark), TOKENIZER).count() == 0
 
 
+def test_word_path_equals_the_tokenizer_for_every_letter():
+    """All code points below U+3000, alone and beside letters and marks."""
+    texts = [t for c in map(chr, range(0x3000)) for t in (c, f"M{c}", f"{c}, na", f"a{c}b ok's", f"1{c}-{c}", f"e\u0301{c}\u0300")]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    words = packing.WordIds(TOKENIZER)
+    assert [t for t, got, w in zip(texts, words.encode(texts), want) if got != w] == []
+    words.held = packing.CACHE_BYTES + 1  # a full cache starts anew
+    assert words.encode(texts[:600]) == want[:600]
+
+
 def test_byte_bpe_equals_tiktoken_and_decodes(spark, docs, rows):
     ranks = bpe.read_ranks(RANKS)
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
