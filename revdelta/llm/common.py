@@ -152,7 +152,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     u, v = F.col("u"), F.col("v")
     edges = edges.toDF("u", "v").where(u.isNotNull() & v.isNotNull() & (u != v))
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _digest(now)
     while True:
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
@@ -162,7 +162,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
         small = star.where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        after = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        after = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         last, seen = seen, _digest(after)
         if last == seen:
             break

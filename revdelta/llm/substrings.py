@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from revdelta.llm.common import SLICE, components, cut, hidden, possibly_in, stored
+from revdelta.llm.common import SLICE, components, hidden, possibly_in, stored
 
 MIN_WORDS = 20
 SHINGLE = 5
@@ -106,6 +106,17 @@ def _rolled(hashes: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
         return _mix(total)
 
 
+def _rolled_at(hashes: np.ndarray, size: int, base: np.uint64, first: np.ndarray) -> np.ndarray:
+    """As _rolled(), at the places `first` only: differences of one running sum, whose terms
+    are divided by the powers of the base (odd, so that division by it is exact)."""
+    with np.errstate(over="ignore"):
+        n = len(hashes) + 1
+        down = np.cumprod(np.full(n, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))
+        up = np.cumprod(np.full(n, base, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * down[:-1], dtype=np.uint64)])
+        return _mix((sums[first + size] - sums[first]) * up[first + size - 1])
+
+
 class _Text:
     """Words of one text with their hashes and places in code points.
 
@@ -159,7 +170,7 @@ class _Text:
 
     def run_keys(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """hi and lo of the runs that start at the words `first`."""
-        a, b = (_rolled(self.hashes, RUN, base)[first] for base in _BASES)
+        a, b = (_rolled_at(self.hashes, RUN, base, first) for base in _BASES)
         return a.astype(np.uint32).view(np.int32), b.view(np.int64)
 
 
@@ -366,7 +377,7 @@ def _connect(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     # numbers instead of places: what follows is shuffled several times
     named = stored(_labelled(sets.select("p", "shingles"), known).withColumn("id", F.monotonically_increasing_id()))
     roots = named.groupBy("c").agg(F.min("id").alias("component"))
-    labels = cut(named.select("c", F.col("id").alias("node")).join(roots, "c").select("node", "component"))
+    labels = stored(named.select("c", F.col("id").alias("node")).join(roots, "c").select("node", "component"))
     own = named.select(F.col("id").alias("p"), "shingles")
     prefix = stored(_prefixes(own, similarity))
     rows = _labelled(prefix.drop("before"), labels)
@@ -379,7 +390,7 @@ def _connect(sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
         F.col("d.at").alias("au"), F.col("at").alias("av"),
     )
     new = _similar(both.where(_enough(similarity)).select("u", "v").distinct(), own, similarity)
-    labels = cut(components(_as_edges(labels).unionByName(new)))
+    labels = stored(components(_as_edges(labels).unionByName(new)))
     rows = _labelled(prefix, labels)
     one = rows.select("s", F.col("p").alias("u"), F.col("c").alias("cu"), F.col("n").alias("nu"), F.col("at").alias("au"), F.col("before").alias("bu"))
     two = rows.select("s", F.col("p").alias("v"), F.col("c").alias("cv"), F.col("n").alias("nv"), F.col("at").alias("av"), F.col("before").alias("bv"))
@@ -416,7 +427,7 @@ def paragraph_clusters(
     length = F.col("p.end") - F.col("p.start")
     pivots = members.groupBy("band").agg(F.min(F.struct(length, "p")).alias("least")).select("band", F.col("least.p").alias("pivot"))
     stars = members.join(pivots, "band").where("p != pivot").select(F.col("pivot").alias("u"), F.col("p").alias("v"))
-    known = cut(components(_similar(stars.distinct(), sets, similarity)))
+    known = stored(components(_similar(stars.distinct(), sets, similarity)))
     # then what this leaves apart within a bucket
     labelled = _labelled(members, known)
     mixed = labelled.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
