@@ -25,6 +25,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         *[of(k.name).alias(f"n_{k.name}") for k in pii.BASE],
+        F.size("pii").cast("long").alias("n_all"),
         F.sha2(pii.joined(base), 256).alias("base_sha256"),
         pii.joined(F.col("pii")).alias("spans"),
     )
@@ -53,10 +54,9 @@ URL_RULES = [
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is that of the document of the same number: good if of quality and not toxic."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality = 1 and toxic = 0 as good")
-    return url_filters.judge(pages, labels, URL_RULES).drop("url")
+    """A page's label is whether its own html shows readable prose."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", url_filters.readable(F.col("html")).alias("good"))
+    return url_filters.judge(pages, URL_RULES, F.col("good")).drop("url", "good")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """License scans by a positional index of rare words.
 
-Templates are short licence wordings. Counting their words over all documents gives
-each word's rarity; a template is looked up by its rarest words only. Where such a word
-stands in a file, its postings say at which relative position the template would start;
-starts proposed alike by several words are verified against the whole wording, and the
-template's key phrases must stand there word for word.
+Templates are clauses of licence texts and notices. Counting their words over all
+documents gives each word's rarity. The index is a table from word to postings, (template,
+position), and holds each template's rarest words. A file's words that stand in it, its
+rarest licence words, are looked up: each posting says at which word of the file its
+template would start. Starts proposed alike by several words are verified against the
+whole clause, and the template's mandatory phrases must stand there word for word.
 
 Counting is a partial aggregate over at most as many rows per task as templates have
-words; looking up and verifying stays within a row, so nothing is shuffled for it.
+words; the index is as large as the templates, whatever the data; looking up and verifying
+stays within a row, so nothing is shuffled for it. Every row costs its words plus its hits.
 
 Null texts count as empty; a text without words has no places. Repeated rows are
 scanned each for itself; columns that clash with the result are replaced. An empty table
@@ -16,12 +18,13 @@ gives no rows.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revdelta.llm.common import free
+from revdelta.llm.common import free, hidden
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -37,6 +40,12 @@ class Template:
     def sequence(self) -> list[str]:
         return self.words.split()
 
+    def phrases(self) -> list[tuple[int, list[str]]]:
+        """(place in the wording, words) of the mandatory phrases."""
+        own = self.sequence
+        found = [k.split() for k in self.keys] or [own]
+        return [(next(i for i in range(len(own)) if own[i : i + len(p)] == p), p) for p in found]
+
 
 #: The base phrases.
 BASE = (
@@ -44,29 +53,82 @@ BASE = (
     Template("gpl", "general public license"),
     Template("reserved", "all rights reserved"),
 )
-#: Wordings that licences prescribe or commonly use.
+#: Clauses that licences and their notices prescribe.
 WORDINGS = (
     Template("mit", "released under the mit license", ("mit license",)),
     Template(
-        "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+        " documentation files the software to deal in the software without restriction",
         ("permission is hereby granted", "free of charge"),
     ),
+    Template(
+        "mit",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        ("this permission notice shall be included",),
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        ("with or without fee",),
+    ),
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "2 0")),
+    Template(
+        "apache-2.0",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        ("except in compliance with the license",),
+    ),
+    Template(
+        "apache-2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on"
+        " an as is basis without warranties or conditions of any kind",
+        ("required by applicable law",),
+    ),
     Template("gpl", "licensed under the gnu general public license version 3", ("general public license",)),
     Template("gpl", "under the terms of the gnu general public license", ("general public license",)),
+    Template(
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public"
+        " license as published by the free software foundation",
+        ("gnu general public license",),
+    ),
     Template("lgpl", "under the terms of the gnu lesser general public license", ("lesser general public license",)),
+    Template("agpl", "under the terms of the gnu affero general public license", ("affero general public license",)),
     Template(
         "bsd", "redistribution and use in source and binary forms with or without modification are permitted",
         ("source and binary forms",),
     ),
+    Template(
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        ("must retain the above copyright notice",),
+    ),
+    Template(
+        "bsd",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+        " derived from this software without specific prior written permission",
+        ("endorse or promote products",),
+    ),
     Template("mpl-2.0", "subject to the terms of the mozilla public license", ("mozilla public license",)),
+    Template("epl", "under the terms of the eclipse public license", ("eclipse public license",)),
+    Template("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
+    Template(
+        "zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable",
+        ("authors be held liable",),
+    ),
+    Template(
+        "unlicense", "this is free and unencumbered software released into the public domain",
+        ("unencumbered software", "public domain"),
+    ),
     Template("cc-by", "licensed under cc by 4 0", ("cc by",)),
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
+    Template("cc0", "waived all copyright and related or neighboring rights", ("related or neighboring rights",)),
     Template("public-domain", "released into the public domain", ("public domain",)),
 )
-#: Rare words by which one template is looked up, and how many of them must agree.
-ANCHORS, AGREE = 3, 2
+#: Rarest words by which one template is indexed, and how many of them must agree on a start.
+ANCHORS, AGREE = 6, 2
 #: Share of a wording's words that must stand in place.
 LEAST_SCORE = 0.6
 
@@ -88,18 +150,17 @@ def rarity(docs: DataFrame, text: str, templates: tuple[Template, ...]) -> dict[
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in counts.collect()}  # a row per template word
 
 
-def _slice_is(words: Column, start: Column, phrase: list[str]) -> Column:
-    parts = [F.get(words, start + i) == w for i, w in enumerate(phrase)]
-    held = parts[0]
-    for p in parts[1:]:
-        held = held & p
-    return F.coalesce(held, F.lit(False))
-
-
-def _anchors(template: Template, counts: dict[str, int], most: int) -> list[tuple[int, str]]:
-    """(position, word) of the template's rarest words, rarest first; places break ties."""
-    first = {w: i for i, w in reversed(list(enumerate(template.sequence)))}
-    return [(i, w) for w, i in sorted(first.items(), key=lambda x: (counts[x[0]], x[1]))[:most]]
+def postings(
+    templates: tuple[Template, ...], counts: dict[str, int], most: tuple[int, ...]
+) -> dict[str, list[tuple[int, int]]]:
+    """word -> (template, position): each template's rarest words, `most` of them, rarest first;
+    places break ties."""
+    index: dict[str, list[tuple[int, int]]] = {}
+    for k, (template, size) in enumerate(zip(templates, most)):
+        first = {w: i for i, w in reversed(list(enumerate(template.sequence)))}
+        for word, at in sorted(first.items(), key=lambda x: (counts[x[0]], x[1]))[:size]:
+            index.setdefault(word, []).append((k, at))
+    return index
 
 
 PLACE = "struct<template:int,start:int,score:double>"
@@ -118,80 +179,60 @@ def scan(
     share of a wording that stands in place, 1 where a base phrase stands, else 0.
     """
     docs = free(docs, "n_words", "base_places", "places", "score")
-    everything = (*base, *wordings)
-    counts = rarity(docs, text, everything)
-    anchors = [_anchors(t, counts, 1 if t in base else ANCHORS) for t in everything]
-    rare = sorted({w for a in anchors for _, w in a})
-    words = F.col("_words")
-    # one pass over the words keeps the numbers of rare ones
-    at = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(rare), i)))
-    with_places = docs.select("*", words_of(F.col(f"`{text}`")).alias("_words"))
-    with_places = with_places.withColumn(
-        "_at", F.when(F.arrays_overlap(words, F.lit(rare)), at).otherwise(F.array().cast("array<int>"))
+    templates = (*base, *wordings)
+    most = tuple(1 if k < len(base) else ANCHORS for k in range(len(templates)))
+    index = postings(templates, rarity(docs, text, templates), most)
+    rare = sorted(index)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    words, at, starts, found = (F.col(hidden(docs, n)) for n in ("words", "at", "starts", "found"))
+    name = lambda n: hidden(docs, n)
+
+    def literal(values: list, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(values)), kind)
+
+    wordings_of = literal([t.sequence for t in templates], "array<array<string>>")
+    keys_of = literal([[{"at": i, "words": p} for i, p in t.phrases()] for t in templates], "array<array<struct<at:int,words:array<string>>>>")
+    labels_of = F.lit([t.label for t in templates])
+    need = F.lit([min(AGREE, m) for m in most])
+    entries = literal([[{"k": k, "at": i} for k, i in index[w]] for w in rare], "array<array<struct<k:int,at:int>>>")
+
+    # one pass over the words keeps the numbers of rare ones; most texts have none
+    numbers = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(rare), i)))
+    rows = docs.select(*own, words_of(F.col(f"`{text}`")).alias(name("words")))
+    rows = rows.select("*", F.when(F.arrays_overlap(words, F.lit(rare)), numbers).alias(name("at")))
+    # every posting of a rare word proposes a start: template and start in one number
+    proposed = F.flatten(F.transform(at, lambda p: F.transform(
+        F.get(entries, F.array_position(F.lit(rare), F.get(words, p)).cast("int") - 1),
+        lambda e: F.when(p >= e["at"], F.struct(e["k"].alias("k"), (p - e["at"]).alias("start"))),
+    )))
+    rows = rows.select("*", F.when(F.size(at) > 0, F.array_sort(F.array_compact(proposed))).alias(name("starts")))
+    # sorted, a start that `need` words propose equals the one need - 1 places on
+    agreed = F.array_distinct(F.filter(starts, lambda s, i: F.get(starts, i + F.get(need, s["k"]) - 1) == s))
+
+    def stands(start: Column, phrase: Column) -> Column:
+        return F.slice(words, start + 1, F.size(phrase)) == phrase
+
+    def place(s: Column) -> Column:
+        wording = F.get(wordings_of, s["k"])
+        here = F.slice(words, s["start"] + 1, F.size(wording))
+        same = F.size(F.filter(F.zip_with(here, wording, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
+        keys = F.forall(F.get(keys_of, s["k"]), lambda p: stands(s["start"] + p["at"], p["words"]))
+        score = F.when(keys, same / F.size(wording)).otherwise(0.0)
+        return F.struct(s["k"].alias("template"), s["start"].alias("start"), score.alias("score")).cast(PLACE)
+
+    places = F.filter(F.transform(agreed, place), lambda p: p["score"] >= F.when(p["template"] < len(base), 1.0).otherwise(LEAST_SCORE))
+    nothing = F.array().cast(f"array<{PLACE}>")
+    rows = rows.select(
+        *own, F.size(words).cast("long").alias("n_words"), F.when(F.size(starts) > 0, places).otherwise(nothing).alias(name("found"))
     )
-    no_places = F.array().cast(f"array<{PLACE}>")
-
-    def starts(k: int) -> Column:
-        """Where the template would start by each of its anchors, repeats included."""
-
-        def by(position: int, word: str) -> Column:
-            here = F.filter("_at", lambda p: F.get(words, p) == word)
-            return F.transform(here, lambda p: p - position)
-
-        return F.filter(F.concat(*[by(i, w) for i, w in anchors[k]]), lambda s: s >= 0)
-
-    def base_found(k: int) -> Column:
-        ok = F.filter(starts(k), lambda s: _slice_is(words, s, base[k].sequence))
-        return F.transform(
-            ok, lambda s: F.struct(F.lit(k).alias("template"), s.alias("start"), F.lit(1.0).alias("score")).cast(PLACE)
-        )
-
-    def wording_found(k: int) -> Column:
-        template = everything[k]
-        proposed = starts(k)
-        need = min(AGREE, len(anchors[k]))
-        sorted_starts = F.array_sort(proposed)
-        # sorted, a start that `need` anchors propose equals the one need - 1 places on
-        agreed = F.array_distinct(
-            F.filter(
-                F.transform(sorted_starts, lambda s, i: F.when(F.get(sorted_starts, i + (need - 1)) == s, s)),
-                lambda s: s.isNotNull(),
-            )
-        )
-        size = len(template.sequence)
-
-        def place(s: Column) -> Column:
-            same = sum(
-                (F.when(F.get(words, s + i) == w, 1).otherwise(0) for i, w in enumerate(template.sequence)), F.lit(0)
-            )
-            keys = F.lit(True)
-            for key in template.keys or (template.words,):
-                phrase = key.split()
-                where = next(i for i in range(size) if template.sequence[i : i + len(phrase)] == phrase)
-                keys = keys & _slice_is(words, s + where, phrase)
-            return F.struct(
-                F.lit(k).alias("template"), s.alias("start"),
-                F.when(keys, same / F.lit(float(size))).otherwise(0.0).alias("score"),
-            ).cast(PLACE)
-
-        return F.filter(F.transform(agreed, place), lambda p: p["score"] >= LEAST_SCORE)
-
-    any_rare = F.size("_at") > 0
-    found = with_places.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.size("_words").cast("long").alias("n_words"),
-        F.when(any_rare, F.concat(*[base_found(k) for k in range(len(base))])).otherwise(no_places).alias("_base"),
-        F.when(any_rare, F.concat(*[wording_found(k) for k in range(len(base), len(everything))]))
-        .otherwise(no_places).alias("_more"),
-    )
-    label = lambda k: F.element_at(F.lit([t.label for t in everything]), k + 1)
-    named = lambda c: F.transform(
-        c, lambda p: F.struct(label(p["template"]).alias("label"), p["start"].cast("long").alias("start"), p["score"].alias("score"))
+    told = lambda p: F.struct(
+        F.get(labels_of, p["template"]).alias("label"), p["start"].cast("long").alias("start"), p["score"].alias("score")
     )
-    best = F.array_max(F.transform(F.concat("_base", "_more"), lambda p: p["score"]))
-    return found.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "n_words",
-        named("_base").alias("base_places"), named("_more").alias("places"),
+    best = F.array_max(F.transform(found, lambda p: p["score"]))
+    return rows.select(
+        *own, "n_words",
+        F.transform(F.filter(found, lambda p: p["template"] < len(base)), told).alias("base_places"),
+        F.transform(F.filter(found, lambda p: p["template"] >= len(base)), told).alias("places"),
         F.coalesce(best, F.lit(0.0)).alias("score"),
     )
 

@@ -4,7 +4,8 @@ All of it is column expressions. A pattern is run by the JVM over the whole text
 text between matches and the matches themselves, in turn, give every span's place in
 code points, so no text is cut by position. Patterns are written so that a failing start
 is left at once (possessive repeats, no start inside a run), which keeps long runs of
-letters or digits linear.
+letters or digits linear. Matches, gaps and block starts are columns of their own, so
+that each is computed once for a text: the whole is linear in its matches.
 
 Null texts count as empty; empty texts have no spans. Repeated rows stay. Columns that
 clash with the result columns are replaced. An empty table gives no rows.
@@ -50,6 +51,11 @@ KINDS = (
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
         r"iban|konto|account|cuenta|compte|bank", 0.7,
     ),
+    Kind(
+        "secret",
+        r"(?i)(?<![A-Za-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x20\"']{0,3}[=:][\x20\"']{0,3}[A-Za-z0-9_+/=-]{16,}+",
+        r"auth|login|bearer|credential|private|prod", 0.7,
+    ),
 )
 BASE = KINDS[:4]
 
@@ -93,41 +99,42 @@ def confirmed(kind: str, match: Column) -> Column:
     if kind == "iban":
         bare = F.regexp_replace(match, " ", "")
         return F.when(F.length(bare).between(15, 34), mod97(bare)).otherwise(False)
+    if kind == "secret":
+        # written out words have no digits; keys mix digits and letters
+        value = F.regexp_extract(match, "[A-Za-z0-9_+/=-]{16,}$", 0)
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     return F.lit(True)
 
 
 SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
 
 
-def _placed(kind: Kind, gaps: Column, matches: Column) -> Column:
-    """Confirmed spans of one kind from the text between matches and the matches."""
-    length = lambda c: F.length(c).cast("long")
-    pairs = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(matches)), matches,
-        lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")),
-    )
-    block = lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK))
-    blocks = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int"))
-    starts = F.aggregate(
-        blocks,
-        F.array(F.lit(0).cast("long")),
-        lambda acc, b: F.concat(
-            acc,
-            F.array(F.aggregate(
-                block(b), F.element_at(acc, -1), lambda at, p: at + length(p["gap"]) + length(p["match"])
-            )),
-        ),
-    )
+def _length(text: Column) -> Column:
+    return F.length(text).cast("long")
+
+
+def _blocks(pairs: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+
+
+def _block_starts(pairs: Column) -> Column:
+    """Where each block of (gap, match) pairs starts in the text."""
+    ahead = lambda at, p: at + _length(p["gap"]) + _length(p["match"])
+    end = lambda acc, b: F.aggregate(F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)), F.element_at(acc, -1), ahead)
+    return F.aggregate(_blocks(pairs), F.array(F.lit(0).cast("long")), lambda acc, b: F.array_append(acc, end(acc, b)))
+
+
+def _placed(kind: Kind, gaps: Column, pairs: Column, starts: Column) -> Column:
+    """Confirmed spans of one kind. All three are columns, so looking up an element is cheap."""
 
     def spans(b: Column) -> Column:
-        first = F.struct(F.element_at(starts, b + 1).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        first = F.struct(F.get(starts, b).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
         def step(acc: Column, i: Column) -> Column:
-            here = F.element_at(pairs, b * BLOCK + i)
-            start = acc["at"] + length(here["gap"])
-            end = start + length(here["match"])
-            after = F.element_at(gaps, b * BLOCK + i + 1)
-            around = F.lower(F.concat_ws(" ", F.right(here["gap"], F.lit(NEAR)), F.left(after, F.lit(NEAR))))
+            here = F.get(pairs, i)
+            start = acc["at"] + _length(here["gap"])
+            end = start + _length(here["match"])
+            around = F.lower(F.concat_ws(" ", F.right(here["gap"], F.lit(NEAR)), F.left(F.get(gaps, i + 1), F.lit(NEAR))))
             score = F.lit(kind.base_score) + F.when(around.rlike(kind.context), 0.2).otherwise(0.0)
             span = F.struct(
                 F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score")
@@ -135,9 +142,10 @@ def _placed(kind: Kind, gaps: Column, matches: Column) -> Column:
             out = F.when(confirmed(kind.name, here["match"]), F.array_append(acc["out"], span)).otherwise(acc["out"])
             return F.struct(end.alias("at"), out.alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(block(b))), first, step)["out"]
+        last = F.least((b + 1) * BLOCK, F.size(pairs)) - 1
+        return F.aggregate(F.sequence(b * BLOCK, last), first, step)["out"]
 
-    return F.flatten(F.transform(blocks, spans))
+    return F.flatten(F.transform(_blocks(pairs), spans))
 
 
 def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -145,24 +153,29 @@ def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -
     then start; places are code points from 0, ends exclusive, scores 0 to 1."""
     docs = free(docs, "pii")
     words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    nothing = F.array().cast("array<string>")
-    found = {k.name: F.regexp_extract_all(words, F.lit(k.pattern), F.lit(0)) for k in kinds}
-    found = {
-        k.name: found[k.name] if k.needs is None else F.when(F.contains(words, F.lit(k.needs)), found[k.name]).otherwise(nothing)
-        for k in kinds
-    }
-    names = {k.name: f"_match_{k.name}" for k in kinds}
-    with_matches = docs.select("*", *[found[k.name].alias(names[k.name]) for k in kinds])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    name = {(k.name, what): hidden(docs, f"{what}_{k.name}") for k in kinds for what in ("match", "gap", "pair", "start")}
+    column = lambda k, what: F.col(name[k.name, what])
+    some = lambda k: F.size(column(k, "match")) > 0
+
+    def matches(k: Kind) -> Column:
+        found = F.regexp_extract_all(words, F.lit(k.pattern), F.lit(0))
+        return found if k.needs is None else F.when(F.contains(words, F.lit(k.needs)), found).otherwise(F.array().cast("array<string>"))
+
+    # one projection after the other: what several expressions read is computed before them
+    found = docs.select(*own, *[matches(k).alias(name[k.name, "match"]) for k in kinds])
+    found = found.select("*", *[F.when(some(k), F.split(words, k.pattern, -1)).alias(name[k.name, "gap"]) for k in kinds])
+    pair = lambda gap, match: F.struct(gap.alias("gap"), match.alias("match"))
+    pairs = lambda k: F.zip_with(F.slice(column(k, "gap"), F.lit(1), F.size(column(k, "match"))), column(k, "match"), pair)
+    found = found.select("*", *[F.when(some(k), pairs(k)).alias(name[k.name, "pair"]) for k in kinds])
+    found = found.select("*", *[F.when(some(k), _block_starts(column(k, "pair"))).alias(name[k.name, "start"]) for k in kinds])
     none = F.array().cast(f"array<{SPAN}>")
-    spans = [
-        F.when(F.size(names[k.name]) > 0, _placed(k, F.split(words, k.pattern, -1), F.col(names[k.name]))).otherwise(none)
-        for k in kinds
-    ]
-    return with_matches.select(*[F.col(f"`{c}`") for c in docs.columns], F.concat(*spans).alias("pii"))
+    spans = [F.when(some(k), _placed(k, column(k, "gap"), column(k, "pair"), column(k, "start"))).otherwise(none) for k in kinds]
+    return found.select(*own, F.concat(*spans).alias("pii"))
 
 
 #: Kinds are masked one after the other in this order: longer numbers before their parts.
-MASK_ORDER = ("card", "iban", "phone", "email", "ip")
+MASK_ORDER = ("secret", "card", "iban", "phone", "email", "ip")
 
 
 def mask(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:

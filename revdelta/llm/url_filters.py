@@ -1,14 +1,14 @@
 """URL filters by path templates, learnt per host from labelled pages.
 
-Each host's paths form a tree of segments. Segments with digits are variable and become
-wildcards at once. Level by level, children of a node that are rare become wildcards
-too, and those whose labels do not differ from the node's as a whole (a two-proportion
-test) are merged into its wildcard. A template is a path of kept segments and wildcards;
-it is rejected where the smoothed share of good labels on it is low. Explicit rules go
-first: the longest that fits decides.
-
-All steps are joins and aggregates over counts of (host, path shape), which are summed
-before they are shuffled, so a host with a third of all pages is a few rows.
+Each host's paths form a tree of segments. Level by level, children of a node that are
+rare, as numbers and titles are, become wildcards, and those whose labels do not differ
+from their siblings' (a two-proportion test) are merged into the same wildcard. A template
+is a path of kept segments and wildcards; it is rejected where the smoothed share of good
+labels on it is low. Explicit rules go first: the longest that fits decides.
+
+All steps are joins and aggregates. Counts of (host, path) are summed before they are
+shuffled and keyed by host and path, so a host with a third of all pages is spread like
+any other; an address that many pages share is one row of counts.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revdelta.llm.common import cut, free
+from revdelta.llm.common import free, hidden, stored
 
-#: Levels of the tree; deeper segments share the wildcard "**".
-DEPTH = 4
+#: Levels of the tree, a parameter of judge(); deeper segments share the wildcard "**".
+DEPTH = 6
 #: A segment needs this many pages to be kept as itself.
 MIN_PAGES = 5
 #: Standard errors by which a segment's labels must differ to stay apart.
@@ -43,19 +43,30 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     """(rule, verdict) of the longest rule (verdict, host, path) that fits, else nulls."""
     longest = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     fits = [((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(p)) for _, h, p in longest]
-    rule = F.coalesce(*[F.when(f, F.lit(h + p)) for f, (_, h, p) in zip(fits, longest)])
-    verdict = F.coalesce(*[F.when(f, F.lit(v)) for f, (v, _, _) in zip(fits, longest)])
+    none = F.lit(None).cast("string")
+    rule = F.coalesce(*[F.when(f, F.lit(h + p)) for f, (_, h, p) in zip(fits, longest)], none)
+    verdict = F.coalesce(*[F.when(f, F.lit(v)) for f, (v, _, _) in zip(fits, longest)], none)
     return rule, verdict
 
 
 def shape(path: Column, depth: int = DEPTH) -> Column:
-    """The path's first segments, those with digits as "*" with what follows a dot; "**" for the rest."""
+    """The path's first segments; "**" for the rest."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    general = F.transform(
-        F.slice(segments, 1, depth),
-        lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]+)$", 1))).otherwise(s),
-    )
-    return F.when(F.size(segments) > depth, F.array_append(general, "**")).otherwise(general)
+    return F.when(F.size(segments) > depth, F.array_append(F.slice(segments, 1, depth), "**")).otherwise(segments)
+
+
+#: Words that a page must show, and symbols of `#*$%&|<>` that it may show for each.
+LEAST_WORDS, MOST_SYMBOLS = 50, 0.1
+
+
+def readable(html: Column) -> Column:
+    """Whether a page shows prose: enough words outside its markup, few symbols among them,
+    and not in capitals throughout. Null for a null page."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*+>", " ")
+    bare = F.regexp_replace(bare, "&amp;", "&")
+    words = F.size(F.filter(F.split(bare, r"\s+"), lambda w: w != ""))
+    symbols = F.length(bare) - F.length(F.translate(bare, "#*$%&|<>", ""))
+    return F.when(html.isNotNull(), (words >= LEAST_WORDS) & (symbols <= MOST_SYMBOLS * words) & (F.upper(bare) != bare))
 
 
 def templates(
@@ -81,11 +92,11 @@ def templates(
         apart = F.abs(F.try_divide("good", "labelled") - F.try_divide(F.col("all_good") - F.col("good"), rest))
         kept = (
             children.join(node, ["host", "template"])
-            .where((F.col("n") >= min_pages) & ~F.startswith("segment", F.lit("*")) & (apart > split_z * error))
+            .where((F.col("n") >= min_pages) & (apart > split_z * error))
             .select("host", "template", "segment", F.lit(True).alias("kept"))
         )
         now = now.join(kept, ["host", "template", "segment"], "left")
-        name = F.when(F.col("kept") | F.startswith("segment", F.lit("*")), F.col("segment")).otherwise("*")
+        name = F.when(F.col("kept"), F.col("segment")).otherwise("*")
         grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.array_append("template", name))
         now = now.withColumn("template", grown).drop("segment", "kept")
     return now.withColumn(
@@ -95,32 +106,32 @@ def templates(
 
 def judge(
     pages: DataFrame,
-    labels: DataFrame,
     rules: list[tuple[str, str, str]],
+    good: Column,
     url: str = "url",
-    id_col: str = "page_id",
     least_purity: float = LEAST_PURITY,
+    depth: int = DEPTH,
+    min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """pages plus host, path, rule, verdict, template and purity.
 
-    labels: (id, good) with good true or false; several labels of an id all count, null
-    ids and null labels do not. Each page row is judged for itself. Null urls and urls
-    without "://" have an empty host and path, and the verdict of that template. Without
-    any labels everything outside the rules is allowed. An empty table gives no rows.
+    good: each page's label as an expression over its columns; null is no label. Each page
+    row is judged for itself, repeated rows count repeatedly. Null urls and urls without
+    "://" have an empty host and path, and the verdict of that template. Without any labels
+    everything outside the rules is allowed. Columns named like a result are replaced,
+    others pass through. An empty table gives no rows.
     """
-    pages = free(pages, "host", "path", "rule", "verdict", "template", "purity", "path_shape")
+    results = ("host", "path", "rule", "verdict", "template", "purity")
+    labelled = hidden(pages, "labelled_good")
+    pages = free(pages.withColumn(labelled, good), *results)
+    own = [F.col(f"`{c}`") for c in pages.columns if c != labelled]
     host, path = parts(F.col(f"`{url}`"))
-    parsed = pages.withColumn("host", host).withColumn("path", path).withColumn("path_shape", shape(F.col("path")))
-    tally = labels.toDF("page", "good").where("page is not null and good is not null")
-    tally = tally.groupBy("page").agg(F.count("*").alias("labelled"), F.sum(F.col("good").cast("long")).alias("good"))
-    own = parsed.select(F.col(f"`{id_col}`").alias("page"), "host", F.col("path_shape").alias("shape"))
-    counted = own.join(tally, "page", "left").groupBy("host", "shape")
-    shapes = cut(counted.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled"),
-        F.coalesce(F.sum("good"), F.lit(0)).alias("good"),
+    key = hidden(pages, "path_shape")
+    parsed = pages.withColumn("host", host).withColumn("path", path).withColumn(key, shape(F.col("path"), depth))
+    shapes = stored(parsed.groupBy("host", F.col(key).alias("shape")).agg(
+        F.count("*").alias("n"), F.count(labelled).alias("labelled"), F.count_if(labelled).alias("good")
     ))
-    named = cut(templates(shapes))
+    named = stored(templates(shapes, depth, min_pages))
     total = named.agg(F.coalesce(F.try_divide(F.sum("good"), F.sum("labelled")), F.lit(1.0)).alias("prior")).first()
     prior = F.lit(float(total["prior"]))
     hosts = named.groupBy("host").agg(
@@ -133,15 +144,10 @@ def judge(
         .join(hosts, "host")
         .select("host", "template", purity.alias("purity"))
         .join(named.select("host", "shape", "template"), ["host", "template"])
-        .select(
-            F.col("host").alias("_host"), F.col("shape").alias("_shape"),
-            F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity",
-        )
-    )
+        .select("host", F.col("shape").alias(key), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")
+    )
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     own_verdict = F.when(F.col("purity") < least_purity, "block").otherwise("allow")
-    joined = parsed.join(judged, (F.col("host") == F.col("_host")) & (F.col("path_shape") == F.col("_shape")), "left")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in pages.columns], "host", "path",
-        rule.alias("rule"), F.coalesce(verdict, own_verdict).alias("verdict"), "template", "purity",
-    )
+    return parsed.drop(labelled).join(judged, ["host", key], "left").select(
+        *own, "host", "path", rule.alias("rule"), F.coalesce(verdict, own_verdict).alias("verdict"), "template", "purity"
+    )

@@ -212,14 +212,92 @@ def test_personal_data(spark):
 def test_url_rules_and_templates(spark):
     urls = ["http://a.com/x", "HTTP://WWW.Example.com/en/1", "http://example.com/en/2?q#f", "https://m.net/es/", "http://net/fr/1", "http://other.org", None, "no scheme", "http://a.com"]
     urls += [f"http://spam.org/buy/{i}" for i in range(40)] + [f"http://spam.org/read/{i}" for i in range(40)]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    labels = spark.createDataFrame([(i, "/read/" in (u or "")) for i, u in enumerate(urls) if u and "spam" in u], "id long, good boolean")
+    urls += [f"http://spam.org/buy/now/a/b/c/d/{i}" for i in range(20)] + [f"http://spam.org/{i}/2024/x" for i in range(20)]
+    rows = [(i, u, "/read/" in (u or "") if u and "spam" in u else None, "own") for i, u in enumerate(urls)]
+    rows += [rows[9], rows[6], (None, None, True, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, good boolean, path_shape string")
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-    found = {r.page_id: r for r in url_filters.judge(pages, labels, rules).collect()}
+    judged = url_filters.judge(pages.withColumn("host", F.lit("clash")), rules, F.col("good")).collect()
+    found = {r.page_id: r for r in judged}
+    assert len(judged) == len(rows) and {r.path_shape for r in judged} == {"own", None} and found[None].host == ""
     assert [found[i].rule for i in range(9)] == ["com/", "www.example.com/en/", "example.com/en/", "net/es/", "net/fr/", None, None, None, None]
     assert found[1].host == "www.example.com" and found[2].path == "/en/2" and (found[6].host, found[7].path) == ("", "")
     assert {found[i].verdict for i in range(9, 49)} == {"block"} and {found[i].verdict for i in range(49, 89)} == {"allow"}
-    assert url_filters.judge(pages.limit(0), labels.limit(0), rules).count() == 0
+    # numbers are one wildcard each, a year that many pages share is only told apart by its labels
+    assert {found[i].template for i in range(109, 129)} == {"/*/*/*"} and found[20].template == "/buy/*"
+    none = url_filters.judge(pages, [], F.lit(None).cast("boolean")).collect()
+    assert {r.verdict for r in none} == {"allow"} and {r.rule for r in none} == {None}
+    assert url_filters.judge(pages.limit(0), rules, F.col("good")).count() == 0
+
+
+def plain_templates(rows, depth):
+    """(url -> template, purity) by the rules of the operator, over plain dictionaries."""
+    shapes = Counter()
+    for url, good in rows:
+        host, path = re.match(r"https?://([^/]*)(.*)", url).groups()
+        parts = [p for p in path.split("/") if p]
+        shapes[host, (*parts[:depth], *(["**"] if len(parts) > depth else [])), good] += 1
+    sums = {}
+    for (host, parts, good), n in shapes.items():
+        c = sums.setdefault((host, parts), [0, 0, 0])
+        c[0] += n
+        c[1] += n * (good is not None)
+        c[2] += n * (good is True)
+    now = {k: () for k in sums}
+    for level in range(depth):
+        children = {}
+        for (host, parts), template in now.items():
+            if len(parts) > level:
+                child = children.setdefault((host, template), {}).setdefault(parts[level], [0, 0, 0])
+                for i in range(3):
+                    child[i] += sums[host, parts][i]
+        after = {}
+        for (host, parts), template in now.items():
+            if len(parts) <= level:
+                after[host, parts] = template
+                continue
+            group = children[host, template]
+            n, labelled, good = group[parts[level]]
+            everything, all_good = sum(c[1] for c in group.values()), sum(c[2] for c in group.values())
+            rest, kept = everything - labelled, False
+            if n >= url_filters.MIN_PAGES and labelled and rest:
+                rate = all_good / everything
+                error = (rate * (1 - rate) * (1 / labelled + 1 / rest)) ** 0.5
+                kept = abs(good / labelled - (all_good - good) / rest) > url_filters.SPLIT_Z * error
+            after[host, parts] = (*template, parts[level] if kept else "*")
+        now = after
+    now = {k: (*t, "**") if len(k[1]) > depth else t for k, t in now.items()}
+    prior = sum(c[2] for c in sums.values()) / sum(c[1] for c in sums.values())
+    of = lambda keep: [sum(c[i] for k, c in sums.items() if keep(k)) for i in (1, 2)]
+    out = {}
+    for key, template in now.items():
+        labelled, good = of(lambda k: k[0] == key[0])  # noqa: B023
+        host_purity = (good + url_filters.WEIGHT * prior) / (labelled + url_filters.WEIGHT)
+        labelled, good = of(lambda k: k[0] == key[0] and now[k] == template)  # noqa: B023
+        out[key] = "/" + "/".join(template), (good + url_filters.WEIGHT * host_purity) / (labelled + url_filters.WEIGHT)
+    return out
+
+
+def test_url_templates_equal_plain_ones(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(900):
+        host, section = rng.choice("ab"), rng.choice(["shop", "news", "tag", "v2"])
+        path = [section, *rng.choices(["x", "y", str(rng.randrange(400))], k=rng.randrange(4))]
+        rows.append((f"http://{host}.org/" + "/".join(path), rng.random() < {"shop": 0.1, "tag": 0.4}.get(section, 0.9) if rng.random() < 0.8 else None))
+    frame = spark.createDataFrame(rows, "url string, good boolean")
+    want = plain_templates(rows, 3)
+    for r in url_filters.judge(frame, [], F.col("good"), depth=3).collect():
+        parts = tuple(p for p in r.path.split("/") if p)
+        template, purity = want[r.host, (*parts[:3], *(["**"] if len(parts) > 3 else []))]
+        assert (r.template, r.verdict) == (template, "block" if purity < 0.5 else "allow") and abs(r.purity - purity) < 1e-9
+
+
+def test_pages_that_show_prose(spark):
+    prose = "<p>" + "some words here " * 30 + "</p>"
+    pages = [prose, "<nav>" + prose + "</nav><p>short</p>", prose.replace("words", "###$$$"), prose.upper(), "<script>" + prose, "", None]
+    frame = spark.createDataFrame([(p,) for p in pages], "html string")
+    assert [r[0] for r in frame.select(url_filters.readable(F.col("html"))).collect()] == [True, False, False, False, True, False, None]
 
 
 def test_licences(spark):
