@@ -16,13 +16,13 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revdelta.llm.common import cut
+from revdelta.llm.common import stored
 
 #: Vectors in a shard on average: bounds a task's memory and work.
-SHARD = 8000
+SHARD = 4000
 #: Queries that search one shard in one task, on average.
 QUERY_BLOCK = 20_000
 DEGREE = 32
@@ -30,7 +30,7 @@ BUILD_BEAM = 64
 SEARCH_BEAM = 96
 ALPHA = 1.2
 #: Vectors that are inserted or searched together.
-BATCH = 512
+BATCH = 1024
 
 
 def _distances(points: np.ndarray, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -40,10 +40,14 @@ def _distances(points: np.ndarray, queries: np.ndarray, ids: np.ndarray) -> np.n
 
 
 class Graph:
-    """A directed graph over the rows of `points`; edges is (n, DEGREE) padded with -1."""
+    """A directed graph over the rows of `points`; edges is (n, DEGREE) padded with -1.
+
+    Walks compare single-precision copies; answers are measured again by who asks.
+    """
 
     def __init__(self, points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 7):
-        self.points, self.degree, self.alpha = points, degree, alpha
+        self._keep(points)
+        points, self.degree, self.alpha = self.points, degree, alpha
         n = len(points)
         self.edges = np.full((n, degree), -1, np.int32)
         self.counts = np.zeros(n, np.int32)
@@ -55,7 +59,7 @@ class Graph:
             # a batch sees the graph before it, so it grows by doubling up to BATCH;
             # its members also propose each other
             batch = order[done : done + min(BATCH, done)]
-            found, _ = self.search(points[batch], beam)
+            found, _ = self._walk(points[batch], beam)
             near = _nearest_in(points, batch, min(len(batch), degree // 2))
             self._link(batch, np.concatenate([found, near], axis=1))
             done += len(batch)
@@ -64,17 +68,29 @@ class Graph:
     def stored(cls, points: np.ndarray, edges: list, start: int) -> Graph:
         """A graph that was built before."""
         graph = cls.__new__(cls)
-        graph.points, graph.start = points, start
+        graph._keep(points)
+        graph.start = start
         graph.edges = np.full((len(points), max(1, max(map(len, edges)))), -1, np.int32)
         for row, own in zip(graph.edges, edges):
             row[: len(own)] = own
         return graph
 
+    def _keep(self, points: np.ndarray) -> None:
+        """Scale by the usual size of a vector, so that single precision holds the squares."""
+        self.scale = float(np.median(np.abs(points).max(axis=1, initial=0))) or 1.0
+        self.points = self._scaled(points)
+
+    def _scaled(self, points: np.ndarray) -> np.ndarray:
+        return np.clip(points / self.scale, -1e15, 1e15).astype(np.float32)
+
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Beam search of all queries in step: (ids, squared distances), nearest first, -1 padded."""
+        """Beam search of all queries in step: (ids, squared scaled distances), nearest first, -1 padded."""
+        return self._walk(self._scaled(queries), beam)
+
+    def _walk(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         m = len(queries)
         ids = np.full((m, beam), -1, np.int64)
-        dist = np.full((m, beam), np.inf)
+        dist = np.full((m, beam), np.inf, np.float32)
         opened = np.zeros((m, beam), bool)
         ids[:, 0] = self.start
         dist[:, 0] = ((queries - self.points[self.start]) ** 2).sum(axis=1)
@@ -179,15 +195,15 @@ def index(vectors: DataFrame, k: int = 10, vector: str = "embedding", id_col: st
     """The graphs of all shards: a row per distinct vector with its place in the shard's
     graph, the places its edges lead to, and its k + 1 smallest ids. `start` marks where
     searches begin; vectors of different lengths never share a graph."""
-    rows = usable(vectors, vector, id_col)
-    # equal vectors become one node; partial results hold at most k + 1 ids for each
-    ids = F.slice(F.array_sort(F.collect_set("id")), 1, k + 1)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    nodes = salted.groupBy("v", "salt").agg(ids.alias("ids"))
-    merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
-    nodes = cut(nodes.groupBy("v").agg(merged.alias("ids")))
+    # equal vectors become one node; of a vector's ids each task passes on k + 1 at most
+    rows = usable(vectors, vector, id_col).distinct()
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    least = rows.select("id", "v", place.alias("nth")).where(F.col("nth") <= k + 1)
+    nodes = stored(least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     shards = max(1, ceil(nodes.count() / shard))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    # a task for each shard: partitions that are dealt by number stay apart
+    dealt = dealt.repartitionById(shards, "shard")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         points = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)
@@ -252,12 +268,16 @@ def _search_shard(nodes: pd.DataFrame, questions: pd.DataFrame, k: int, beam: in
     for at in range(0, len(questions), BATCH):
         part = questions.iloc[at : at + BATCH]
         asked = np.array(part["v"].tolist(), np.float64).reshape(len(part), -1)
-        found, dist = graph.search(asked, max(beam, wanted))
-        found, dist = found[:, :wanted], dist[:, :wanted]
-        rows, cols = np.nonzero(found >= 0)
+        found, _ = graph.search(asked, max(beam, wanted))
+        dist = np.where(found < 0, np.inf, np.sqrt(_distances(points, asked, found)))
+        order = np.argsort(dist, axis=1, kind="stable")
+        take = np.arange(len(part))[:, None]
+        found, dist = found[take, order], dist[take, order]
+        # what ties with the last one wanted goes along: ids decide between them
+        rows, cols = np.nonzero((found >= 0) & (dist <= dist[:, wanted - 1 : wanted]))
         query_ids.append(part["id"].to_numpy()[rows])
         places.append(found[rows, cols])
-        scores.append(np.sqrt(dist[rows, cols]))
+        scores.append(dist[rows, cols])
     place = np.concatenate(places)
     return pd.DataFrame(
         {"query_id": np.concatenate(query_ids), "ids": [ids[p] for p in place], "score": np.concatenate(scores)}
