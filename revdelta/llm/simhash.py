@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from revdelta.llm.common import components, cut, free, map_texts
+from revdelta.llm.common import components, free, hidden, map_texts, possibly_in, stored
 
 RADIUS = 3
 SEED = 42
@@ -96,10 +96,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     probes = _probes(fps)
     buckets = probes.where("exact").groupBy("half").agg(F.min("fp").alias("pivot"), F.count("*").alias("n"))
     # what probes find: nearly nothing but near copies, as a half has 2^32 values
-    hits = cut(probes.join(buckets, "half").where("n > 1 or fp != pivot").select("half", "fp", "exact", "pivot"))
+    hits = stored(probes.join(buckets, "half").where("n > 1 or fp != pivot").select("half", "fp", "exact", "pivot"))
     stars = hits.where((F.col("fp") != F.col("pivot")) & (_apart("fp", "pivot") <= radius))
     stars = stars.select(F.col("pivot").alias("u"), F.col("fp").alias("v"))
-    labels = cut(components(stars))
+    labels = stored(components(stars))
     known = labels.select(F.col("node").alias("fp"), F.col("component").alias("c"))
 
     def tagged(df: DataFrame) -> DataFrame:
@@ -119,6 +119,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(rest)
 
 
+def _labelled(prints: DataFrame, least: Column, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of all prints, and (root, first): the smallest `least` of each component."""
+    distinct = prints.groupBy("fp").agg(F.min(least).alias("least"))
+    labels = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    labelled = distinct.join(labels, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    return labelled.select("fp", "root"), labelled.groupBy("root").agg(F.min("least").alias("first"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = RADIUS) -> DataFrame:
     """(id, fingerprint, component_id) for every document.
 
@@ -129,24 +137,36 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: in
     rows stay repeated. An empty table gives no rows.
     """
     own = free(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("words")), "fp")
-    prints = cut(fingerprints(own, "words", size).select("id", "fp"))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    labels = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    labelled = distinct.join(labels, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    roots = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = labelled.join(roots, "root").select("fp", "component_id")
+    prints = stored(fingerprints(own, "words", size).select("id", "fp"))
+    labelled, roots = _labelled(prints, F.col("id"), radius)
+    by_print = labelled.join(roots, "root").select("fp", F.col("first").alias("component_id"))
     return prints.join(by_print, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 3, radius: int = RADIUS) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, radius: int = RADIUS) -> DataFrame:
     """The documents that stay: of each group the row with the smallest id.
 
-    Rows that repeat an id keep one row; rows whose id is null cannot be matched to a
-    group and stay.
+    Rows are told apart by id and text: of rows that repeat both one stays, rows that
+    repeat an id with other text are documents of their own. Rows whose id is null cannot
+    be named and stay. Only rows that go, or might by a bitmap of fixed size, are shuffled
+    with their texts.
     """
-    found = groups(docs, id_col, text, size, radius).where(F.col(id_col) == F.col("component_id"))
-    stay = docs.join(found.select(id_col).distinct(), id_col, "left_semi")
-    stay = stay.dropDuplicates([id_col])
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    row = hidden(docs, "row")
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`"))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("row"), F.col(f"`{text}`").alias("words"))
+    prints = stored(fingerprints(own.where("id is not null"), "words", size).select("id", "row", "fp"))
+    labelled, roots = _labelled(prints, F.struct("id", "row"), radius)
+    counted = prints.groupBy("id", "row", "fp").count().join(labelled.join(roots, "root"), "fp")
+    stays = F.col("first") == F.struct("id", "row")
+    touched = stored(counted.where(~stays | (F.col("count") > 1)).select("id", "row", stays.alias("stays")))
+    held, known, other = (hidden(docs, n) for n in ("held", "known_id", "known_row"))
+    flag = hidden(docs, "stays")
+    parted = possibly_in(docs.withColumn(row, key), F.col(row), touched, "row", held)
+    named = touched.toDF(known, other, flag)
+    same = (F.col(f"`{id_col}`") == F.col(known)) & (F.col(row) == F.col(other))
+    joined = parted.where(held).join(named, same, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = joined.where(flag).dropDuplicates([id_col, row]).select(*columns)
+    return parted.where(~F.col(held)).select(*columns).unionByName(joined.where(F.col(flag).isNull()).select(*columns)).unionByName(once)
