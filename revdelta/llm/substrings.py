@@ -9,10 +9,10 @@ similarity decides, and connected components are the clusters, of which one para
 Passages pasted into longer lines hide from paragraphs, whose similarity they hardly move.
 So what the clusters leave is compared by runs of RUN words, wherever they stand: of every
 RUN neighbouring starts the one with the least hash is taken, so two texts that share
-2 * RUN - 1 words in a row share a run that both take. Around a taken run that stands in
-several documents every run counts, taken or not: whatever stands in an earlier document
-too goes, so a shared passage of 2 * RUN - 1 words or more goes whole. Removed paragraphs
-take no part, so a run is never kept in a place that is removed itself.
+2 * RUN - 1 words in a row share a run that both take. The smallest document with a run
+keeps it. Taken runs that follow each other in both documents are one passage, whose ends
+are moved outwards word by word as far as both agree, which is less than RUN words. Removed
+paragraphs take no part, so a run is never kept in a place that is removed itself.
 
 Class tables, bands and runs are shuffled as hashes and places; text is read again only
 for classes that share a band with another, documents that lost a paragraph and documents
@@ -42,6 +42,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 #: Words in a run.
 RUN = 24
+#: Words that a slice may have: places fill this much of a hash.
+PLACES = 1 << 28
 #: Drawn members with which a prefix bucket is compared before its pairs are.
 PIVOTS = 12
 #: Shingles of a prefix that are carried along to see where two prefixes meet first.
@@ -74,22 +76,17 @@ RUNS = T.StructType(
         T.StructField("lo", T.LongType()),
     ]
 )
-#: Words first to last (exclusive) of a document: a run whose key is to be looked up, or a span whose keeper is known.
-SPANS = T.StructType(
-    [
-        T.StructField("doc", T.LongType()),
-        T.StructField("row", T.LongType()),
-        T.StructField("first", T.IntegerType()),
-        T.StructField("last", T.IntegerType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("end", T.LongType()),
-        T.StructField("hi", T.IntegerType()),
-        T.StructField("lo", T.LongType()),
-        T.StructField("kept_doc", T.LongType()),
-        T.StructField("kept_row", T.LongType()),
-        T.StructField("known", T.IntegerType()),
-    ]
-)
+#: What stands around the run that starts at word `at`: hashes and places of up to RUN - 1
+#: words before it, nearest first, and behind it; and the run's own place.
+AROUND = "kept_doc long, kept_row long, kept_at int, left array<int>, starts array<long>, right array<int>, ends array<long>, start long, end long"
+#: Words first to last (exclusive) of a document that another one keeps.
+SPANS = "doc long, row long, first int, last int, start long, end long, kept_doc long, kept_row long"
+#: Parts in which rows of one key meet its few other rows.
+SALTS = 16
+
+
+def _names(fields: str) -> list[str]:
+    return [f.split()[0] for f in fields.split(", ")]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -106,177 +103,207 @@ def _rolled(hashes: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
         return _mix(total)
 
 
-def _rolled_at(hashes: np.ndarray, size: int, base: np.uint64, first: np.ndarray) -> np.ndarray:
-    """As _rolled(), at the places `first` only: differences of one running sum, whose terms
-    are divided by the powers of the base (odd, so that division by it is exact)."""
+def _sums(hashes: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of hashes, each divided by the base's power of its place (the base is
+    odd, so that division is exact), and the powers."""
+    n = len(hashes) + 1
+    down = np.cumprod(np.full(n, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * down[:-1], dtype=np.uint64)])
+    return sums, np.cumprod(np.full(n, base, np.uint64))
+
+
+def _ranged(hashes: np.ndarray, base: np.uint64, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the words in each range, the same wherever the range stands."""
     with np.errstate(over="ignore"):
-        n = len(hashes) + 1
-        down = np.cumprod(np.full(n, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))
-        up = np.cumprod(np.full(n, base, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * down[:-1], dtype=np.uint64)])
-        return _mix((sums[first + size] - sums[first]) * up[first + size - 1])
+        sums, powers = _sums(hashes, base)
+        return _mix((sums[last] - sums[first]) * powers[first])
 
 
-class _Text:
-    """Words of one text with their hashes and places in code points.
+def _rolled_at(hashes: np.ndarray, size: int, base: np.uint64, first: np.ndarray) -> np.ndarray:
+    """_ranged() of the `size` words from each of the places `first`."""
+    return _ranged(hashes, base, first, first + size)
+
 
-    cut: (start, end) places whose words are left out of runs.
+class _Slice:
+    """Words of several texts, one after the other, with their hashes and places in code points.
+
+    cuts: for each text, (start, end) places whose words take no part.
     """
 
-    def __init__(self, text: bytes, cut: list[dict] | None = None):
-        raw = np.frombuffer(text, np.uint8)
+    def __init__(self, texts: list[bytes], cuts: list[list[dict] | None] | None = None):
+        whole = b"\n\n".join(texts)  # a blank line keeps texts apart
+        raw = np.frombuffer(whole, np.uint8)
         gap = _WORD_STARTS[raw]
         edges = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]])))
+        first_byte = np.cumsum([0, *(len(t) + 2 for t in texts)])
         points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        self.starts, self.ends = points[edges[0::2]], points[edges[1::2]]
-        words = text.lower().split()
+        at, ends = edges[0::2], edges[1::2]
+        #: the text that holds a word, and the first word of each text
+        self.owner = np.searchsorted(first_byte, at, "right") - 1
+        self.base = np.searchsorted(at, first_byte)
+        shift = points[first_byte[:-1]]
+        self.starts, self.ends = points[at] - shift[self.owner], points[ends] - shift[self.owner]
+        words = whole.lower().split()
         self.hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
         breaks = np.flatnonzero(raw == 10)
-        #: number of words before each line and at the text's end
-        self.lines = np.concatenate([[0], np.searchsorted(edges[0::2], breaks), [len(words)]])
+        #: number of words before each line and at the end
+        self.lines = np.concatenate([[0], np.searchsorted(at, breaks), [len(words)]])
+        # barriers: words that no run may cover, and the first words of texts, that none may cross
         gone = np.zeros(len(words) + 1, np.int64)
-        for place in cut or ():
-            first, last = np.searchsorted(self.starts, [place["start"], place["end"]])
-            gone[first] += 1
-            gone[last] -= 1
-        before = np.concatenate([[0], np.cumsum(np.cumsum(gone[:-1]) > 0)])
-        #: whether the run that starts at a word keeps clear of the cut
-        self.clear = before[RUN:] == before[: max(0, len(before) - RUN)]
-
-    def paragraphs(self, least: int) -> list[tuple[int, int]]:
-        out, start, end = [], 0, 0
-        for a, b in zip(self.lines.tolist(), self.lines[1:].tolist()):
-            if start < end and (b == a or b - a >= least):
-                out.append((start, end))
-                start = end
-            if b - a >= least:
-                out.append((a, b))
-            elif b > a:
-                start, end = (start, b) if start < end else (a, b)
-        return [(a, b) for a, b in [*out, (start, end)] if b - a >= least]
+        for i, cut in enumerate(cuts or ()):
+            low, high = self.base[i], self.base[i + 1]
+            for place in cut or ():
+                first, last = low + np.searchsorted(self.starts[low:high], [place["start"], place["end"]])
+                gone[first] += 1
+                gone[last] -= 1
+        self.gone = np.cumsum(gone[:-1]) > 0
+        before = np.concatenate([[0], np.cumsum(self.gone)])
+        n = max(0, len(words) - RUN + 1)
+        #: whether the run that starts at a word lies in one text and keeps clear of the cuts
+        self.clear = (before[RUN : RUN + n] == before[:n]) & (self.owner[RUN - 1 :] == self.owner[:n])
+
+    def paragraphs(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last (exclusive) words of the paragraphs."""
+        first, last = self.lines[:-1], self.lines[1:]
+        n = last - first
+        joins = (n > 0) & (n < least)  # short lines join a short line right before them
+        head = (n > 0) & ~(joins & np.concatenate([[False], joins[:-1]]))
+        heads = np.flatnonzero(head)
+        # a paragraph ends with the last line that has words before the next one starts
+        first, last = first[heads], np.maximum.reduceat(last, heads) if len(heads) else heads
+        long_enough = last - first >= least
+        return first[long_enough], last[long_enough]
 
     def runs(self) -> np.ndarray:
         """Starts (word numbers) of the runs that are taken, wherever a run is repeated too."""
-        order = _rolled(self.hashes, 2, _BASES[1])
+        n = len(self.clear)
+        if not n:
+            return np.zeros(0, np.int64)
+        # the place fills a hash's low bits: it settles ties to the left, and a minimum names it
+        order = _rolled(self.hashes, 2, _BASES[1])[:n] & ~np.uint64(PLACES - 1) | np.arange(n, dtype=np.uint64)
         edges = np.flatnonzero(np.diff(np.concatenate([[False], self.clear, [False]])))
-        taken = [np.zeros(0, np.int64)]
-        for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()):
-            if b - a <= RUN:
-                taken.append(a + order[a:b].argmin(keepdims=True))
-            else:
-                windows = np.lib.stride_tricks.sliding_window_view(order[a:b], RUN)
-                taken.append(a + np.unique(windows.argmin(axis=1) + np.arange(len(windows))))
-        return np.concatenate(taken)
+        heads, sizes = edges[0::2], edges[1::2] - edges[0::2]
+        short = sizes <= RUN
+        taken = [np.array([order[a : a + size].min() for a, size in zip(heads[short].tolist(), sizes[short].tolist())], np.uint64)]
+        if not short.all():
+            least, width = order, 1
+            while 2 * width <= RUN:
+                least = np.minimum(least[:-width], least[width:])
+                width *= 2
+            if width < RUN:
+                least = np.minimum(least[: len(least) - (RUN - width)], least[RUN - width :])
+            inside = np.zeros(n + 1, np.int64)
+            np.add.at(inside, heads[~short], 1)
+            np.add.at(inside, (heads + sizes)[~short] - RUN + 1, -1)
+            taken.append(least[np.cumsum(inside)[: len(least)] > 0])
+        return np.unique(np.concatenate(taken) & np.uint64(PLACES - 1)).astype(np.int64)
 
     def run_keys(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """hi and lo of the runs that start at the words `first`."""
         a, b = (_rolled_at(self.hashes, RUN, base, first) for base in _BASES)
         return a.astype(np.uint32).view(np.int32), b.view(np.int64)
 
+    def around(self, text: int, head: int, tail: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words before the run at `head` of a text, nearest first, and behind the run at
+        `tail`: up to RUN - 1 each, none of them cut or beyond one that is."""
+        low, high = self.base[text], self.base[text + 1]
+        left = np.arange(low + head - 1, max(low, low + head - RUN + 1) - 1, -1)
+        right = np.arange(low + tail + RUN, min(high, low + tail + 2 * RUN - 1))
+        return tuple(x[: int(np.argmax(self.gone[x])) if self.gone[x].any() else len(x)] for x in (left, right))
+
 
-def _bands(groups: list[np.ndarray]) -> np.ndarray:
-    """The bands as signed longs, a row for each group of shingle hashes."""
-    flat = np.concatenate(groups)
-    firsts = np.cumsum([0, *map(len, groups)])[:-1]
+def _bands(shingles: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The bands as signed longs, a row for each range of shingle hashes."""
+    ranges = np.stack([first, last], axis=1).ravel()
+    padded = np.append(shingles, np.uint64(0))  # a range may end with the hashes
     with np.errstate(over="ignore"):
-        least = [_mix(np.minimum.reduceat(flat * p, firsts)) for p in _PERMUTE]
-        bands = np.zeros((len(groups), BANDS), np.uint64)
+        least = [_mix(np.minimum.reduceat(padded * p, ranges)[0::2]) for p in _PERMUTE]
+        bands = np.zeros((len(first), BANDS), np.uint64)
         for i, column in enumerate(least):
             bands[:, i % BANDS] = bands[:, i % BANDS] * _BASES[0] + column
         return _mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * _BASES[1]).view(np.int64)
 
 
-def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    """One record batch of rows of arrays, a value for each field but for those left out."""
-    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}
-    flat = [
-        pa.array(np.concatenate([r[i] for r in rows]) if rows else [], kinds[f.dataType]) for i, f in enumerate(schema)
-        if f.dataType in kinds
+def _paragraphs(rows: list[tuple], least: int) -> pa.RecordBatch:
+    texts, docs, keys = zip(*rows)
+    t = _Slice(texts)
+    first, last = t.paragraphs(least)
+    own = t.owner[first]
+    hi, lo = (_ranged(t.hashes, base, first, last) for base in _BASES)
+    columns = [
+        pa.array(np.array(docs, np.int64)[own]), pa.array(np.array(keys, np.int64)[own]), pa.array(t.starts[first]), pa.array(t.ends[last - 1]),
+        pa.array(last - first, pa.int32()), pa.array(hi.astype(np.uint32).view(np.int32)), pa.array(lo.view(np.int64)),
     ]
-    return pa.RecordBatch.from_arrays(flat, names=[f.name for f in schema if f.dataType in kinds])
-
-
-def _paragraphs(docs: list[tuple], least: int) -> pa.RecordBatch:
-    rows: list[tuple] = []
-    groups: list[np.ndarray] = []
-    for text, doc, row in docs:
-        t = _Text(text)
-        found = t.paragraphs(least)
-        if not found:
-            continue
-        shingles = _rolled(t.hashes, SHINGLE, _BASES[0])
-        first, last = (np.array(x, np.int64) for x in zip(*found))
-        groups += [shingles[a : b - SHINGLE + 1] for a, b in found]
-        hi, lo = (np.array([int(_key(t.hashes[a:b], base)) for a, b in found], np.uint64) for base in _BASES)
-        rows.append((
-            np.full(len(first), doc), np.full(len(first), row), t.starts[first], t.ends[last - 1], last - first,
-            hi.astype(np.uint32).view(np.int32), lo.view(np.int64),
-        ))
-    flat = _batch(rows, UNITS)
-    if groups:
-        ends = pa.array(np.arange(flat.num_rows + 1) * BANDS, pa.int32())
-        bands = pa.ListArray.from_arrays(ends, pa.array(_bands(groups).ravel()))
+    if len(first):
+        ends = pa.array(np.arange(len(first) + 1) * BANDS, pa.int32())
+        bands = _bands(_rolled(t.hashes, SHINGLE, _BASES[0]), first, last - SHINGLE + 1)
+        columns.append(pa.ListArray.from_arrays(ends, pa.array(bands.ravel())))
     else:
-        bands = pa.nulls(0, pa.list_(pa.int64()))
-    return flat.append_column("bands", bands)
-
-
-def _taken(docs: list[tuple]) -> pa.RecordBatch:
-    rows: list[tuple] = []
-    for text, doc, row, cut in docs:
-        t = _Text(text, cut)
-        first = t.runs()
-        if len(first):
-            rows.append((np.full(len(first), doc), np.full(len(first), row), first, *t.run_keys(first)))
-    return _batch(rows, RUNS)
-
-
-def _spans(docs: list[tuple]) -> pa.RecordBatch:
-    """The shared taken runs of documents with what has to be looked up around them.
-
-    Taken runs that follow each other by RUN words at most, here as in the document that
-    keeps them, are one span of a known keeper. Runs inside it stand in the keeper, which
-    looks them up itself, so here only those that leave the span are looked up.
-    """
-    rows: list[tuple] = []
-    for text, doc, row, cut, hits in docs:
-        t = _Text(text, cut)
-        n = len(t.hashes) - RUN + 1
-        hits = sorted((h["at"], h["kept_doc"], h["kept_row"], h["kept_at"]) for h in hits)
-        at, kept, kept_row, there = (np.array(c, np.int64) for c in zip(*hits))
-        wanted = np.zeros(n + 1, np.int64)
-        np.add.at(wanted, np.maximum(at - RUN + 1, 0), 1)
-        np.add.at(wanted, np.minimum(at + RUN, n), -1)
-        same = (kept[1:] == kept[:-1]) & (kept_row[1:] == kept_row[:-1])
-        follows = same & (np.diff(at) <= RUN) & (np.diff(at) == np.diff(there))
-        heads = np.flatnonzero(np.concatenate([[True], ~follows]))
-        tails = np.concatenate([heads[1:], [len(at)]]) - 1
-        inside = np.zeros(n + 1, np.int64)
-        others = (kept[heads] != doc) | (kept_row[heads] != row)
-        np.add.at(inside, at[heads][others], 1)
-        np.add.at(inside, at[tails][others] + 1, -1)
-        asked = np.flatnonzero((np.cumsum(wanted)[:n] > 0) & (np.cumsum(inside)[:n] == 0) & t.clear)
-        first = np.concatenate([at[heads], asked])
-        last = np.concatenate([at[tails], asked]) + RUN
-        hi, lo = t.run_keys(asked)
-        pad = lambda known, looked_up: np.concatenate([known, looked_up])
-        zeros, open_ = np.zeros(len(heads), np.int64), np.zeros(len(asked), np.int64)
-        rows.append((
-            np.full(len(first), doc), np.full(len(first), row), first, last, t.starts[first], t.ends[last - 1],
-            pad(zeros, hi.astype(np.int64)), pad(zeros, lo), pad(kept[heads], open_), pad(kept_row[heads], open_),
-            pad(zeros + 1, np.zeros(len(asked), np.int64)),
-        ))
-    return _batch(rows, SPANS)
-
-
-def _key(hashes: np.ndarray, base: np.uint64) -> np.uint64:
-    """A hash of all the words of a paragraph."""
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(len(hashes), base, np.uint64))
-        return _mix((hashes * powers).sum(dtype=np.uint64, keepdims=True))[0]
-
-
-def _sliced(rows: DataFrame, work, schema: T.StructType) -> DataFrame:
+        columns.append(pa.nulls(0, pa.list_(pa.int64())))
+    return pa.RecordBatch.from_arrays(columns, names=UNITS.names)
+
+
+def _taken(rows: list[tuple]) -> pa.RecordBatch:
+    texts, docs, keys, cuts = zip(*rows)
+    t = _Slice(texts, cuts)
+    first = t.runs()
+    own = t.owner[first]
+    hi, lo = t.run_keys(first)
+    columns = [np.array(docs, np.int64)[own], np.array(keys, np.int64)[own], (first - t.base[own]).astype(np.int32), hi, lo]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=RUNS.names)
+
+
+def _contexts(rows: list[tuple]) -> pa.RecordBatch:
+    """What stands around the runs of keepers, as AROUND."""
+    texts, docs, keys, cuts, places = zip(*rows)
+    t = _Slice(texts, cuts)
+    short = t.hashes.astype(np.uint32).view(np.int32)
+    out: list[tuple] = []
+    for i, own in enumerate(places):
+        for at in own:
+            left, right = t.around(i, at, at)
+            first = t.base[i] + at
+            out.append((
+                docs[i], keys[i], at, short[left], t.starts[left], short[right], t.ends[right],
+                int(t.starts[first]), int(t.ends[first + RUN - 1]),
+            ))
+    lists = {3: pa.list_(pa.int32()), 4: pa.list_(pa.int64()), 5: pa.list_(pa.int32()), 6: pa.list_(pa.int64())}
+    kinds = [lists.get(i, pa.int32() if i == 2 else pa.int64()) for i in range(9)]
+    columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=_names(AROUND))
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading elements are equal."""
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    return int(unlike[0]) if len(unlike) else n
+
+
+def _passages(rows: list[tuple]) -> pa.RecordBatch:
+    """The passages of documents, ends moved outwards, and where their keepers have them."""
+    texts, docs, keys, cuts, chains = zip(*rows)
+    t = _Slice(texts, cuts)
+    short = t.hashes.astype(np.uint32).view(np.int32)
+    out: list[tuple] = []
+    for i, own in enumerate(chains):
+        low = t.base[i]
+        for c in own:
+            left, right = t.around(i, c["head"], c["tail"])
+            more = _agree(short[left], np.array(c["left"], np.int32)), _agree(short[right], np.array(c["right"], np.int32))
+            first, last = c["head"] - more[0], c["tail"] + RUN + more[1]
+            keeper = c["kept_doc"], c["kept_row"]
+            out.append((docs[i], keys[i], first, last, int(t.starts[low + first]), int(t.ends[low + last - 1]), *keeper))
+            start = c["starts"][more[0] - 1] if more[0] else c["start"]
+            end = c["ends"][more[1] - 1] if more[1] else c["end"]
+            first = c["kept_head"] - more[0]
+            out.append((*keeper, first, first + last - (c["head"] - more[0]), start, end, *keeper))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=_names(SPANS))
+
+
+def _sliced(rows: DataFrame, work, schema: T.StructType | str) -> DataFrame:
     """work() over (raw, ...) rows in lists of about SLICE bytes of raw."""
 
     def run(batches):
@@ -456,33 +483,57 @@ def _with_cuts(texts: DataFrame, cuts: DataFrame) -> DataFrame:
     return whole.unionByName(hit)
 
 
+def _salted(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on keys of which one may hold a large share of `many`: its rows are dealt to
+    SALTS parts, each of which gets a copy of `few`, where a key has few rows."""
+    salt = F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)).cast("int")
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", salt).join(copies, [*keys, "salt"]).drop("salt")
+
+
+def _asked(texts: DataFrame, cuts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(raw, doc, row, cut, asked) of the documents that `asked` (doc, row, asked) names."""
+    own = possibly_in(texts, F.col("row"), asked, "row", "held").where("held").drop("held")
+    return _with_cuts(own, cuts).join(asked, ["doc", "row"]).select("raw", "doc", "row", "cut", "asked")
+
+
 def shared_runs(docs: DataFrame, id_col: str, text: str, cuts: DataFrame) -> DataFrame:
     """(doc, row, start, end, n_words, kept_doc, kept_row): passages that stand in several
     documents. cuts (doc, row, cut) names places that take no part.
 
     All taken runs are shuffled by key; texts are read again only where a taken run is
-    shared. There every run is looked up that leaves what is known, and overlapping finds
-    with the same keeper are one passage.
+    shared, once for what stands around runs in their keepers and once to compare it.
+    Overlapping finds with the same keeper are one passage.
     """
     texts = _texts(docs, id_col, text)
     runs = stored(_sliced(_with_cuts(texts, cuts), _taken, RUNS))
     keys = ["hi", "lo"]
     shared = runs.groupBy(*keys).agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a != b")
     shared = stored(shared.select(*keys))
-    held = possibly_in(runs, F.col("lo"), shared, "lo", "held").where("held").drop("held").join(shared, keys)
-    held = stored(held)
+    held = stored(possibly_in(runs, F.col("lo"), shared, "lo", "held").where("held").drop("held").join(shared, keys))
     first = held.groupBy(*keys).agg(F.min(F.struct("doc", "row", "at")).alias("kept"))
     first = first.select(*keys, F.col("kept.doc").alias("kept_doc"), F.col("kept.row").alias("kept_row"), F.col("kept.at").alias("kept_at"))
-    hits = held.join(first, keys).groupBy("doc", "row")
-    hits = stored(hits.agg(F.collect_list(F.struct("at", "kept_doc", "kept_row", "kept_at")).alias("hits")))
-    own = possibly_in(texts, F.col("row"), hits, "row", "held").where("held").drop("held")
-    spans = stored(_sliced(_with_cuts(own, cuts).join(hits, ["doc", "row"]).select("raw", "doc", "row", "cut", "hits"), _spans, SPANS))
-    asked = spans.where("known = 0").drop("kept_doc", "kept_row", "known")
-    keepers = asked.groupBy(*keys).agg(F.min(F.struct("doc", "row")).alias("kept"), F.min("row").alias("a"), F.max("row").alias("b"))
-    keepers = stored(keepers.where("a != b").select(*keys, F.col("kept.doc").alias("kept_doc"), F.col("kept.row").alias("kept_row")))
-    again = possibly_in(asked, F.col("lo"), keepers, "lo", "held").where("held").drop("held").join(keepers, keys)
-    found = spans.where("known = 1").drop("known", *keys).unionByName(again.drop(*keys))
+    pairs = _salted(held, first, keys).where("doc != kept_doc or row != kept_row or at != kept_at")
+    # runs that follow each other, here as in the keeper, are one passage
     passage = ["doc", "row", "kept_doc", "kept_row"]
+    along = Window.partitionBy(*passage).orderBy("at")
+    step = F.col("at") - F.lag("at").over(along)
+    follows = (step <= RUN) & (step == F.col("kept_at") - F.lag("kept_at").over(along))
+    chained = pairs.withColumn("opens", F.when(follows, 0).otherwise(1))
+    chained = chained.withColumn("chain", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = stored(chained.groupBy(*passage, "chain").agg(
+        F.min("at").alias("head"), F.max("at").alias("tail"), F.min("kept_at").alias("kept_head"), F.max("kept_at").alias("kept_tail")
+    ))
+    ends = F.explode(F.array("kept_head", "kept_tail")).alias("at")
+    wanted = chains.select("kept_doc", "kept_row", ends).distinct().groupBy(F.col("kept_doc").alias("doc"), F.col("kept_row").alias("row"))
+    around = stored(_sliced(_asked(texts, cuts, wanted.agg(F.collect_list("at").alias("asked"))), _contexts, AROUND))
+    keeper = ["kept_doc", "kept_row"]
+    before = around.select(*keeper, F.col("kept_at").alias("kept_head"), "left", "starts", "start")
+    behind = around.select(*keeper, F.col("kept_at").alias("kept_tail"), "right", "ends", "end")
+    told = _salted(_salted(chains, before, [*keeper, "kept_head"]), behind, [*keeper, "kept_tail"])
+    known = F.struct("head", "tail", *keeper, "kept_head", "left", "starts", "start", "right", "ends", "end")
+    asked = told.groupBy("doc", "row").agg(F.collect_list(known).alias("asked"))
+    found = _sliced(_asked(texts, cuts, stored(asked)), _passages, SPANS).distinct()
     order = Window.partitionBy(*passage).orderBy("first")
     ahead = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(F.col("first") <= ahead, 0).otherwise(1)
