@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revdelta.llm import bpe, grader, licenses, neighbours, packing, pii, quality_rules, simhash, substrings, url_filters
-from revdelta.llm.common import cut, table
+from revdelta.llm.common import stored, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return neighbours.search(cut(neighbours.index(vectors)), vectors.where("vec_id % 100 = 0"))
+    return neighbours.search(stored(neighbours.index(vectors)), vectors.where("vec_id % 100 = 0"))
 
 
 def queries() -> dict:

@@ -1,10 +1,12 @@
-"""What several corpus operators share: lineage cuts, Arrow text batches, components."""
+"""What several corpus operators share: stored tables, Arrow text batches, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df now and cut its lineage with a checkpoint.
-
-    The checkpoint goes to the folder that the session names in spark.checkpoint.dir,
-    so it outlives executors.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -39,13 +31,36 @@ def shared_folder(spark: SparkSession) -> str:
     return named or spark.sparkContext.getCheckpointDir()
 
 
+#: Tables that stored() wrote within the innermost scratch(); null outside of any.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the tables that stored() wrote in it.
+
+    For callers that write an operator's result before the block ends.
+    """
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        for path in _written.get():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.reset(token)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """As cut(), for larger tables: written as Parquet in the shared folder and read again.
+    """df computed now, written as Parquet in the shared folder and read again.
 
-    The table stays there until the folder's owner clears it, as later reads need it.
+    That cuts its lineage and outlives executors. The table stays there until the
+    surrounding scratch() ends or the folder's owner clears it, as later reads need it.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written.get() is not None:
+        _written.get().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
