@@ -13,35 +13,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revdelta.llm import packing, pii, quality_rules, simhash, substrings
-from revdelta.llm.common import shared_folder
+from revdelta.llm.common import scratch, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    kept = quality_rules.ledger(docs).where(quality_rules.passes(quality_rules.POLICY))
+    """Documents that the rules reject go.
+
+    Null and empty texts have no words and go; rows that repeat an id are judged each for
+    itself; columns beyond COLUMNS are dropped; an empty table stays empty.
+    """
+    kept = quality_rules.ledger(docs.select(*COLUMNS)).where(quality_rules.passes(quality_rules.POLICY))
     return kept.select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.representatives(docs).select(*COLUMNS)
+    """One document of each SimHash group stays: the one with the smallest id.
+
+    Five-word shingles; fingerprints at most three bits apart are copies. Null texts count
+    as empty, which are copies of each other. Rows that repeat id and text are one; rows
+    that repeat an id with other text are documents of their own; a null id stays.
+    """
+    return simhash.representatives(docs.select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Paragraphs and passages that repeat across documents stay in one of them."""
-    return substrings.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Paragraphs and passages that repeat across documents stay in one of them.
+
+    A document of which nothing stays goes. Null and short texts, and rows with a null id,
+    pass unchanged; rows that repeat an id with other text are documents of their own.
+    """
+    return substrings.dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked by its kind."""
-    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Personal data and secrets are masked by their kind; null texts stay null."""
+    return pii.mask(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left becomes training sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """What is left becomes training sequences; an empty or null text is its end id alone."""
+    return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -61,6 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        with scratch(spark):  # what a stage stores on its way goes once its result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
     return docs
