@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -109,15 +110,15 @@ def free(df: DataFrame, *names: str) -> DataFrame:
 
 
 #: Bytes of text that become Python objects at once in a worker.
-SLICE = 2 << 20
+SLICE = 512 << 10
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most SLICE bytes of its last column, or of one row."""
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most SLICE bytes of a binary column, or of one row."""
     if not batch.num_rows:
         yield batch
         return
-    ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
@@ -126,6 +127,15 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start = end
 
 
+def give_back() -> None:
+    """Return memory that a task used to the system: Spark keeps Python workers for later
+    tasks, next to which an executor's JVM needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -144,10 +154,11 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch, batch.num_columns - 1):
                 kept, texts = part.columns[:-1], part.column(part.num_columns - 1)
                 made = work(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
+        give_back()
 
     bytes_of = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     return df.select(*[F.col(f"`{c}`") for c in df.columns], bytes_of.alias(raw)).mapInArrow(run, schema)

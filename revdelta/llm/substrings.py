@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from revdelta.llm.common import SLICE, components, hidden, possibly_in, stored
+from revdelta.llm.common import components, give_back, hidden, possibly_in, slices, stored
 
 MIN_WORDS = 20
 SHINGLE = 5
@@ -76,9 +76,15 @@ RUNS = T.StructType(
         T.StructField("lo", T.LongType()),
     ]
 )
-#: What stands around the run that starts at word `at`: hashes and places of up to RUN - 1
-#: words before it, nearest first, and behind it; and the run's own place.
-AROUND = "kept_doc long, kept_row long, kept_at int, left array<int>, starts array<long>, right array<int>, ends array<long>, start long, end long"
+#: Words on either side of a run that are compared to move a passage's ends.
+SIDE = RUN - 1
+#: What stands around the run that starts at word `at`: how many words before it, their
+#: hashes, nearest first, and how far before the run each starts; the same behind it; and
+#: the run's own place. The binary columns hold SIDE little-endian 32-bit numbers each.
+AROUND = (
+    "kept_doc long, kept_row long, kept_at int, n_left int, left binary, back binary,"
+    " n_right int, right binary, ahead binary, start long, end long"
+)
 #: Words first to last (exclusive) of a document that another one keeps.
 SPANS = "doc long, row long, first int, last int, start long, end long, kept_doc long, kept_row long"
 #: Parts in which rows of one key meet its few other rows.
@@ -203,13 +209,19 @@ class _Slice:
         a, b = (_rolled_at(self.hashes, RUN, base, first) for base in _BASES)
         return a.astype(np.uint32).view(np.int32), b.view(np.int64)
 
-    def around(self, text: int, head: int, tail: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words before the run at `head` of a text, nearest first, and behind the run at
-        `tail`: up to RUN - 1 each, none of them cut or beyond one that is."""
-        low, high = self.base[text], self.base[text + 1]
-        left = np.arange(low + head - 1, max(low, low + head - RUN + 1) - 1, -1)
-        right = np.arange(low + tail + RUN, min(high, low + tail + 2 * RUN - 1))
-        return tuple(x[: int(np.argmax(self.gone[x])) if self.gone[x].any() else len(x)] for x in (left, right))
+    def around(self, text: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Word numbers before the runs at `head` of the texts, nearest first, and behind the
+        runs at `tail`, SIDE for each, and how many of them count: none that is cut, of
+        another text, or beyond one that is."""
+        low, high = self.base[text][:, None], self.base[text + 1][:, None]
+        left = low + head[:, None] - 1 - np.arange(SIDE)
+        right = low + tail[:, None] + RUN + np.arange(SIDE)
+        out = []
+        for at in (left, right):
+            inside = (at >= low) & (at < high)
+            at = np.where(inside, at, 0)
+            out += [at, np.cumprod(inside & ~self.gone[at], axis=1).sum(axis=1)]
+        return tuple(out)
 
 
 def _bands(shingles: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -224,14 +236,17 @@ def _bands(shingles: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
         return _mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * _BASES[1]).view(np.int64)
 
 
-def _paragraphs(rows: list[tuple], least: int) -> pa.RecordBatch:
-    texts, docs, keys = zip(*rows)
-    t = _Slice(texts)
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
+
+
+def _paragraphs(rows: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    t = _Slice(rows.column(0).to_pylist())
     first, last = t.paragraphs(least)
     own = t.owner[first]
     hi, lo = (_ranged(t.hashes, base, first, last) for base in _BASES)
     columns = [
-        pa.array(np.array(docs, np.int64)[own]), pa.array(np.array(keys, np.int64)[own]), pa.array(t.starts[first]), pa.array(t.ends[last - 1]),
+        pa.array(_numbers(rows.column(1))[own]), pa.array(_numbers(rows.column(2))[own]), pa.array(t.starts[first]), pa.array(t.ends[last - 1]),
         pa.array(last - first, pa.int32()), pa.array(hi.astype(np.uint32).view(np.int32)), pa.array(lo.view(np.int64)),
     ]
     if len(first):
@@ -243,78 +258,81 @@ def _paragraphs(rows: list[tuple], least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=UNITS.names)
 
 
-def _taken(rows: list[tuple]) -> pa.RecordBatch:
-    texts, docs, keys, cuts = zip(*rows)
-    t = _Slice(texts, cuts)
+def _taken(rows: pa.RecordBatch) -> pa.RecordBatch:
+    t = _Slice(rows.column(0).to_pylist(), rows.column(3).to_pylist())
     first = t.runs()
     own = t.owner[first]
     hi, lo = t.run_keys(first)
-    columns = [np.array(docs, np.int64)[own], np.array(keys, np.int64)[own], (first - t.base[own]).astype(np.int32), hi, lo]
+    columns = [_numbers(rows.column(1))[own], _numbers(rows.column(2))[own], (first - t.base[own]).astype(np.int32), hi, lo]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=RUNS.names)
 
 
-def _contexts(rows: list[tuple]) -> pa.RecordBatch:
+def _blobs(matrix: np.ndarray) -> pa.Array:
+    """Rows of 32-bit numbers as binary values."""
+    ends = pa.py_buffer(np.arange(0, 4 * SIDE * (len(matrix) + 1), 4 * SIDE, dtype=np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, ends, pa.py_buffer(matrix.astype("<i4").tobytes())])
+
+
+def _matrix(blobs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs.to_pylist()), "<i4").reshape(-1, SIDE)
+
+
+def _contexts(rows: pa.RecordBatch) -> pa.RecordBatch:
     """What stands around the runs of keepers, as AROUND."""
-    texts, docs, keys, cuts, places = zip(*rows)
-    t = _Slice(texts, cuts)
+    t = _Slice(rows.column(0).to_pylist(), rows.column(3).to_pylist())
     short = t.hashes.astype(np.uint32).view(np.int32)
-    out: list[tuple] = []
-    for i, own in enumerate(places):
-        for at in own:
-            left, right = t.around(i, at, at)
-            first = t.base[i] + at
-            out.append((
-                docs[i], keys[i], at, short[left], t.starts[left], short[right], t.ends[right],
-                int(t.starts[first]), int(t.ends[first + RUN - 1]),
-            ))
-    lists = {3: pa.list_(pa.int32()), 4: pa.list_(pa.int64()), 5: pa.list_(pa.int32()), 6: pa.list_(pa.int64())}
-    kinds = [lists.get(i, pa.int32() if i == 2 else pa.int64()) for i in range(9)]
-    columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+    asked = rows.column(4)
+    own = np.repeat(np.arange(rows.num_rows), _numbers(asked.value_lengths()))
+    at = _numbers(asked.flatten()).astype(np.int64)
+    left, n_left, right, n_right = t.around(own, at, at)
+    first = t.base[own] + at
+    start, end = t.starts[first], t.ends[first + RUN - 1]
+    columns = [
+        pa.array(_numbers(rows.column(1))[own]), pa.array(_numbers(rows.column(2))[own]), pa.array(at, pa.int32()),
+        pa.array(n_left, pa.int32()), _blobs(short[left]), _blobs(start[:, None] - t.starts[left]),
+        pa.array(n_right, pa.int32()), _blobs(short[right]), _blobs(t.ends[right] - end[:, None]), pa.array(start), pa.array(end),
+    ]
     return pa.RecordBatch.from_arrays(columns, names=_names(AROUND))
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> int:
-    """How many leading elements are equal."""
-    n = min(len(a), len(b))
-    unlike = np.flatnonzero(a[:n] != b[:n])
-    return int(unlike[0]) if len(unlike) else n
-
-
-def _passages(rows: list[tuple]) -> pa.RecordBatch:
+def _passages(rows: pa.RecordBatch) -> pa.RecordBatch:
     """The passages of documents, ends moved outwards, and where their keepers have them."""
-    texts, docs, keys, cuts, chains = zip(*rows)
-    t = _Slice(texts, cuts)
+    t = _Slice(rows.column(0).to_pylist(), rows.column(3).to_pylist())
     short = t.hashes.astype(np.uint32).view(np.int32)
-    out: list[tuple] = []
-    for i, own in enumerate(chains):
-        low = t.base[i]
-        for c in own:
-            left, right = t.around(i, c["head"], c["tail"])
-            more = _agree(short[left], np.array(c["left"], np.int32)), _agree(short[right], np.array(c["right"], np.int32))
-            first, last = c["head"] - more[0], c["tail"] + RUN + more[1]
-            keeper = c["kept_doc"], c["kept_row"]
-            out.append((docs[i], keys[i], first, last, int(t.starts[low + first]), int(t.ends[low + last - 1]), *keeper))
-            start = c["starts"][more[0] - 1] if more[0] else c["start"]
-            end = c["ends"][more[1] - 1] if more[1] else c["end"]
-            first = c["kept_head"] - more[0]
-            out.append((*keeper, first, first + last - (c["head"] - more[0]), start, end, *keeper))
+    own = np.repeat(np.arange(rows.num_rows), _numbers(rows.column(4).value_lengths()))
+    chain = rows.column(4).flatten()
+    of = lambda name: _numbers(chain.field(name)).astype(np.int64)
+    blob = lambda name: _matrix(chain.field(name))
+    head, tail = of("head"), of("tail")
+    left, n_left, right, n_right = t.around(own, head, tail)
+    place = np.arange(SIDE)
+
+    def agree(mine: np.ndarray, n_mine: np.ndarray, theirs: np.ndarray, n_theirs: np.ndarray) -> np.ndarray:
+        both = place < np.minimum(n_mine, n_theirs)[:, None]
+        return np.cumprod((mine == theirs) & both, axis=1).sum(axis=1)
+
+    before, behind = agree(short[left], n_left, blob("left"), of("n_left")), agree(short[right], n_right, blob("right"), of("n_right"))
+    row, low = np.arange(len(own)), t.base[own]
+    moved = lambda name, n: np.where(n > 0, blob(name)[row, n - 1], 0)
+    first, last = head - before, tail + RUN + behind
+    kept_first = of("kept_head") - before
+    keeper = of("kept_doc"), of("kept_row")
+    here = (_numbers(rows.column(1))[own], _numbers(rows.column(2))[own], first, last, t.starts[low + first], t.ends[low + last - 1], *keeper)
+    there = (*keeper, kept_first, kept_first + last - first, of("start") - moved("back", before), of("end") + moved("ahead", behind), *keeper)
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+    columns = [pa.array(np.concatenate(both), kind) for both, kind in zip(zip(here, there), kinds)]
     return pa.RecordBatch.from_arrays(columns, names=_names(SPANS))
 
 
 def _sliced(rows: DataFrame, work, schema: T.StructType | str) -> DataFrame:
-    """work() over (raw, ...) rows in lists of about SLICE bytes of raw."""
+    """work() over record batches of (raw, ...) rows of about SLICE bytes of raw."""
 
     def run(batches):
         for batch in batches:
-            at, size = [], 0
-            for i in range(batch.num_rows):
-                at.append(tuple(c[i].as_py() for c in batch.columns))
-                size += len(at[-1][0])
-                if size >= SLICE or i + 1 == batch.num_rows:
-                    yield work(at)
-                    at, size = [], 0
+            for part in slices(batch, 0):
+                if part.num_rows:
+                    yield work(part)
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -528,10 +546,10 @@ def shared_runs(docs: DataFrame, id_col: str, text: str, cuts: DataFrame) -> Dat
     wanted = chains.select("kept_doc", "kept_row", ends).distinct().groupBy(F.col("kept_doc").alias("doc"), F.col("kept_row").alias("row"))
     around = stored(_sliced(_asked(texts, cuts, wanted.agg(F.collect_list("at").alias("asked"))), _contexts, AROUND))
     keeper = ["kept_doc", "kept_row"]
-    before = around.select(*keeper, F.col("kept_at").alias("kept_head"), "left", "starts", "start")
-    behind = around.select(*keeper, F.col("kept_at").alias("kept_tail"), "right", "ends", "end")
+    before = around.select(*keeper, F.col("kept_at").alias("kept_head"), "n_left", "left", "back", "start")
+    behind = around.select(*keeper, F.col("kept_at").alias("kept_tail"), "n_right", "right", "ahead", "end")
     told = _salted(_salted(chains, before, [*keeper, "kept_head"]), behind, [*keeper, "kept_tail"])
-    known = F.struct("head", "tail", *keeper, "kept_head", "left", "starts", "start", "right", "ends", "end")
+    known = F.struct("head", "tail", *keeper, "kept_head", "n_left", "left", "back", "start", "n_right", "right", "ahead", "end")
     asked = told.groupBy("doc", "row").agg(F.collect_list(known).alias("asked"))
     found = _sliced(_asked(texts, cuts, stored(asked)), _passages, SPANS).distinct()
     order = Window.partitionBy(*passage).orderBy("first")
