@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revdelta.functions import text as X
+from revdelta.sources.scratch import stored
 
 #: Fixed values of the alignment.
 BAND, GAP, MOVE_ABOVE = 12, -0.3, 0.75
@@ -43,10 +44,15 @@ def similar_pages(prints: DataFrame, least: float = X.PAGE_MATCH) -> DataFrame:
     ranked = words.join(counts, ["pair_id", "word"]).withColumn(
         "place", F.row_number().over(Window.partitionBy("pair_id", "side", "page_number").orderBy("df", "word"))
     )
-    prefix = ranked.where(F.col("place") <= F.col("n_words") - F.ceil(F.col("n_words") * least) + 1)
-    a = prefix.where("side = 'earlier'").select("pair_id", "word", F.col("page_number").alias("earlier_page"))
-    b = prefix.where("side = 'newer'").select("pair_id", "word", F.col("page_number").alias("newer_page"))
-    candidates = a.join(b, ["pair_id", "word"]).select("pair_id", "earlier_page", "newer_page").distinct()
+    prefix = ranked.where((F.col("place") <= F.col("n_words") - F.ceil(F.col("n_words") * least) + 1) & (F.col("df") > 1))
+    own = lambda side, p: prefix.where(F.col("side") == side).select(
+        "pair_id", "word", F.col("page_number").alias(f"{side}_page"), F.col("n_words").alias(f"{p}n"), F.col("place").alias(f"{p}p")
+    )
+    # what still can be shared from here on must reach the overlap that the similarity needs
+    left = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) + 1
+    enough = left >= (F.col("an") + F.col("bn")) * (least / (1 + least)) - 1e-9
+    met = own("earlier", "a").join(own("newer", "b"), ["pair_id", "word"]).where(enough)
+    candidates = met.select("pair_id", "earlier_page", "newer_page").distinct()
     empty = prints.where("n_words = 0")
     blank = _side(empty, "earlier", "earlier_page", "w").drop("w").join(
         _side(empty, "newer", "newer_page", "w").drop("w"), "pair_id"
@@ -104,11 +110,14 @@ def _path(cells: pd.DataFrame, match: float) -> pd.DataFrame:
     """
     n, m = int(cells["n"].iloc[0]), int(cells["m"].iloc[0])
     similarity = {(r, c): s for r, c, s in zip(cells["row"], cells["col"], cells["similarity"]) if r > 0}
-    score = np.full((n + 1, m + 1), -np.inf)
-    score[:, 0], score[0, :] = np.arange(n + 1) * GAP, np.arange(m + 1) * GAP
+    score: dict[tuple[int, int], float] = {}
+
+    def at(r: int, c: int) -> float:
+        return score.get((r, c), -np.inf) if r and c else (r + c) * GAP
+
     came: dict[tuple[int, int], int] = {}
     for r, c in sorted(similarity):
-        ways = (score[r - 1, c - 1] + similarity[r, c] - match, score[r - 1, c] + GAP, score[r, c - 1] + GAP)
+        ways = (at(r - 1, c - 1) + similarity[r, c] - match, at(r - 1, c) + GAP, at(r, c - 1) + GAP)
         came[r, c] = max(range(3), key=lambda i: (ways[i], -i))
         score[r, c] = ways[came[r, c]]
     out, r, c = [], n, m
@@ -150,7 +159,8 @@ def align(prints: DataFrame, match: float = X.PAGE_MATCH, band: int = BAND, move
     above MOVE_ABOVE, the first among equals; the pair stands where the first of the two
     stood.
     """
-    found = paths(prints, match, band)
+    prints = stored(prints)
+    found = stored(paths(prints, match, band))
     rank = F.row_number().over(Window.partitionBy("pair_id", "side").orderBy("page_number"))
     places = prints.select("pair_id", "side", "page_number", "words", rank.alias("place"))
     a = places.where("side = 'earlier'").select("pair_id", F.col("place").alias("earlier"), F.col("page_number").alias("earlier_page"), F.col("words").alias("wa"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
 import pandas as pd
@@ -22,40 +23,51 @@ def shortest_script(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]
     """
     n, m = len(a), len(b)
     limit = max(LEAST_WORK, min(MOST_WORK, (n + m) * WORK_PER_TOKEN))
-    reach, levels, work = {1: 0}, [], 0
+    # a level holds how far each of its diagonals, d + 1 of them, reached
+    levels: list[array] = []
+    last, work = array("i"), 0
     for d in range(n + m + 1):
-        levels.append(reach.copy())
-        for k in range(-d, d + 1, 2):
+        reach = array("i", bytes(4 * (d + 1)))
+        for at in range(d + 1):
             work += 1
             if work > limit:
                 return None
-            insert = k == -d or k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)
-            i = reach.get(k + 1, 0) if insert else reach.get(k - 1, 0) + 1
-            j = i - k
+            # diagonal k = 2 * at - d comes from k + 1 (an insertion) or k - 1 of the last level
+            if not d:
+                i = 0
+            elif not at or at < d and last[at - 1] < last[at]:
+                i = last[at]
+            else:
+                i = last[at - 1] + 1
+            j = i - (2 * at - d)
             while i < n and j < m and a[i] == b[j]:
                 i, j, work = i + 1, j + 1, work + 1
                 if work > limit:
                     return None
-            reach[k] = i
+            reach[at] = i
             if i >= n and j >= m:
-                return _common(levels, n, m)
+                return _common(levels, n, m, d, at)
+        levels.append(reach)
+        last = reach
     return None
 
 
-def _common(levels: list[dict[int, int]], i: int, j: int) -> list[tuple[int, int]]:
+def _common(levels: list[array], i: int, j: int, d: int, at: int) -> list[tuple[int, int]]:
     """Follow the search back from the end and collect the diagonals it went down."""
     pairs: list[tuple[int, int]] = []
-    for d in range(len(levels) - 1, -1, -1):
-        before, k = levels[d], i - j
-        insert = k == -d or k != d and before.get(k - 1, -1) < before.get(k + 1, -1)
-        start = before.get(k + 1, 0) if insert else before.get(k - 1, 0)
-        floor = (start, start - (k + 1 if insert else k - 1)) if d else (0, 0)
-        while i > floor[0] and j > floor[1]:
+    while True:
+        insert = start = 0
+        if d:
+            last = levels[d - 1]
+            insert = not at or at < d and last[at - 1] < last[at]
+            start = last[at] if insert else last[at - 1] + 1
+        while i > start and j > start - (2 * at - d):
             i, j = i - 1, j - 1
             pairs.append((i, j))
-        if d:
-            i, j = (i, j - 1) if i == floor[0] else (i - 1, j)
-    return pairs[::-1]
+        if not d:
+            return pairs[::-1]
+        i, j = (i, j - 1) if insert else (i - 1, j)
+        d, at = d - 1, at if insert else at - 1
 
 
 def script(a: Sequence[str], b: Sequence[str]) -> tuple[list[str], bool]:

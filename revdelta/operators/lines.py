@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revdelta.functions import text as X
 from revdelta.operators import edits
+from revdelta.sources.scratch import stored
 
 PAGE = ["pair_id", "side", "page_number"]
 #: Fixed values of the line rules.
@@ -93,6 +95,33 @@ def joined_text(order: str = "place") -> Column:
     return F.trim(F.regexp_replace(F.aggregate(items, start, add, lambda acc: acc["text"]), f"[{X.SPACE}]+", " "))
 
 
+def stitched(items: DataFrame) -> DataFrame:
+    """(page, text): each page's items in the order given, put together as running text.
+
+    White space that an item brings along parts it from its neighbour; else a new line, or
+    a step back, becomes a line feed, and a gap of more than 0.18 of a character a space.
+    """
+    order = Window.partitionBy(*PAGE).orderBy("item_index")
+    last = lambda c: F.lag(c).over(order)
+    known = items.select(*PAGE, "item_index", "str", "x", "y", "width", "height", "font_size", *[
+        last(c).alias(f"l_{c}") for c in ("str", "x", "y", "width", "height", "font_size")
+    ])
+    wide = F.greatest(F.lit(1.0), (char_width("l_width", "l_str") + char_width("width", "str")) / 2)
+    overlap = F.least(F.col("l_y") + F.col("l_height"), F.col("y") + F.col("height")) - F.greatest("l_y", "y")
+    away = F.abs(F.col("l_y") + F.col("l_height") / 2 - F.col("y") - F.col("height") / 2)
+    level = (overlap >= F.greatest(F.lit(0.01), F.least("l_height", "height")) * 0.25) | (away <= F.greatest("l_font_size", "font_size") * 0.55)
+    parted = (F.col("l_str") == "") | (F.col("str") == "") | F.col("l_str").rlike(r"\s$") | F.col("str").rlike(r"^\s")
+    between = (
+        F.when(F.col("l_str").isNull() | parted, "")
+        .when(~level | (F.col("x") + wide < F.col("l_x")), "\n")
+        .when(F.col("x") - (F.col("l_x") + F.col("l_width")) > wide * 0.18, " ")
+        .otherwise("")
+    )
+    pieces = F.array_sort(F.collect_list(F.struct("item_index", "piece")))
+    whole = F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
+    return known.withColumn("piece", F.concat(between, F.col("str"))).groupBy(*PAGE).agg(whole.alias("text"))
+
+
 def text_lines(items: DataFrame, page_width: float) -> DataFrame:
     """(page, line, text, identity, canonical, x, y, width, height, n_items): the lines of every page.
 
@@ -145,59 +174,93 @@ def distance(page_width: float, page_height: float) -> Column:
 
 def exact_matches(a: DataFrame, b: DataFrame, page_width: float, page_height: float) -> DataFrame:
     """(pair, a_line, b_line): lines of equal identity, one to one, each earlier line in
-    order taking the nearest that is free.
+    order taking the nearest that is free, the first among equals.
 
-    Lines that are alone with their identity on both sides are a plain join; only
-    repeated ones are settled in order, and each identity for itself.
-    """
-    key = [*PAIR, "identity"]
-    alone = Window.partitionBy(*key)
-    aa = a.withColumn("identity", F.col("a_identity")).withColumn("na", F.count("*").over(alone))
-    bb = b.withColumn("identity", F.col("b_identity")).withColumn("nb", F.count("*").over(alone))
-    both = aa.join(bb, key).withColumn("away", distance(page_width, page_height))
-    unique = both.where("na = 1 and nb = 1").select(*PAIR, "a_line", "b_line")
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        rows = []
-        for _, own in pdf.sort_values(["a_line", "away", "b_line"]).groupby("a_line", sort=True):
-            free = own[~own["b_line"].isin(taken)]
-            if len(free):
-                taken.add(free["b_line"].iloc[0])
-                rows.append(free.iloc[0])
-        return pd.DataFrame(rows)[[*PAIR, "a_line", "b_line"]]
-
-    schema = "pair_id string, idx int, a_line int, b_line int"
-    several = both.where("na > 1 or nb > 1").select(*key, "a_line", "b_line", "away").groupBy(*key).applyInPandas(settle, schema)
-    return unique.select(*PAIR, F.col("a_line").cast("int").alias("a_line"), F.col("b_line").cast("int").alias("b_line")).unionByName(several)
-
-
-def _bags(lines: DataFrame, prefix: str) -> DataFrame:
-    """(pair, line, sort, gram, count): tokens and trigrams of the canonical text, counted."""
-    canonical = F.col(f"{prefix}_canonical")
-    grams = F.explode(F.concat(
-        F.transform(X.tokens(canonical), lambda t: F.struct(F.lit("t").alias("sort"), t.alias("gram"))),
-        F.transform(X.trigrams(canonical), lambda t: F.struct(F.lit("g").alias("sort"), t.alias("gram"))),
-    )).alias("g")
-    rows = lines.select(*PAIR, F.col(f"{prefix}_line"), grams).select(*PAIR, f"{prefix}_line", "g.*")
-    return rows.groupBy(*PAIR, f"{prefix}_line", "sort", "gram").agg(F.count("*").alias(f"{prefix}_n"))
-
-
-def ceilings(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(pair, a_line, b_line, ceiling): an upper bound of the similarity of two lines of a
-    page pair, where it is over zero: the larger of the token-bag Dice and 0.94 times the
-    trigram Dice. An inverted index of the page pair finds the lines that share anything.
+    Both sides' places of an identity become one row, so a line that a page repeats is
+    settled within a row and never forms pairs with all its equals.
     """
-    shared = _bags(a, "a").join(_bags(b, "b"), [*PAIR, "sort", "gram"])
-    overlap = shared.groupBy(*PAIR, "a_line", "b_line").agg(
-        *[F.sum(F.when(F.col("sort") == s, F.least("a_n", "b_n")).otherwise(0)).alias(f"{s}_both") for s in "tg"]
+    fields = ["line", "x", "y", "width", "height"]
+    own = lambda df, p: df.groupBy(*PAIR, F.col(f"{p}_identity").alias("identity")).agg(
+        F.array_sort(F.collect_list(F.struct(*[F.col(f"{p}_{f}").alias(f) for f in fields]))).alias(p)
     )
-    size = lambda df, p: df.select(
-        *PAIR, f"{p}_line", F.size(X.tokens(F.col(f"{p}_canonical"))).alias(f"{p}_t"), F.size(X.trigrams(F.col(f"{p}_canonical"))).alias(f"{p}_g")
+    both = own(a, "a").join(own(b, "b"), [*PAIR, "identity"])
+
+    def settle(ours: pd.Series, theirs: pd.Series) -> pd.Series:
+        return pd.Series([_nearest(x, y, page_width, page_height) for x, y in zip(ours, theirs)])
+
+    schema = "array<struct<a_line:int,b_line:int>>"
+    one = F.array(F.struct(F.get("a", F.lit(0))["line"].alias("a_line"), F.get("b", F.lit(0))["line"].alias("b_line"))).cast(schema)
+    alone = (F.size("a") == 1) & (F.size("b") == 1)
+    several = both.where(~alone).select(*PAIR, F.explode(F.pandas_udf(settle, schema)("a", "b")).alias("m"))
+    return both.where(alone).select(*PAIR, F.explode(one).alias("m")).unionByName(several).select(*PAIR, "m.*")
+
+
+def _nearest(a: list, b: list, page_width: float, page_height: float) -> list[tuple[int, int]]:
+    """Places of one identity on both sides, settled in the order of the earlier lines."""
+    centre = lambda p: ((p["x"] + p["width"] / 2) / page_width, (p["y"] + p["height"] / 2) / page_height)
+    free = np.array([centre(p) for p in b], np.float64)
+    out = []
+    for place in a[: len(b)]:
+        away = np.hypot(*(free - centre(place)).T)
+        at = int(away.argmin())
+        free[at] = np.inf
+        out.append((place["line"], b[at]["line"]))
+    return out
+
+
+def _bag(grams: Column) -> Column:
+    """A list as a set: each element with the number of its occurrence. In order, equal
+    elements stand together, so the place since the last other one numbers them."""
+
+    def add(acc: Column, gram: Column) -> Column:
+        nth = F.when(acc["last"] == gram, acc["nth"] + 1).otherwise(0)
+        return F.struct(F.array_append(acc["out"], F.concat(gram, F.lit(":"), nth)).alias("out"), gram.alias("last"), nth.alias("nth"))
+
+    none = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("nth"))
+    return F.aggregate(F.array_sort(grams), none, add, lambda acc: acc["out"])
+
+
+def bags(lines: DataFrame, prefix: str) -> DataFrame:
+    """lines plus their tokens and trigrams as bags, <prefix>_t and <prefix>_g."""
+    canonical = F.col(f"{prefix}_canonical")
+    return lines.withColumn(f"{prefix}_t", _bag(X.tokens(canonical))).withColumn(f"{prefix}_g", _bag(X.trigrams(canonical)))
+
+
+def _prefixes(lines: DataFrame, prefix: str, sort: str, counts: DataFrame, least: float) -> DataFrame:
+    """(pair, gram, line, n, at): of each bag, rarest first, what a partner of that Dice
+    similarity must share one of."""
+    rows = lines.select(*PAIR, f"{prefix}_line", F.size(f"{prefix}_{sort}").alias("n"), F.explode(f"{prefix}_{sort}").alias("gram"))
+    order = Window.partitionBy(*PAIR, f"{prefix}_line").orderBy("df", "gram")
+    ranked = rows.join(counts, [*PAIR, "gram"]).withColumn("at", F.row_number().over(order))
+    share = least / (2 - least)
+    return ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select(
+        *PAIR, "gram", f"{prefix}_line", F.col("n").alias(f"{prefix}_n"), F.col("at").alias(f"{prefix}_at")
     )
-    sized = overlap.join(size(a, "a"), [*PAIR, "a_line"]).join(size(b, "b"), [*PAIR, "b_line"])
-    dice = lambda s: 2 * F.col(f"{s}_both") / (F.col(f"a_{s}") + F.col(f"b_{s}"))
-    return sized.select(*PAIR, "a_line", "b_line", F.greatest(dice("t"), dice("g") * 0.94).alias("ceiling"), dice("g").alias("gram_dice"))
+
+
+def ceilings(a: DataFrame, b: DataFrame, least: float = FLOOR) -> DataFrame:
+    """(pair, a_line, b_line, ceiling, gram_dice): an upper bound of the similarity of two
+    lines of a page pair, where it is at least `least`: the larger of the token-bag Dice
+    and 0.94 times the trigram Dice.
+
+    Lines as similar as that share one of the rarest elements of both bags, so only a
+    prefix of each bag is joined; what the lengths or places rule out goes before bags meet.
+    """
+    a, b = stored(bags(a, "a")), stored(bags(b, "b"))
+    found = None
+    for sort, floor in (("t", least), ("g", least / 0.94)):
+        sides = [x.select(*PAIR, F.explode(f"{p}_{sort}").alias("gram")) for x, p in ((a, "a"), (b, "b"))]
+        counts = sides[0].unionByName(sides[1]).groupBy(*PAIR, "gram").agg(F.count("*").alias("df")).where("df > 1")
+        met = _prefixes(a, "a", sort, counts, floor).join(_prefixes(b, "b", sort, counts, floor), [*PAIR, "gram"])
+        left = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) + 1
+        enough = 2 * F.least(left, F.col("a_n"), F.col("b_n")) >= (F.col("a_n") + F.col("b_n")) * floor - 1e-9
+        pairs = met.where(enough).select(*PAIR, "a_line", "b_line")
+        found = pairs if found is None else found.unionByName(pairs)
+    bag = lambda df, p: df.select(*PAIR, f"{p}_line", f"{p}_t", f"{p}_g")
+    both = found.distinct().join(bag(a, "a"), [*PAIR, "a_line"]).join(bag(b, "b"), [*PAIR, "b_line"])
+    dice = lambda s: 2 * F.size(F.array_intersect(f"a_{s}", f"b_{s}")) / (F.size(f"a_{s}") + F.size(f"b_{s}"))
+    bounded = both.select(*PAIR, "a_line", "b_line", F.greatest(dice("t"), dice("g") * 0.94).alias("ceiling"), dice("g").alias("gram_dice"))
+    return bounded.where(F.col("ceiling") >= least)
 
 
 def _token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -214,7 +277,7 @@ def candidates(a: DataFrame, b: DataFrame, page_width: float, page_height: float
     The bound is a filter before the token comparison, so few pairs reach Python.
     """
     words = lambda p: F.size(F.split(F.col(f"{p}_canonical"), " "))
-    pairs = ceilings(a, b).join(a, [*PAIR, "a_line"]).join(b, [*PAIR, "b_line"])
+    pairs = ceilings(a, b, min(FLOOR, FLOOR_SHORT)).join(a, [*PAIR, "a_line"]).join(b, [*PAIR, "b_line"])
     floor = F.when(F.least(words("a"), words("b")) <= 2, FLOOR_SHORT).otherwise(FLOOR)
     pairs = pairs.withColumn("floor", floor).where("ceiling >= floor")
     tokens = F.pandas_udf(_token_similarity, "double")(X.tokens(F.col("a_canonical")), X.tokens(F.col("b_canonical")))
@@ -243,12 +306,15 @@ def accept(of_candidates: DataFrame) -> DataFrame:
 
 
 def match(lines: DataFrame, pages: DataFrame, page_width: float, page_height: float) -> DataFrame:
-    """(pair, kind, a_*, b_*): every line of both sides once: same, changed, removed or added."""
-    a, b = sided(lines, pages)
-    same = exact_matches(a, b, page_width, page_height)
-    left = a.join(same.select(*PAIR, "a_line"), [*PAIR, "a_line"], "left_anti")
-    right = b.join(same.select(*PAIR, "b_line"), [*PAIR, "b_line"], "left_anti")
-    changed = accept(candidates(left, right, page_width, page_height))
+    """(pair, kind, a_*, b_*): every line of both sides once: same, changed, removed or added.
+
+    What several steps read is written once, which also keeps their plans small.
+    """
+    a, b = (stored(side) for side in sided(stored(lines), pages))
+    same = stored(exact_matches(a, b, page_width, page_height))
+    left = stored(a.join(same.select(*PAIR, "a_line"), [*PAIR, "a_line"], "left_anti"))
+    right = stored(b.join(same.select(*PAIR, "b_line"), [*PAIR, "b_line"], "left_anti"))
+    changed = stored(accept(candidates(left, right, page_width, page_height)))
     pairs = same.withColumn("kind", F.lit("same")).unionByName(changed.withColumn("kind", F.lit("changed")))
     with_a = a.join(pairs.select(*PAIR, "a_line", "b_line", "kind"), [*PAIR, "a_line"], "left")
     with_a = with_a.withColumn("kind", F.coalesce("kind", F.lit("removed"))).join(b, [*PAIR, "b_line"], "left")

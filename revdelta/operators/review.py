@@ -1,7 +1,7 @@
-"""Review of comparisons: labels, roll-ups, history, settings and scores, as SQL views.
+"""Review of comparisons: labels, roll-ups, history and scores, as SQL views.
 
-Each view is one statement over named inputs; view() runs it on DataFrames. The
-statements keep to what SQL engines agree on.
+Each view is one statement over named inputs; view() runs it on DataFrames. Numbers like
+55e-2 are doubles; written plainly they would be decimals.
 """
 
 from __future__ import annotations
@@ -84,15 +84,21 @@ select id, user_id, updated_at from (
     select event_id % 500 as id, user_id, event_id as updated_at,
       row_number() over (partition by user_id, event_id % 500 order by event_id desc) as version from {events}) v
   where version = 1) h where place <= 6""",
+    # everything kept, newest first
     "history_list": """
-select event_id % 500 as id, min(user_id) as user_id, max(event_id) as updated_at from {events} group by event_id % 500""",
+select id, user_id, updated_at, row_number() over (order by updated_at desc, id desc) as place from (
+  select event_id % 500 as id, min(user_id) as user_id, max(event_id) as updated_at from {events} group by event_id % 500) h""",
     "export_names": """
 select page_id, substring(stem, 1, 40) || '-vs-' || substring(stem, 1, 40) || '.csv' as report_name,
   substring(stem, 1, 40) || case when page_id % 3 = 0 then '-page-' || page_id when page_id % 3 = 1 then '-page-A' || page_id || '-B' || (page_id + 1)
     else '-page-A' || page_id end || '.png' as image_name
 from (select page_id, {stem} as stem from {pages} where url is not null) p""",
     "sniff_pdf": """
-select page_id, url like '%.html' as by_name, substring(html, 1, 5) = '%PDF-' as by_magic, length(html) <= 157286400 as in_limit from {pages}""",
+select page_id, lower(name) like '%.pdf' as by_name, mime = 'application/pdf' as by_mime, substring(head, 1, 5) = '%PDF-' as by_magic,
+  (lower(name) like '%.pdf' or mime = 'application/pdf') and substring(head, 1, 5) = '%PDF-' and size <= 157286400 as accepted
+from (select page_id, length(html) * (page_id % 90000) as size, case when page_id % 3 = 0 then concat('%PDF-1.7', html) else html end as head,
+  concat('file', page_id, case page_id % 4 when 0 then '.PDF' when 1 then '.pdf' else '.html' end) as name,
+  case when page_id % 5 = 0 then 'application/pdf' else 'text/html' end as mime from {pages}) f""",
     "format_labels": """
 select page_id, case when size < 1048576 then cast(greatest(1, floor(size / 1024e0 + 5e-1)) as int) || ' KB'
     when size < 10485760 then cast(floor(size / 1048576e0 * 10 + 5e-1) / 10 as double) || ' MB'
@@ -121,30 +127,37 @@ select event_type as name, count(*) as n, max(value) as max_ms,
 from (select event_type, value, row_number() over (partition by event_type order by value) as k,
     count(*) over (partition by event_type) as n_all from {events} where value is not null) r group by event_type""",
     "bench_regressions": """
-select b.scenario, b.name, b.p50 as baseline_ms, c.p50 as current_ms from {medians} b join {medians} c
-on b.scenario = c.scenario and b.name = c.name and b.half = 0 and c.half = 1
-where case when b.p50 <= 0 then c.p50 > 0 else (c.p50 - b.p50) / b.p50 * 100 > 2 end""",
+select scenario, name, baseline_ms, current_ms, change_percent from (
+  select b.scenario, b.name, b.p50 as baseline_ms, c.p50 as current_ms,
+    case when b.p50 > 0 then (c.p50 - b.p50) / b.p50 * 100 when c.p50 > 0 then cast('Infinity' as double) else 0e0 end as change_percent
+  from {medians} b join {medians} c on b.scenario = c.scenario and b.name = c.name and b.half = 0 and c.half = 1) r
+where change_percent > 2""",
     "medians": """
 select scenario, name, half, max(case when k = ceil(n * 5e-1) then value end) as p50 from (
   select user_id % 4 as scenario, event_type as name, event_id % 2 as half, value,
     row_number() over (partition by user_id % 4, event_type, event_id % 2 order by value, event_id) as k,
     count(*) over (partition by user_id % 4, event_type, event_id % 2) as n from {events} where value is not null) r
 group by scenario, name, half""",
+    # recall, precision and status misses of the expected pairs; what is expected is off by rule
     "accuracy_alignment": """
 select e.pair_id, count(*) as expected, sum(case when a.idx is not null then 1 else 0 end) as found,
-  sum(case when a.idx is not null and a.status != e.status then 1 else 0 end) as status_misses
+  sum(case when a.idx is not null then 1 else 0 end) / cast(count(*) as double) as recall,
+  sum(case when a.idx is not null then 1 else 0 end) / cast(max(n.n) as double) as precision,
+  sum(case when a.idx is null or a.status != e.status then 1 else 0 end) as status_misses
 from (select pair_id, earlier_page, case when idx % 9 = 4 then newer_page + 1 else newer_page end as newer_page,
     case when idx % 8 = 1 then 'same' else status end as status from {rows} where earlier_page is not null and newer_page is not null) e
+join (select pair_id, count(*) as n from {rows} group by pair_id) n on n.pair_id = e.pair_id
 left join {rows} a on a.pair_id = e.pair_id and a.earlier_page = e.earlier_page and a.newer_page = e.newer_page
 group by e.pair_id""",
+    # a region is found where what it shares with a reported box is 15 % of the smaller of both
     "accuracy_visual": """
-select pair_id, sum(case when covered >= 15e-2 then 1 else 0 end) as found, count(*) as expected from (
-  select pair_id, idx, greatest(0e0, least(ax + 1e1, bx + 8e0) - greatest(ax, bx)) * 1e1 / 8e1 as covered
-  from (select pair_id, idx, idx % 50 + 0e0 as ax, idx * 3 % 50 + 0e0 as bx from {rows}) r) c group by pair_id""",
-    "overlay_settings": """
-select event_id, coalesce(opacity, 4e-1) as opacity from (
-  select event_id, case when raw >= 0 and raw <= 1 then raw end as opacity from (
-    select event_id, try_cast(case when event_id % 5 = 0 then 'x' else cast(event_id % 13 / 1e1 as varchar(20)) end as double) as raw from {events}) r) s""",
+select pair_id, count(*) as expected, sum(case when best >= 15e-2 then 1 else 0 end) as found from (
+  select e.pair_id, e.idx, max(greatest(0e0, least(e.x + e.w, a.x + a.w) - greatest(e.x, a.x)) * greatest(0e0, least(e.y + e.h, a.y + a.h) - greatest(e.y, a.y))
+    / greatest(1e-9, least(e.w * e.h, a.w * a.h))) as best
+  from (select pair_id, idx, idx % 50 + 0e0 as x, idx % 7 * 5e0 as y, 10e0 as w, 4e0 + idx % 3 as h from {rows}) e
+  join (select pair_id, idx, k, idx * 3 % 50 + k * 9e0 as x, idx % 11 * 3e0 as y, 8e0 as w, 6e0 as h from {rows} cross join (select 0 as k union all select 1) ks) a
+    on a.pair_id = e.pair_id and a.idx = e.idx
+  group by e.pair_id, e.idx) c group by pair_id""",
 }
 
 

@@ -208,8 +208,7 @@ ORACLES = {
     with lines as (select doc_id, unnest(range(len(l))) as line, unnest(l) as words
       from (select doc_id, string_split(text, chr(10)) as l from documents)),
     toks as (select doc_id, line, {_tokens('words')} as t from lines)
-    select doc_id, line, md5(coalesce(array_to_string(list_transform(t, lambda w, i: case when i = 1
-      or contains(']' || ',.!?:;%)}}"''’', w) or contains('([{{"''$/', right(t[i - 1], 1)) then w else ' ' || w end), ''), '')) as joined_md5
+    select doc_id, line, md5({sql.joined('t')}) as joined_md5
     from toks""",
     "trigram_counts": f"""
     select gram, count(*) as n from (

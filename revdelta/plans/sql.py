@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from revdelta.functions import text as X
 from revdelta.sources.comparisons import CHANGE_RULES, RULES
+from revdelta.sources.revisions import BLOCK
 
 SPACE_RE2 = r"\x09-\x0D\x20\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 UNREADABLE_RE2 = r"[\x00-\x08\x0E-\x1F\x{E000}-\x{F8FF}\x{FFFD}]"
@@ -14,21 +16,28 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-PAGES = """
+def joined(tokens: str) -> str:
+    """Readable text of a list of tokens: no space before closing or after opening marks."""
+    tight = f"contains({quoted(X.CLOSING)}, w) or contains({quoted(X.OPENING)}, right({tokens}[i - 1], 1))"
+    words = f"list_transform({tokens}, lambda w, i: case when i = 1 or {tight} then w else ' ' || w end)"
+    return f"coalesce(array_to_string({words}, ''), '')"
+
+
+PAGES = f"""
 pages_rev as (
-  select source as pair_id, 'earlier' as side,
-    row_number() over (partition by source order by doc_id) as page_number,
+  select source || '/' || doc_id // {BLOCK} as pair_id, 'earlier' as side,
+    row_number() over (partition by source, doc_id // {BLOCK} order by doc_id) as page_number,
     case when doc_id % 29 = 11 then repeat(chr(1), 40) else coalesce(text, '') end as text
   from documents where source is not null
   union all
   select pair_id, 'newer', row_number() over (partition by pair_id order by sort_key, inserted), text from (
-    select source as pair_id,
+    select source || '/' || doc_id // {BLOCK} as pair_id,
       case when doc_id % 29 = 11 then repeat(chr(1), 40)
         when doc_id % 13 = 5 then 'amended ' || coalesce(text, '') || ' revision clause' else coalesce(text, '') end as text,
       doc_id + case when doc_id % 19 = 7 then 1000000000 else 0 end as sort_key, 0 as inserted
     from documents where source is not null and doc_id % 17 != 3
     union all
-    select 'src' || (item_id % 20), coalesce(text, ''), item_id, 1 from benchmark where item_id % 2 = 0
+    select 'src' || (item_id % 20) || '/' || item_id // {BLOCK}, coalesce(text, ''), item_id, 1 from benchmark where item_id % 2 = 0
   )
 )"""
 

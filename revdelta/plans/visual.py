@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from revdelta.functions import geometry as G
-from revdelta.operators import classify, pixels, rasters
+from revdelta.operators import alignment, classify, pixels, rasters
 from revdelta.plans import sql
 from revdelta.sources.revisions import revision_pages
 
@@ -32,7 +32,9 @@ def changed_mask(spark, sf_dir):
 
 
 def pixel_counts(spark, sf_dir):
-    return pixels.counts(_changed(spark, sf_dir))
+    """Counts of one pass over both rasters of a pair; no pixel becomes a row."""
+    found = rasters.compare(_raster_pairs(spark, sf_dir), THRESHOLD, include_smoothing=True, align=False)
+    return found.where("changed_pixels > 0").select("pair_id", "idx", "changed_pixels", "added_pixels", "removed_pixels", "modified_pixels")
 
 
 def pixel_direction(spark, sf_dir):
@@ -50,12 +52,15 @@ def translation_score(spark, sf_dir):
     return scores.select("pair_id", "idx", "dx", "dy", F.round(F.col("score") * F.col("samples"), 3).alias("total"), "samples")
 
 
-def _raster_pairs(spark, sf_dir):
-    """Both pages of a position pair drawn as text grids on one canvas, white where nothing is."""
-    pages = revision_pages(spark, sf_dir)
-    side = lambda s: pages.where(F.col("side") == s).select("pair_id", F.col("page_number").alias("idx"), F.col("text").alias(s))
-    both = side("earlier").join(side("newer"), ["pair_id", "idx"])
-    both = both.repartition(4 * spark.sparkContext.defaultParallelism)
+def raster_pairs(pages, pairs):
+    """Both pages of each pair (pair_id, idx, earlier_page, newer_page) drawn as text grids on
+    one canvas, white where nothing is; a page without a partner has a blank one."""
+    side = lambda s: pages.where(F.col("side") == s).select("pair_id", F.col("page_number").alias(f"{s}_page"), F.col("text").alias(s))
+    both = pairs.select("pair_id", "idx", "earlier_page", "newer_page")
+    for s in ("earlier", "newer"):
+        both = both.join(side(s), ["pair_id", f"{s}_page"], "left")
+    both = both.select("pair_id", "idx", "earlier", "newer").fillna("", ["earlier", "newer"])
+    both = both.repartition(4 * pages.sparkSession.sparkContext.defaultParallelism)
 
     def draw(batches):
         import numpy as np
@@ -78,6 +83,11 @@ def _raster_pairs(spark, sf_dir):
     return both.mapInPandas(draw, "pair_id string, idx int, width int, height int, earlier binary, newer binary")
 
 
+def _raster_pairs(spark, sf_dir):
+    pages = revision_pages(spark, sf_dir)
+    return raster_pairs(pages, alignment.by_position(alignment.fingerprints(pages)))
+
+
 def visual_diff(spark, sf_dir):
     found = rasters.compare(_raster_pairs(spark, sf_dir), THRESHOLD)
     return found.select(*[c for c in found.columns if c not in ("regions", "overlay")], F.size("regions").alias("n_regions"))

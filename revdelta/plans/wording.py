@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from revdelta.functions import text as X
 from revdelta.operators import alignment, edits, lines
 from revdelta.plans import sql
-from revdelta.sources.revisions import CHAR_WIDTH, FONT_SIZE, LINE_HEIGHT, PAGE_HEIGHT, PAGE_WIDTH, revision_pages, text_items
+from revdelta.sources.scratch import stored
+from revdelta.sources.revisions import CHAR_WIDTH, FONT_SIZE, LINE_HEIGHT, PAGE_HEIGHT, PAGE_WIDTH, PHRASE, revision_pages, text_items
 
 KEYS = ["pair_id", "idx"]
 
@@ -148,7 +149,8 @@ def exact_lines(spark, sf_dir):
 
 
 def similarity_ceiling(spark, sf_dir):
-    """The bound for lines that stand at the same place of a page pair and differ."""
+    """The bound, where it is high enough, for lines that stand at the same place of a page
+    pair and differ; line_candidates() runs it over all lines."""
     _, paired = _positions(spark, sf_dir)
     a, b = lines.sided(_plain_lines(spark, sf_dir), paired)
     other = b.select(*KEYS, F.col("b_line").alias("a_line"), F.col("b_text").alias("other"))
@@ -158,7 +160,19 @@ def similarity_ceiling(spark, sf_dir):
     return lines.ceilings(a, b).join(same, [*KEYS, "a_line", "b_line"]).select(*KEYS, "a_line", "b_line", "ceiling")
 
 
+def line_candidates(spark, sf_dir):
+    """Changed lines that may be each other's revision, over all lines of all page pairs."""
+    pages, paired = _positions(spark, sf_dir)
+    a, b = (stored(side) for side in lines.sided(stored(lines.text_lines(text_items(pages), PAGE_WIDTH)), paired))
+    same = lines.exact_matches(a, b, PAGE_WIDTH, PAGE_HEIGHT)
+    a = a.join(same.select(*KEYS, "a_line"), [*KEYS, "a_line"], "left_anti")
+    b = b.join(same.select(*KEYS, "b_line"), [*KEYS, "b_line"], "left_anti")
+    found = lines.candidates(a, b, PAGE_WIDTH, PAGE_HEIGHT)
+    return found.select(*KEYS, "a_line", "b_line", F.round("similarity", 9).alias("similarity"), F.round("score", 9).alias("score"))
+
+
 QUERIES = {
+    "line_candidates": line_candidates,
     "token_edits": token_edits,
     "segments": segments,
     "text_runs": text_runs,
@@ -175,10 +189,10 @@ QUERIES = {
     "similarity_ceiling": similarity_ceiling,
 }
 
-_ITEMS = rf"""
+ITEMS = rf"""
 item_words as (
   select pair_id, side, page_number, line, unnest(range(len(w))) as k, unnest(w) as w, lead from (
-    select *, regexp_extract_all(words, '[^ ]+ *') as w, length(words) - length(ltrim(words, ' ')) as lead from (
+    select *, regexp_extract_all(words, '{PHRASE}') as w, length(words) - length(ltrim(words, ' ')) as lead from (
       select pair_id, side, page_number, unnest(range(len(l))) as line, unnest(l) as words
       from (select *, string_split(text, chr(10)) as l from pages_rev)))
 ),
@@ -228,32 +242,58 @@ segs as (
       when count(*) filter (edit != '+') > 0 then 'removed' else 'added' end as kind
   from islands group by pair_id, idx, segment
 )"""
-_JOIN = """coalesce(array_to_string(list_transform({0}, lambda w, i: case when i = 1
-  or contains(']' || ',.!?:;%)}}"''’', w) or contains('([{{"''$/', right({0}[i - 1], 1)) then w else ' ' || w end), ''), '')"""
 _GRAMS = """(case when len(c) < 3 then list_filter(c, lambda g: g != '') else
   list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) end)"""
 
+#: Lines of pages: items of mostly short ones, and rotated ones, stand alone; else the items of
+#: one height are cut into columns at wide gaps.
+_LINES = f"""
+sorted as (
+  select *, row_number() over (partition by pair_id, side, page_number order by floor(y / 3.5 + 0.5), x, item_index) as place,
+    avg(case when length(trim(str)) <= {lines.ATOMIC_CHARS} then 1.0 else 0.0 end) over (partition by pair_id, side, page_number) >= {lines.ATOMIC_SHARE}
+      or rotated as alone
+  from boxes where trim(str) != ''
+),
+columned as (
+  select *, case when alone then 'i' || item_index else y || ':' || sum(fresh) over (partition by pair_id, side, page_number, alone, y order by x, place) end as grp
+  from (select *, case when lx is null or x - (lx + lw) > greatest({PAGE_WIDTH} * 0.018, (lw / greatest(1, length(ls)) + width / greatest(1, length(str))) * 1.15)
+      then 1 else 0 end as fresh, case when ls is null then ''
+      when x - (lx + lw) > greatest(1, (lw / greatest(1, length(ls)) + width / greatest(1, length(str))) * 0.09) then ' ' else '' end as gap
+    from (select *, lag(str) over w as ls, lag(x) over w as lx, lag(width) over w as lw from sorted
+      window w as (partition by pair_id, side, page_number, alone, case when alone then item_index else y end order by x, place)))
+),
+lined as (
+  select pair_id, side, page_number, trim(regexp_replace(string_agg(case when fresh = 1 then str else gap || str end, '' order by x, place), '[{sql.SPACE_RE2}]+', ' ', 'g')) as text,
+    min(x) as x, min(y) as y, max(x + width) - min(x) as width, max(y + height) - min(y) as height, count(*) as n_items, min(place) as first_place
+  from columned group by pair_id, side, page_number, grp
+)"""
+
 ORACLES = {
+    "text_lines": sql.over(
+        """select pair_id, side, page_number, row_number() over (partition by pair_id, side, page_number order by y, x, first_place) as line,
+          md5(text) as text_md5, x, y, width, height, n_items from lined where regexp_matches(text, '[\\p{L}\\p{N}]')""",
+        ITEMS, _LINES, upto=sql.PAGES,
+    ),
     "segments": sql.over(
         "select pair_id, idx, segment, kind, n_before, n_after, md5(coalesce(array_to_string(ta, '|'), '')) as before_md5,"
         " md5(coalesce(array_to_string(tb, '|'), '')) as after_md5 from segs", _RULED, upto=sql.PAGES,
     ),
     "text_runs": sql.over(
         f"""select pair_id, idx, segment, side, 'semantic-' || segment || '-' || side as id, kind, md5(t) as text_md5 from (
-          select *, 'before' as side, {_JOIN.format('ta')} as t from segs
-          union all select *, 'after', {_JOIN.format('tb')} from segs) where t != ''""", _RULED, upto=sql.PAGES,
+          select *, 'before' as side, {sql.joined('ta')} as t from segs
+          union all select *, 'after', {sql.joined('tb')} from segs) where t != ''""", _RULED, upto=sql.PAGES,
     ),
     "page_items": sql.over(
-        "select pair_id, side, page_number, item_index, md5(str) as str_md5, x, y, width, height from boxes", _ITEMS, upto=sql.PAGES
+        "select pair_id, side, page_number, item_index, md5(str) as str_md5, x, y, width, height from boxes", ITEMS, upto=sql.PAGES
     ),
     "item_orientation": sql.over(
         "select pair_id, side, page_number, count(*) filter (not rotated) as n_horizontal, count(*) filter (rotated) as n_rotated"
-        " from boxes group by all", _ITEMS, upto=sql.PAGES,
+        " from boxes group by all", ITEMS, upto=sql.PAGES,
     ),
     "item_order": sql.over(
         """select pair_id, side, page_number, item_index,
           row_number() over (partition by pair_id, side, page_number order by floor(y / 3.5 + 0.5), x, item_index) as place
-        from boxes where trim(str) != ''""", _ITEMS, upto=sql.PAGES,
+        from boxes where trim(str) != ''""", ITEMS, upto=sql.PAGES,
     ),
     "text_columns": sql.over(
         f"""select pair_id, side, page_number, item_index, sum(fresh) over (partition by pair_id, side, page_number, y
@@ -262,7 +302,7 @@ ORACLES = {
             then 1 else 0 end as fresh from (
               select *, lag(x) over w as px, lag(width) over w as pw, lag(width / greatest(1, length(str))) over w as pc from boxes
               where not rotated window w as (partition by pair_id, side, page_number, y order by x, item_index)))""",
-        _ITEMS, upto=sql.PAGES,
+        ITEMS, upto=sql.PAGES,
     ),
     "exact_lines": sql.over(
         """select a.pair_id, a.idx, a.line as a_line, b.line as b_line from
@@ -271,13 +311,15 @@ ORACLES = {
         on a.pair_id = b.pair_id and a.idx = b.idx and a.low = b.low""", _PLAIN, upto=sql.POSITION,
     ),
     "similarity_ceiling": sql.over(
-        f"""select pair_id, idx, line as a_line, line as b_line, greatest(2 * t_both / (na_t + nb_t)::double, 2 * g_both / (na_g + nb_g)::double * 0.94) as ceiling
+        f"""select * from (
+        select pair_id, idx, line as a_line, line as b_line, greatest(2 * t_both / (na_t + nb_t)::double, 2 * g_both / (na_g + nb_g)::double * 0.94) as ceiling
         from (select pair_id, idx, line, sum(case when sort = 't' then least(ca, cb) else 0 end) as t_both,
             sum(case when sort = 'g' then least(ca, cb) else 0 end) as g_both from (
           select a.pair_id, a.idx, a.line, a.sort, a.n as ca, b.n as cb from ga a join gb b
             on a.pair_id = b.pair_id and a.idx = b.idx and a.line = b.line and a.sort = b.sort and a.gram = b.gram) group by all)
         join (select pair_id, idx, line, sum(n) filter (sort = 't') as na_t, sum(n) filter (sort = 'g') as na_g from ga group by all) using (pair_id, idx, line)
-        join (select pair_id, idx, line, sum(n) filter (sort = 't') as nb_t, sum(n) filter (sort = 'g') as nb_g from gb group by all) using (pair_id, idx, line)""",
+        join (select pair_id, idx, line, sum(n) filter (sort = 't') as nb_t, sum(n) filter (sort = 'g') as nb_g from gb group by all) using (pair_id, idx, line))
+        where ceiling >= {lines.FLOOR}""",
         _PLAIN + f""",
 duo as (select a.pair_id, a.idx, a.line, a.low as la, b.low as lb from side_a a join side_b b
   on a.pair_id = b.pair_id and a.idx = b.idx and a.line = b.line and a.text != b.text),

@@ -1,7 +1,9 @@
 """Revision pairs derived from the driver's tables.
 
-A document is a `source`, a page is a row of `documents`. The newer revision drops,
-edits, moves and inserts pages by fixed integer rules, so any engine derives the same.
+A document is a block of a `source`, a page is a row of `documents`: the ids of a block
+are BLOCK neighbouring ones, so a document has at most BLOCK pages however large the table
+or a source is, and documents are what everything here is grouped by. The newer revision
+drops, edits, moves and inserts pages by fixed integer rules, so any engine derives the same.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 #: page size in points, and the font grid on which words are laid out
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
 CHAR_WIDTH, LINE_HEIGHT, FONT_SIZE = 6.0, 14.0, 10.0
+#: Neighbouring ids that make up one document of a source.
+BLOCK = 1000
+#: An item of text: up to four words with what stands between them.
+PHRASE = "[^ ]+( +[^ ]+){0,3} *"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def revision_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pair_id, side, page_number, text): both revisions of every document.
 
-    Numbering pages needs a document's rows together, which is bounded by the length of
-    a document.
+    Numbering pages needs a document's rows together: at most BLOCK rows and what is
+    inserted into them.
     """
     docs = table(spark, sf_dir, "documents").where("source is not null and doc_id is not null")
+    docs = docs.withColumn("pair_id", F.expr(f"concat(source, '/', doc_id div {BLOCK})"))
     text = F.expr("case when doc_id % 29 = 11 then repeat(char(1), 40) else coalesce(text, '') end")
     earlier = docs.select(
-        F.col("source").alias("pair_id"),
+        "pair_id",
         F.lit("earlier").alias("side"),
-        F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_number"),
+        F.row_number().over(Window.partitionBy("pair_id").orderBy("doc_id")).alias("page_number"),
         text.alias("text"),
     )
     edited = F.expr(
@@ -38,7 +45,7 @@ def revision_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         " else coalesce(text, '') end"
     )
     kept = docs.where("doc_id % 17 != 3").select(
-        F.col("source").alias("pair_id"),
+        "pair_id",
         edited.alias("text"),
         F.expr("doc_id + case when doc_id % 19 = 7 then 1000000000 else 0 end").alias("sort_key"),
         F.lit(0).alias("inserted"),
@@ -47,7 +54,7 @@ def revision_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "benchmark")
         .where("item_id % 2 = 0")
         .select(
-            F.concat(F.lit("src"), F.col("item_id") % 20).alias("pair_id"),
+            F.expr(f"concat('src', item_id % 20, '/', item_id div {BLOCK})").alias("pair_id"),
             F.coalesce("text", F.lit("")).alias("text"),
             F.col("item_id").alias("sort_key"),
             F.lit(1).alias("inserted"),
@@ -61,14 +68,14 @@ def revision_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_items(pages: DataFrame) -> DataFrame:
-    """One positioned item for each word: a word at column c of line r stands at (6c, 14r).
+    """One positioned item for each phrase: one at column c of line r stands at (6c, 14r).
 
     Every 31st item is rotated: its quad runs down the page.
     """
     lines = pages.select(
         "pair_id", "side", "page_number", F.posexplode(F.split("text", "\n")).alias("line", "words")
     )
-    words = F.regexp_extract_all("words", F.lit(r"[^ ]+ *"), F.lit(0))
+    words = F.regexp_extract_all("words", F.lit(PHRASE), F.lit(0))
     lead = F.length("words") - F.length(F.ltrim("words"))
     parted = lines.select("pair_id", "side", "page_number", "line", lead.alias("lead"), F.posexplode(words).alias("k", "w"))
     before = Window.partitionBy("pair_id", "side", "page_number", "line").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
