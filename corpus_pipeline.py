@@ -16,6 +16,15 @@ from revdelta.llm import packing, pii, quality_rules, simhash, substrings
 from revdelta.llm.common import scratch, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that Python workers get at once. Texts are long: Spark's 10,000 rows of them take tens
+#: of megabytes in the executor and again in each of its workers.
+BATCH_ROWS = 1000
+
+
+def _documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns that stages work on; sets the session's batch size for Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs.select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no words and go; rows that repeat an id are judged each for
     itself; columns beyond COLUMNS are dropped; an empty table stays empty.
     """
-    kept = quality_rules.ledger(docs.select(*COLUMNS)).where(quality_rules.passes(quality_rules.POLICY))
+    kept = quality_rules.ledger(_documents(spark, docs)).where(quality_rules.passes(quality_rules.POLICY))
     return kept.select(*COLUMNS)
 
 
@@ -35,7 +44,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     as empty, which are copies of each other. Rows that repeat id and text are one; rows
     that repeat an id with other text are documents of their own; a null id stays.
     """
-    return simhash.representatives(docs.select(*COLUMNS))
+    return simhash.representatives(_documents(spark, docs))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,17 +53,17 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document of which nothing stays goes. Null and short texts, and rows with a null id,
     pass unchanged; rows that repeat an id with other text are documents of their own.
     """
-    return substrings.dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return substrings.dedup(_documents(spark, docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are masked by their kind; null texts stay null."""
-    return pii.mask(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.mask(_documents(spark, docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left becomes training sequences; an empty or null text is its end id alone."""
-    return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(_documents(spark, docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
