@@ -116,5 +116,23 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+#: The measures and verdicts of the rules, counted word by word and window by window.
+_QUALITY = r"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+three as (select rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as k from (select rid, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) > 2)),
+again as (select rid, i from three qualify count(*) over (partition by rid, k) > 1),
+covered as (select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from again) group by rid),
+m as (select w.rid, doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+  len(ls) as n_lines, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) as n_letters, length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_upper
+  from w left join covered c on c.rid = w.rid),
+f as (select *, n_words < 50 as r0, n_repeat_words > n_words / 2 as r1, n_symbols > n_words / 10 as r2, n_letters >= 20 and n_upper > n_letters / 2 as r3,
+  n_lines >= 4 and n_dup_lines > n_lines * 3 / 5 as r4, n_words > 0 and word_chars > 20 * n_words as r5, n_words > 0 and word_chars * 5 < n_words * 9 as r6 from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 or r1 as base_failed, not (r0 or r1 or r2 or r3 or r4 or r5 or r6) as kept,
+  (r0::int + 2 * r1::int + 4 * r2::int + 8 * r3::int + 16 * r4::int + 32 * r5::int + 64 * r6::int)::bigint as failed
+from f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": _QUALITY}

@@ -98,7 +98,8 @@ def templates(
         now = now.join(kept, ["host", "template", "segment"], "left")
         name = F.when(F.col("kept"), F.col("segment")).otherwise("*")
         grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.array_append("template", name))
-        now = now.withColumn("template", grown).drop("segment", "kept")
+        # each level reads the last one twice: written once, plans do not double
+        now = stored(now.withColumn("template", grown).drop("segment", "kept"))
     return now.withColumn(
         "template", F.when(F.size("shape") > depth, F.array_append("template", "**")).otherwise(F.col("template"))
     )
@@ -131,7 +132,7 @@ def judge(
     shapes = stored(parsed.groupBy("host", F.col(key).alias("shape")).agg(
         F.count("*").alias("n"), F.count(labelled).alias("labelled"), F.count_if(labelled).alias("good")
     ))
-    named = stored(templates(shapes, depth, min_pages))
+    named = templates(shapes, depth, min_pages)
     total = named.agg(F.coalesce(F.try_divide(F.sum("good"), F.sum("labelled")), F.lit(1.0)).alias("prior")).first()
     prior = F.lit(float(total["prior"]))
     hosts = named.groupBy("host").agg(
