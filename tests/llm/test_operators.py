@@ -422,3 +422,58 @@ def test_neighbours(spark):
             assert [r.vec_id for r in own] == want
     assert hits >= 0.9 * total
     assert neighbours.search(neighbours.index(frame.limit(0)), frame.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    shared, own = paragraph(21, 40), [paragraph(30 + k, 45) for k in range(3)]
+    rows = [(1, f"{own[0]}\n{shared}"), (2, f"{own[1]}\n{shared}"), (2, own[2]), (2, own[2]), (None, shared), (9, "short")]
+    frame = spark.createDataFrame(rows, TEXT).withColumn("spans", F.lit("own")).withColumn("held", F.lit(1)).withColumn("row", F.lit(2))
+    left = Counter((r.doc_id, r.text, r.spans, r.held, r.row) for r in substrings.dedup(frame).collect())
+    assert left == Counter([(i, t, "own", 1, 2) for i, t in [rows[0], (2, own[1]), rows[2], rows[3], rows[4], rows[5]]])
+
+
+def test_short_lines_and_repeats_within(spark):
+    wrapped = "\n".join(" ".join(paragraph(50, 48).split()[i : i + 8]) for i in range(0, 48, 8))
+    texts = [f"{paragraph(51)}\n\n{wrapped}", f"{wrapped}\n\n{paragraph(52)}", f"{paragraph(53)}\n{paragraph(53)}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), TEXT)
+    across = substrings.find(frame).where("kind = 'paragraph'").collect()
+    assert sorted((r.doc_id, r.kept_doc_id, r.n_words, r.removed) for r in across) == [(0, 0, 48, False), (1, 0, 48, True)]
+    within = substrings.find(frame, within=True).where("kind = 'paragraph' and doc_id = 2").collect()
+    assert sorted((r.start, r.removed) for r in within) == [(0, False), (len(paragraph(53)) + 1, True)]
+    with pytest.raises(ValueError, match="shingle"):
+        substrings.find(frame, min_words=3)
+
+
+def test_representatives_by_row(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "quite another text of some words"), (2, "quite another text of some words"), (None, "a b c d e f g")]
+    frame = spark.createDataFrame(rows, TEXT).withColumn("held", F.lit(1)).withColumn("stays", F.lit("own"))
+    kept = Counter((r.doc_id, r.text) for r in simhash.representatives(frame).collect())
+    assert kept == Counter([rows[0], rows[2], rows[4]])
+    assert simhash.representatives(frame.limit(0)).count() == 0
+
+
+def test_many_matches_cost_in_proportion(spark):
+    frame = spark.createDataFrame([(1, "mail joe@example.com and 1.2.3.4 x " * 3000, "own")], TEXT + ", match_email string")
+    found = pii.find(frame).select("match_email", F.size("pii").alias("n"), pii.joined(F.col("pii")).alias("s")).first()
+    assert found.n == 6000 and found.match_email == "own" and found.s == plain_pii("mail joe@example.com and 1.2.3.4 x " * 3000)
+    assert pii.find(empty(spark)).count() == 0
+    keys = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" password: abcdefghijklmnopqrstuvwx'
+    assert pii.mask(spark.createDataFrame([(1, keys)], TEXT)).first().text == '<SECRET>" password: abcdefghijklmnopqrstuvwx'
+
+
+def test_clashing_columns_pass_the_license_scan(spark):
+    frame = spark.createDataFrame([(1, "cc by " * 400), (2, None)], TEXT)
+    for name in ("words", "at", "starts", "found"):
+        frame = frame.withColumn(name, F.lit(name))
+    rows = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    assert len(rows[1].base_places) == 400 and rows[1].words == "words" and rows[1].found == "found" and rows[2].score == 0
+    assert licenses.scan(frame.limit(0)).count() == 0
+
+
+def test_neighbours_of_huge_and_tied_vectors(spark):
+    rows = [(i, [float(i % 7), 0.0, 1.0]) for i in range(60)] + [(60, [1e200, 1e200, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.search(neighbours.index(frame), frame.where("vec_id = 30")).orderBy("rank").collect()
+    points = np.array([v for _, v in rows[:60]])
+    far = np.sqrt(((points - points[30]) ** 2).sum(axis=1))
+    assert [r.vec_id for r in found] == [int(i) for i in np.lexsort((np.arange(60), far)) if i != 30][:10]
