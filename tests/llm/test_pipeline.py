@@ -34,4 +34,4 @@ def test_stages_act_and_leave_clean_documents(spark, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n.split("_")[0][2:]) for n in catalog.queries()) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in catalog.queries()) == list(range(1, 14))
