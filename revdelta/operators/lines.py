@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from revdelta.functions import text as X
 from revdelta.operators import edits
+from revdelta.operators.matching import greedy
 from revdelta.sources.scratch import stored
 
 PAGE = ["pair_id", "side", "page_number"]
@@ -291,18 +292,9 @@ def candidates(a: DataFrame, b: DataFrame, page_width: float, page_height: float
 
 
 def accept(of_candidates: DataFrame) -> DataFrame:
-    """(pair, a_line, b_line): best score first, each line once. A page pair is one group."""
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, rows = set(), set(), []
-        for row in pdf.sort_values(["score", "a_line", "b_line"], ascending=[False, True, True]).itertuples(index=False):
-            if row.a_line not in used_a and row.b_line not in used_b:
-                used_a.add(row.a_line)
-                used_b.add(row.b_line)
-                rows.append((row.pair_id, row.idx, row.a_line, row.b_line))
-        return pd.DataFrame(rows, columns=[*PAIR, "a_line", "b_line"])
-
-    return of_candidates.groupBy(*PAIR).applyInPandas(best, "pair_id string, idx int, a_line int, b_line int")
+    """(pair, a_line, b_line): best score first, each line once."""
+    best = [F.col("score").desc(), "a_line", "b_line"]
+    return greedy(of_candidates, [*PAIR, "a_line"], [*PAIR, "b_line"], best).select(*PAIR, "a_line", "b_line")
 
 
 def match(lines: DataFrame, pages: DataFrame, page_width: float, page_height: float) -> DataFrame:

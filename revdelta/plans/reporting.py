@@ -185,6 +185,8 @@ blocks as (
 _WARN = "case when unreadable_pages > 0 then '{0}' || " + report.UNREADABLE + " when pages_without_text > 0 then " + report.NO_TEXT + " end"
 
 ORACLES = {
+    "align_pages": sql.over("select * from aligned", sql.ALIGNED, upto=sql.PRINTS),
+    "moved_pages": sql.over("select * from aligned where kind = 'moved'", sql.ALIGNED, upto=sql.PRINTS),
     "revision_pages": sql.over("select pair_id, side, page_number, md5(text) as text_md5 from pages_rev", upto=sql.PAGES),
     "page_fingerprint": sql.over(
         "select pair_id, side, page_number, n_words, md5(array_to_string(list_sort(words), '|')) as words_md5 from prints",

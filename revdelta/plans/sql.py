@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from revdelta.functions import text as X
+from revdelta.operators.alignment import BAND, GAP, MOVE_ABOVE
 from revdelta.sources.comparisons import CHANGE_RULES, RULES
 from revdelta.sources.revisions import BLOCK
 
@@ -103,9 +104,70 @@ totals as (
   from rows_cmp group by pair_id
 )"""
 
+#: The alignment, cell by cell: each row of the band folds over its columns, keeping a score
+#: and the step that led to it; the path is walked back; moved pages are taken in turn.
+ALIGNED = f"""
+sizes as (
+  select *, n / greatest(m, 1)::double as drift, greatest({BAND}, abs(n - m) + 1) as width from (
+    select pair_id, count(*) filter (side = 'earlier') as n, count(*) filter (side = 'newer') as m from prints group by pair_id)
+),
+cells as (
+  select s.pair_id, a.page_number as r, b.page_number as c, {JACCARD} as similarity from sizes s
+  join prints a on a.pair_id = s.pair_id and a.side = 'earlier' join prints b on b.pair_id = s.pair_id and b.side = 'newer'
+  where abs(a.page_number - b.page_number * s.drift) <= s.width
+),
+band as (
+  select g.pair_id, g.r, list(c.similarity order by g.c) filter (g.c > 0) as similar from (
+    select pair_id, r, unnest(range(0, m + 1)) as c from (select pair_id, m, unnest(range(1, n + 1)) as r from sizes)) g
+  left join cells c on c.pair_id = g.pair_id and c.r = g.r and c.c = g.c group by g.pair_id, g.r
+),
+score as (
+  select pair_id, n, m, 0::bigint as r, flatten(list_transform(range(0, m + 1), lambda c: [c * {GAP}::double, 2::double])) as acc from sizes
+  union all
+  select p.pair_id, p.n, p.m, p.r + 1, list_reduce(
+    list_transform(range(1, p.m + 1), lambda c: [p.acc[2 * c - 1] + b.similar[c] - {X.PAGE_MATCH}::double, p.acc[2 * c + 1] + {GAP}::double]),
+    lambda acc, w: list_concat(acc, case when w[1] is null then ['-infinity'::double, 1::double] else
+      [greatest(w[1], w[2], acc[-2] + {GAP}::double), case when w[1] >= greatest(w[2], acc[-2] + {GAP}::double) then 0 when w[2] >= acc[-2] + {GAP}::double then 1 else 2 end] end),
+    [(p.r + 1) * {GAP}::double, 1::double])
+  from score p join band b on b.pair_id = p.pair_id and b.r = p.r + 1
+),
+walk as (
+  select pair_id, n as r, m as c from sizes
+  union all
+  select w.pair_id, w.r - (s.acc[2 * w.c + 2] != 2)::int, w.c - (s.acc[2 * w.c + 2] != 1)::int
+  from walk w join score s on s.pair_id = w.pair_id and s.r = w.r where w.r + w.c > 0
+),
+steps as (
+  select w.pair_id, w.r + w.c as step, case when way != 2 then w.r end as earlier_page, case when way != 1 then w.c end as newer_page,
+    case way when 0 then 'matched' when 1 then 'removed' else 'added' end as kind, case when way = 0 then x.similarity else 0.0 end as similarity
+  from (select w.*, s.acc[2 * w.c + 2] as way from walk w join score s on s.pair_id = w.pair_id and s.r = w.r where w.r + w.c > 0) w
+  left join cells x on x.pair_id = w.pair_id and x.r = w.r and x.c = w.c
+),
+choices as (
+  select pair_id, s1, row_number() over (partition by pair_id order by s1) as k, list(struct_pack(s2 := s2, earlier := e, newer := w, similarity := similarity) order by similarity desc, s2) as options from (
+    select g.pair_id, g.step as s1, h.step as s2, g.earlier_page as e, h.newer_page as w, {JACCARD} as similarity
+    from steps g join steps h on h.pair_id = g.pair_id and h.kind = 'added'
+    join prints a on a.pair_id = g.pair_id and a.side = 'earlier' and a.page_number = g.earlier_page
+    join prints b on b.pair_id = g.pair_id and b.side = 'newer' and b.page_number = h.newer_page where g.kind = 'removed')
+  where similarity > {MOVE_ABOVE} group by pair_id, s1
+),
+picks as (
+  select pair_id, 0::bigint as k, []::bigint[] as taken, null::bigint as s1, null::struct(s2 bigint, earlier bigint, newer bigint, similarity double) as pick from sizes
+  union all
+  select pair_id, k, list_append(taken, pick.s2), s1, pick from (
+    select p.pair_id, c.k, p.taken, c.s1, list_filter(c.options, lambda o: not list_contains(p.taken, o.s2))[1] as pick
+    from picks p join choices c on c.pair_id = p.pair_id and c.k = p.k + 1)
+),
+moved as (select pair_id, s1, pick.s2 as s2, pick.earlier as earlier_page, pick.newer as newer_page, pick.similarity as similarity from picks where pick is not null),
+aligned as (
+  select pair_id, row_number() over (partition by pair_id order by step) as idx, earlier_page, newer_page, kind, similarity from (
+    select * from steps s where not exists (select 1 from moved v where v.pair_id = s.pair_id and s.step in (v.s1, v.s2))
+    union all by name select pair_id, least(s1, s2) as step, earlier_page, newer_page, 'moved' as kind, similarity from moved)
+)"""
+
 ORDER = (PAGES, PRINTS, POSITION, DECODABLE, ROWS, CHANGES, TOTALS)
 
 
 def over(select: str, *more: str, upto: str = TOTALS) -> str:
     """A statement over the shared CTEs up to `upto`, then `more`."""
-    return "with " + ",\n".join([*ORDER[: ORDER.index(upto) + 1], *more]) + "\n" + select
+    return "with recursive " + ",\n".join([*ORDER[: ORDER.index(upto) + 1], *more]) + "\n" + select

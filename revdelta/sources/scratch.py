@@ -46,14 +46,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _written.reset(token)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """df computed now, written as Parquet in the shared folder and read again.
 
+    by: columns (no strings) whose values become folders, so that filters on them skip files.
+
     That cuts its lineage and outlives executors. The table stays there until the
     surrounding scratch() ends or the folder's owner clears it, as later reads need it.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     if _written.get() is not None:
         _written.get().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
