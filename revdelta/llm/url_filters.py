@@ -13,6 +13,8 @@ any other; an address that many pages share is one row of counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,14 +61,33 @@ def shape(path: Column, depth: int = DEPTH) -> Column:
 LEAST_WORDS, MOST_SYMBOLS = 50, 0.1
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _without(html: Column, opening: str, closing: str) -> Column:
+    """html without what stands from an opening mark to the next closing one.
+
+    Marks that nothing closes stay. They are all behind the last closing mark, so only what
+    is before that is searched: no opening mark makes the search run to the end in vain.
+    """
+    whole, closed = rf"(?is)^(.*{closing})", rf"(?is){opening}.*?{closing}"
+    rest = lambda t, head: F.concat(F.regexp_replace(head, closed, " "), F.substring(t, F.length(head) + 1, F.length(t)))
+    return _let(html, lambda t: _let(F.regexp_extract(t, whole, 1), lambda head: rest(t, head)))
+
+
 def readable(html: Column) -> Column:
     """Whether a page shows prose: enough words outside its markup, few symbols among them,
-    and not in capitals throughout. Null for a null page."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->|<[^>]*+>", " ")
-    bare = F.regexp_replace(bare, "&amp;", "&")
-    words = F.size(F.filter(F.split(bare, r"\s+"), lambda w: w != ""))
-    symbols = F.length(bare) - F.length(F.translate(bare, "#*$%&|<>", ""))
-    return F.when(html.isNotNull(), (words >= LEAST_WORDS) & (symbols <= MOST_SYMBOLS * words) & (F.upper(bare) != bare))
+    and not in capitals throughout. Null for a null page. Linear in the page."""
+    bare = _without(html, "<!--", "-->")
+    for name in ("script", "style", "nav"):
+        bare = _without(bare, rf"<{name}\b", rf"</{name}\s*+>")
+    bare = F.regexp_replace(F.regexp_replace(bare, "<[^<>]*+>", " "), "&amp;", "&")
+    symbols = lambda t: F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))
+    words = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    enough = lambda t: _let(words(t), lambda n: (n >= LEAST_WORDS) & (symbols(t) <= MOST_SYMBOLS * n)) & (F.upper(t) != t)
+    return F.when(html.isNotNull(), _let(bare, enough))
 
 
 def templates(

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -477,3 +478,19 @@ def test_neighbours_of_huge_and_tied_vectors(spark):
     points = np.array([v for _, v in rows[:60]])
     far = np.sqrt(((points - points[30]) ** 2).sum(axis=1))
     assert [r.vec_id for r in found] == [int(i) for i in np.lexsort((np.arange(60), far)) if i != 30][:10]
+
+
+def test_readable_is_linear_and_strips_what_is_closed(spark):
+    prose = " ".join(f"Word{i}" for i in range(60))
+    pages = [
+        f"<p>{prose}</p>", f"<script>{prose}</script>", f"<nav a>{prose}<nav>{prose}</nav >", f"<!-- {prose} -->", f"<STYLE>x</style\n>{prose}",
+        f"<nav {prose}", f"<script>var t='</p>';</script><p>{prose}<nav>", prose.upper(), "", None, "</nav></script>-->" + prose + "<!-- <nav <script",
+    ]
+    want = [True, False, False, False, True, True, True, False, False, None, True]
+    frame = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    assert [r.g for r in frame.select("i", url_filters.readable(F.col("html")).alias("g")).orderBy("i").collect()] == want
+    for opener in ("<nav ", "<script>", "<!--", "</nav ", "<", "</nav" + " " * 9):
+        broken = spark.createDataFrame([(opener * (1_000_000 // len(opener)),)], "html string")
+        began = time.time()
+        broken.select(url_filters.readable(F.col("html"))).collect()
+        assert time.time() - began < 20, opener
