@@ -96,8 +96,8 @@ def joined_text(order: str = "place") -> Column:
     return F.trim(F.regexp_replace(F.aggregate(items, start, add, lambda acc: acc["text"]), f"[{X.SPACE}]+", " "))
 
 
-def stitched(items: DataFrame) -> DataFrame:
-    """(page, text): each page's items in the order given, put together as running text.
+def pieces(items: DataFrame) -> DataFrame:
+    """(page, item_index, str, piece): each item's text led by what parts it from the last one.
 
     White space that an item brings along parts it from its neighbour; else a new line, or
     a step back, becomes a line feed, and a gap of more than 0.18 of a character a space.
@@ -118,9 +118,14 @@ def stitched(items: DataFrame) -> DataFrame:
         .when(F.col("x") - (F.col("l_x") + F.col("l_width")) > wide * 0.18, " ")
         .otherwise("")
     )
-    pieces = F.array_sort(F.collect_list(F.struct("item_index", "piece")))
-    whole = F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
-    return known.withColumn("piece", F.concat(between, F.col("str"))).groupBy(*PAGE).agg(whole.alias("text"))
+    return known.select(*PAGE, "item_index", "str", F.concat(between, F.col("str")).alias("piece"))
+
+
+def stitched(items: DataFrame) -> DataFrame:
+    """(page, text): each page's items in the order given, put together as running text."""
+    in_order = F.array_sort(F.collect_list(F.struct("item_index", "piece")))
+    whole = F.array_join(F.transform(in_order, lambda p: p["piece"]), "")
+    return pieces(items).groupBy(*PAGE).agg(whole.alias("text"))
 
 
 def text_lines(items: DataFrame, page_width: float) -> DataFrame:

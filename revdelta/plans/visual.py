@@ -148,6 +148,14 @@ def merge_edges(spark, sf_dir):
     return classify.merge_edges(_line_boxes(spark, sf_dir, "earlier"), 6, 2)
 
 
+def regions_merged(spark, sf_dir):
+    return classify.merge_nearby(_line_boxes(spark, sf_dir, "earlier"), 40, 5)
+
+
+def regions_grown(spark, sf_dir):
+    return classify.merge_nearby(_line_boxes(spark, sf_dir, "earlier"), 40, 5, grow=True)
+
+
 def _sizes(spark, sf_dir):
     """Page sizes in points by rule."""
     pages = revision_pages(spark, sf_dir)
@@ -185,7 +193,7 @@ def item_geometry(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     changed_mask, pixel_counts, pixel_direction, overlay_pixels, translation_score, visual_diff, regions, overlay_png,
-    classify_regions, class_counts, regions_display, regions_topk, reading_order, merge_edges, render_size, item_geometry,
+    classify_regions, class_counts, regions_display, regions_topk, reading_order, merge_edges, regions_merged, regions_grown, render_size, item_geometry,
 )}
 
 _PIXELS = """
@@ -257,6 +265,16 @@ ORACLES = {
         where greatest(a.x - (b.x + b.width), b.x - (a.x + a.width)) <= 6 and greatest(a.y - (b.y + b.height), b.y - (a.y + a.height)) <= 2""",
         _BOXES, upto=sql.PAGES,
     ),
+    "regions_merged": sql.over(
+        """select r.pair_id, r.idx, root as id, min(x) as x, min(y) as y, max(x + width) - min(x) as width, max(y + height) - min(y) as height,
+          sum(pixel_count)::bigint as pixel_count from regs r
+          join (select pair_id, idx, id, min(root) as root from reach group by all) c on c.pair_id = r.pair_id and c.idx = r.idx and c.id = r.id group by all""",
+        _BOXES, """near as (select a.pair_id, a.idx, a.id, b.id as other from regs a join regs b on a.pair_id = b.pair_id and a.idx = b.idx and a.id != b.id
+          where greatest(a.x - (b.x + b.width), b.x - (a.x + a.width)) <= 40 and greatest(a.y - (b.y + b.height), b.y - (a.y + a.height)) <= 5),
+        reach as (select pair_id, idx, id, id as root from regs
+          union select n.pair_id, n.idx, n.other, r.root from reach r join near n on n.pair_id = r.pair_id and n.idx = r.idx and n.id = r.id)""",
+        upto=sql.PAGES,
+    ),
     "render_size": sql.over(
         f"select pair_id, side, page_number, {', '.join(f'{e} as {n}' for n, e in GEOMETRY.items())} from"
         f" (select *, {', '.join(f'{e} as {n}' for n, e in SIZES.items())} from pages_rev)", upto=sql.PAGES,

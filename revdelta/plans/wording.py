@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revdelta.functions import text as X
-from revdelta.operators import alignment, edits, lines
+from revdelta.operators import alignment, edits, lines, spans
 from revdelta.plans import sql
 from revdelta.sources.scratch import stored
 from revdelta.sources.revisions import CHAR_WIDTH, FONT_SIZE, LINE_HEIGHT, PAGE_HEIGHT, PAGE_WIDTH, PHRASE, revision_pages, text_items
@@ -51,9 +51,12 @@ def segments(spark, sf_dir):
 
 
 def _ruled(spark, sf_dir):
-    """Token i of n is removed at i % 7 = 3, then an addition follows at i % 5 = 1; idx % 4 = 0 is inexact."""
     words = X.tokens(F.col("text"))
-    docs = revision_pages(spark, sf_dir).where("side = 'earlier'").select("pair_id", F.col("page_number").alias("idx"), words.alias("a"))
+    return _marked(revision_pages(spark, sf_dir).where("side = 'earlier'").select("pair_id", F.col("page_number").alias("idx"), words.alias("a")))
+
+
+def _marked(docs):
+    """Token i of n is removed at i % 7 = 3, then an addition follows at i % 5 = 1; idx % 4 = 0 is inexact."""
     marks = F.flatten(F.transform("a", lambda t, i: F.concat(
         F.when(i % 7 == 3, F.array(F.lit("-"))).otherwise(F.array(F.lit("="))),
         F.when(i % 5 == 1, F.array(F.lit("+"))).otherwise(F.array().cast("array<string>")),
@@ -70,6 +73,38 @@ def text_runs(spark, sf_dir):
     return runs.select(*KEYS, "segment", "side", "id", "kind", F.md5("text").alias("text_md5"))
 
 
+def _ruled_pages(spark, sf_dir):
+    """Both sides of the ruled edits as texts: the earlier page, and its changed tokens by spaces."""
+    ruled = _ruled(spark, sf_dir)
+    before = revision_pages(spark, sf_dir).where("side = 'earlier'").select("pair_id", F.col("page_number").alias("idx"), "text")
+    return ruled, before, ruled.select(*KEYS, F.array_join("b", "  ").alias("text"))
+
+
+def token_offsets(spark, sf_dir):
+    pages = revision_pages(spark, sf_dir)
+    return spans.token_offsets(pages, lines.PAGE).select(*lines.PAGE, "at", F.md5("token").alias("token_md5"), "start", "end")
+
+
+def change_ranges(spark, sf_dir):
+    ruled, before, after = _ruled_pages(spark, sf_dir)
+    return spans.change_ranges(edits.segments(ruled, KEYS), before, after, KEYS)
+
+
+def highlight_quads(spark, sf_dir):
+    """Quads of removed and replaced tokens on the items that the earlier page is stitched from."""
+    items = stored(text_items(revision_pages(spark, sf_dir)).where("side = 'earlier'"))
+    texts = stored(lines.stitched(items))
+    whole = texts.select("pair_id", F.col("page_number").alias("idx"), "text")
+    ruled = _marked(whole.select(*KEYS, X.tokens(F.col("text")).alias("a")))
+    told = spans.change_ranges(edits.segments(ruled, KEYS), whole, ruled.select(*KEYS, F.array_join("b", " ").alias("text")), KEYS)
+    ranges = told.select("pair_id", F.lit("earlier").alias("side"), F.col("idx").alias("page_number"), "segment", F.col("before_start").alias("start"), F.col("before_end").alias("end"))
+    corner = lambda i, c: F.round(F.get("quad", F.lit(i))[c], 6)
+    return spans.highlights(ranges, items).select(
+        "pair_id", "page_number", "segment", "item_index", corner(0, "x").alias("x0"), corner(0, "y").alias("y0"),
+        corner(2, "x").alias("x2"), corner(2, "y").alias("y2"),
+    )
+
+
 def diff_text(spark, sf_dir):
     return edits.text_changes(edits.segments(_edited(spark, sf_dir), KEYS), KEYS)
 
@@ -176,6 +211,9 @@ QUERIES = {
     "token_edits": token_edits,
     "segments": segments,
     "text_runs": text_runs,
+    "token_offsets": token_offsets,
+    "change_ranges": change_ranges,
+    "highlight_quads": highlight_quads,
     "diff_text": diff_text,
     "page_items": page_items,
     "item_orientation": item_orientation,
@@ -268,6 +306,38 @@ lined as (
   from columned group by pair_id, side, page_number, grp
 )"""
 
+#: What parts an item from the last one in running text.
+STITCHED = """
+gapped as (
+  select *, case when ls is null or ls = '' or str = '' then ''
+      when regexp_matches(ls, '\\s$') or regexp_matches(str, '^\\s') then ''
+      when least(ly + lh, y + height) - greatest(ly, y) < greatest(0.01, least(lh, height)) * 0.25
+        and abs(ly + lh / 2 - y - height / 2) > 5.5 then chr(10)
+      when x + greatest(1, (lw / greatest(1, length(ls)) + width / greatest(1, length(str))) / 2) < lx then chr(10)
+      when x - (lx + lw) > greatest(1, (lw / greatest(1, length(ls)) + width / greatest(1, length(str))) / 2) * 0.18 then ' ' else '' end as gap
+  from (select *, lag(str) over w as ls, lag(x) over w as lx, lag(y) over w as ly, lag(width) over w as lw, lag(height) over w as lh
+    from boxes window w as (partition by pair_id, side, page_number order by item_index))
+)"""
+#: Characters of each segment's tokens on both sides; the newer side's are parted by two spaces.
+_RANGED = """
+ranged as (
+  select i.pair_id, i.idx, i.segment, min(o.start_at) filter (edit != '+') as a1, max(o.end_at) filter (edit != '+') as a2,
+    min(upto - length(tok)) filter (edit != '-') as b1, max(upto) filter (edit != '-') as b2
+  from (select *, sum(case when edit != '-' then length(tok) + 2 else 0 end) over (partition by pair_id, idx order by pos)::bigint - 2 as upto from islands) i
+  left join (select pair_id, page_number, pos, start_at, end_at from offs) o on o.pair_id = i.pair_id and o.page_number = i.idx and o.pos = i.pos // 2
+  group by all
+)"""
+def _offsets(texts: str) -> str:
+    """Tokens with the white space before them; their lengths add up to the places."""
+    return f"""
+offs as (
+  select pair_id, side, page_number, k - 1 as pos, tok, ends - length(tok) as start_at, ends as end_at from (
+    select *, sum(length(piece)) over (partition by pair_id, side, page_number order by k)::bigint as ends, regexp_replace(piece, '^[{sql.SPACE_RE2}]+', '') as tok from (
+      select pair_id, side, page_number, unnest(range(1, len(ps) + 1)) as k, unnest(ps) as piece from (
+        select *, regexp_extract_all(text, {sql.quoted(f"[{sql.SPACE_RE2}]*(?:{sql.TOKEN_RE2})")}) as ps from {texts})))
+)"""
+
+
 ORACLES = {
     "text_lines": sql.over(
         """select pair_id, side, page_number, row_number() over (partition by pair_id, side, page_number order by y, x, first_place) as line,
@@ -283,6 +353,32 @@ ORACLES = {
           select *, 'before' as side, {sql.joined('ta')} as t from segs
           union all select *, 'after', {sql.joined('tb')} from segs) where t != ''""", _RULED, upto=sql.PAGES,
     ),
+    "token_offsets": sql.over(
+        'select pair_id, side, page_number, pos as "at", md5(tok) as token_md5, start_at as "start", end_at as "end" from offs',
+        _offsets("pages_rev"), upto=sql.PAGES,
+    ),
+    "change_ranges": sql.over(
+        """select i.pair_id, i.idx, segment, 'semantic-' || segment as id, s.kind, coalesce(a1, a_size) as before_start, coalesce(a2, a_size) as before_end,
+          coalesce(b1, b_size) as after_start, coalesce(b2, b_size) as after_end from ranged i join segs s using (pair_id, idx, segment)
+          join (select pair_id, page_number as idx, length(text) as a_size from pages_rev where side = 'earlier') using (pair_id, idx)
+          join (select pair_id, idx, greatest(coalesce(sum(length(tok) + 2) filter (edit != '-'), 0) - 2, 0)::bigint as b_size from islands group by all) using (pair_id, idx)
+          where s.kind != 'same'""",
+        _RULED, _offsets("(select * from pages_rev where side = 'earlier')"), _RANGED, upto=sql.PAGES,
+    ),
+    "highlight_quads": sql.over(
+        """select pair_id, idx as page_number, segment, item_index, round(px + (qx - px) * f, 6) as x0, round(py + (qy - py) * f, 6) as y0,
+          round(sx + (rx - sx) * t, 6) as x2, round(sy + (ry - sy) * t, 6) as y2 from (
+          select r.pair_id, r.idx, r.segment, i.item_index, (greatest(a1, i1) - i1) / (i2 - i1)::double as f, (least(a2, i2) - i1) / (i2 - i1)::double as t,
+            if(rotated, x + width, x) as px, y as py, x + width as qx, if(rotated, y + height, y) as qy,
+            if(rotated, x, x + width) as rx, y + height as ry, x as sx, if(rotated, y, y + height) as sy
+          from ranged r join segs s using (pair_id, idx, segment) join spanned i on i.pair_id = r.pair_id and i.page_number = r.idx and a1 < i2 and i1 < a2
+          where s.kind != 'same')""",
+        ITEMS, STITCHED, """
+spanned as (select *, i2 - length(str) as i1 from (
+  select *, sum(length(gap || str)) over (partition by pair_id, page_number order by item_index) as i2 from gapped where side = 'earlier') where str != ''),
+texts as (select pair_id, side, page_number, string_agg(gap || str, '' order by item_index) as text from gapped where side = 'earlier' group by all)""",
+        _RULED.replace("from pages_rev where side = 'earlier'", "from texts"), _offsets("texts"), _RANGED, upto=sql.PAGES,
+    ),
     "page_items": sql.over(
         "select pair_id, side, page_number, item_index, md5(str) as str_md5, x, y, width, height from boxes", ITEMS, upto=sql.PAGES
     ),
