@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revdelta.operators.components import components
 from revdelta.sources.scratch import scratch, shared_folder, stored
 
-__all__ = ["scratch", "shared_folder", "stored"]
+__all__ = ["components", "scratch", "shared_folder", "stored"]
 
 
 #: Bits of a membership bitmap: 8 MB, whatever the data.
@@ -114,38 +115,3 @@ def map_texts(
 
     bytes_of = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     return df.select(*[F.col(f"`{c}`") for c in df.columns], bytes_of.alias(raw)).mapInArrow(run, schema)
-
-
-def _digest(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): component is the smallest node that edges (u, v) reach.
-
-    Alternates large-star and small-star steps on the edge table until it no longer
-    changes. Each step is a partial aggregate and a join whose large side is the edge
-    table, so a hub's edges can be split over tasks; the result of each round is cut.
-    Nodes are longs; loops and repeated edges are fine, rows with a null are ignored.
-    """
-    u, v = F.col("u"), F.col("v")
-    edges = edges.toDF("u", "v").where(u.isNotNull() & v.isNotNull() & (u != v))
-    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = _digest(now)
-    while True:
-        both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v"))
-        large = large.where(u != v)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(least, "u")
-        small = star.where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        after = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        last, seen = seen, _digest(after)
-        if last == seen:
-            break
-        now = after
-    roots = after.select(F.col("v").alias("node")).distinct()
-    return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        roots.select("node", F.col("node").alias("component"))
-    )
