@@ -21,14 +21,14 @@ def source(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFr
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def compared(pairs: DataFrame) -> DataFrame:
-    """(pair_id, idx, similarity, status) of page pairs, batch or stream alike."""
+def compared(pairs: DataFrame, *more: str) -> DataFrame:
+    """(pair_id, idx, similarity, status) of page pairs and columns `more`, batch or stream alike."""
     words = pairs.withColumn("a", X.fingerprint(F.coalesce("before", F.lit("")))).withColumn("b", X.fingerprint(F.coalesce("after", F.lit(""))))
     status = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed")
     one_sided = F.col("before").isNull() | F.col("after").isNull()
     return words.select(
         "pair_id", "idx", F.when(one_sided, 0.0).otherwise(jaccard("a", "b")).alias("similarity"),
-        status.when(F.col("before") == F.col("after"), "same").otherwise("changed").alias("status"),
+        status.when(F.col("before") == F.col("after"), "same").otherwise("changed").alias("status"), *more,
     )
 
 
