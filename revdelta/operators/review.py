@@ -84,10 +84,6 @@ select id, user_id, updated_at from (
     select event_id % 500 as id, user_id, event_id as updated_at,
       row_number() over (partition by user_id, event_id % 500 order by event_id desc) as version from {events}) v
   where version = 1) h where place <= 6""",
-    # everything kept, newest first
-    "history_list": """
-select id, user_id, updated_at, row_number() over (order by updated_at desc, id desc) as place from (
-  select event_id % 500 as id, min(user_id) as user_id, max(event_id) as updated_at from {events} group by event_id % 500) h""",
     "export_names": """
 select page_id, substring(stem, 1, 40) || '-vs-' || substring(stem, 1, 40) || '.csv' as report_name,
   substring(stem, 1, 40) || case when page_id % 3 = 0 then '-page-' || page_id when page_id % 3 = 1 then '-page-A' || page_id || '-B' || (page_id + 1)
@@ -120,24 +116,12 @@ from (select pair_id, earlier_page, newer_page + 1 as newer_page, similarity, id
   from {rows} where earlier_page is not null and newer_page is not null) t
 left join {typical} m on m.pair_id = t.pair_id
 where not exists (select 1 from {rows} d where d.pair_id = t.pair_id and d.earlier_page = t.earlier_page and d.newer_page = t.newer_page)""",
-    # nearest-rank percentiles of durations
-    "metric_summary": """
-select event_type as name, count(*) as n, max(value) as max_ms,
-  max(case when k = ceil(n_all * 5e-1) then value end) as p50_ms, max(case when k = ceil(n_all * 95e-2) then value end) as p95_ms
-from (select event_type, value, row_number() over (partition by event_type order by value) as k,
-    count(*) over (partition by event_type) as n_all from {events} where value is not null) r group by event_type""",
     "bench_regressions": """
 select scenario, name, baseline_ms, current_ms, change_percent from (
   select b.scenario, b.name, b.p50 as baseline_ms, c.p50 as current_ms,
     case when b.p50 > 0 then (c.p50 - b.p50) / b.p50 * 100 when c.p50 > 0 then cast('Infinity' as double) else 0e0 end as change_percent
   from {medians} b join {medians} c on b.scenario = c.scenario and b.name = c.name and b.half = 0 and c.half = 1) r
 where change_percent > 2""",
-    "medians": """
-select scenario, name, half, max(case when k = ceil(n * 5e-1) then value end) as p50 from (
-  select user_id % 4 as scenario, event_type as name, event_id % 2 as half, value,
-    row_number() over (partition by user_id % 4, event_type, event_id % 2 order by value, event_id) as k,
-    count(*) over (partition by user_id % 4, event_type, event_id % 2) as n from {events} where value is not null) r
-group by scenario, name, half""",
     # recall, precision and status misses of the expected pairs; what is expected is off by rule
     "accuracy_alignment": """
 select e.pair_id, count(*) as expected, sum(case when a.idx is not null then 1 else 0 end) as found,

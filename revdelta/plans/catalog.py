@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from revdelta.plans import comparing, reporting, reviewing, viewing, visual, wording
+from revdelta.plans import comparing, keeping, reporting, reviewing, viewing, visual, wording
 
-MODULES = (reporting, wording, visual, reviewing, viewing, comparing)
+MODULES = (reporting, wording, visual, reviewing, viewing, comparing, keeping)
 
 
 def queries() -> dict:

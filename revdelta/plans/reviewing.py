@@ -14,14 +14,12 @@ PARTS = {
     "hex_r": "hex(r)", "hex_g": "hex(g)", "hex_b": "hex(b)",
     "squeeze": r"regexp_replace(before || ' ' || after, '[ \\n\\t]+', ' ')",
 }
-INPUTS = ("rows", "changes", "totals", "typical", "medians", "events", "pages")
+INPUTS = ("rows", "changes", "totals", "typical", "events", "pages")
 
 
 def _frame(spark, sf_dir, name):
     if name in ("events", "pages"):
         return table(spark, sf_dir, name)
-    if name == "medians":
-        return review.view(spark, "medians", events=table(spark, sf_dir, "events"))
     rows = comparison_rows(spark, sf_dir)
     if name == "changes":
         return change_rows(rows)
@@ -39,7 +37,7 @@ def _query(name):
     return run
 
 
-QUERIES = {name: _query(name) for name in review.VIEWS if name != "medians"}
+QUERIES = {name: _query(name) for name in review.VIEWS if name != "bench_regressions"}
 
 _PLURAL = "{0} || ' {1}' || case when {0} = 1 then '' else 's' end"
 _STATES = "map {'same': 'No changes', 'added': 'Added', 'removed': 'Removed', 'changed': 'Changed', 'processing': 'Comparing…'}"
