@@ -171,28 +171,41 @@ def _plain_lines(spark, sf_dir):
     )
 
 
-def exact_lines(spark, sf_dir):
-    """Lines that are alone with their text on both sides of a page pair."""
+def _plain_sides(spark, sf_dir):
     _, paired = _positions(spark, sf_dir)
-    a, b = lines.sided(_plain_lines(spark, sf_dir), paired)
-    key = [*KEYS, "identity"]
-    once = lambda df, p: df.groupBy(*KEYS, F.col(f"{p}_identity").alias("identity")).agg(
-        F.min(f"{p}_line").alias(f"{p}_line"), F.count("*").alias(f"{p}_n")
-    )
-    both = once(a, "a").where("a_n = 1").join(once(b, "b").where("b_n = 1"), key)
-    return both.select(*KEYS, "a_line", "b_line")
+    return lines.sided(_plain_lines(spark, sf_dir), paired)
+
+
+def _plain_rest(spark, sf_dir):
+    """The plain lines of both sides that no equal line takes."""
+    a, b = (stored(side) for side in _plain_sides(spark, sf_dir))
+    same = stored(lines.exact_matches(a, b, PAGE_WIDTH, PAGE_HEIGHT))
+    out = []
+    for side, line in ((a, "a_line"), (b, "b_line")):
+        out.append(side.join(same.select(*KEYS, line), [*KEYS, line], "left_anti"))
+    return out
+
+
+def exact_lines(spark, sf_dir):
+    """Equal lines of page pairs, one to one; repeated ones take the nearest that is free."""
+    return lines.exact_matches(*_plain_sides(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)
 
 
 def similarity_ceiling(spark, sf_dir):
-    """The bound, where it is high enough, for lines that stand at the same place of a page
-    pair and differ; line_candidates() runs it over all lines."""
+    """The bound, where it is high enough, over all lines that no equal line takes."""
+    return lines.ceilings(*_plain_rest(spark, sf_dir)).select(*KEYS, "a_line", "b_line", F.round("ceiling", 9).alias("ceiling"))
+
+
+def plain_candidates(spark, sf_dir):
+    """Changed lines that may be each other's revision, lines as they stand in the text."""
+    found = lines.candidates(*_plain_rest(spark, sf_dir), PAGE_WIDTH, PAGE_HEIGHT)
+    return found.select(*KEYS, "a_line", "b_line", F.round("similarity", 9).alias("similarity"), F.round("score", 9).alias("score"))
+
+
+def plain_matches(spark, sf_dir):
+    """Every line of both sides once, lines as they stand in the text."""
     _, paired = _positions(spark, sf_dir)
-    a, b = lines.sided(_plain_lines(spark, sf_dir), paired)
-    other = b.select(*KEYS, F.col("b_line").alias("a_line"), F.col("b_text").alias("other"))
-    a = a.join(other, [*KEYS, "a_line"]).where("a_text != other").drop("other")
-    same = a.select(*KEYS, "a_line", F.col("a_line").alias("b_line"))
-    b = b.join(same.select(*KEYS, "b_line"), [*KEYS, "b_line"], "left_semi")
-    return lines.ceilings(a, b).join(same, [*KEYS, "a_line", "b_line"]).select(*KEYS, "a_line", "b_line", "ceiling")
+    return lines.match(_plain_lines(spark, sf_dir), paired, PAGE_WIDTH, PAGE_HEIGHT).select(*KEYS, "kind", "a_line", "b_line")
 
 
 def line_candidates(spark, sf_dir):
@@ -225,6 +238,8 @@ QUERIES = {
     "unchanged_lines": unchanged_lines,
     "exact_lines": exact_lines,
     "similarity_ceiling": similarity_ceiling,
+    "plain_candidates": plain_candidates,
+    "plain_matches": plain_matches,
 }
 
 ITEMS = rf"""
@@ -283,6 +298,67 @@ segs as (
 _GRAMS = """(case when len(c) < 3 then list_filter(c, lambda g: g != '') else
   list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) end)"""
 
+#: Equal lines in turn: the next earlier one takes the nearest newer one that is free.
+_SAME = f"""
+equal_b as (select pair_id, idx, low, list(line order by line) as bs from side_b group by all),
+equal_a as (select a.*, row_number() over (partition by a.pair_id, a.idx, a.low order by a.line) as k from side_a a),
+taking as (
+  select pair_id, idx, low, bs, 0::bigint as k, []::bigint[] as taken, null::bigint as a_line from equal_b
+  union all
+  select t.pair_id, t.idx, t.low, t.bs, a.k, list_append(t.taken, list_sort(list_transform(list_filter(t.bs, lambda b: not list_contains(t.taken, b)),
+    lambda b: struct_pack(d := abs(((b - 1) * {LINE_HEIGHT}::double + 5) / {PAGE_HEIGHT} - ((a.line - 1) * {LINE_HEIGHT}::double + 5) / {PAGE_HEIGHT}), b := b)))[1].b), a.line
+  from taking t join equal_a a on a.pair_id = t.pair_id and a.idx = t.idx and a.low = t.low and a.k = t.k + 1 where t.k < len(t.bs)
+),
+same as (select pair_id, idx, a_line, taken[-1] as b_line from taking where k > 0),
+left_a as (select * from side_a l where not exists (select 1 from same s where s.pair_id = l.pair_id and s.idx = l.idx and s.a_line = l.line)),
+left_b as (select * from side_b l where not exists (select 1 from same s where s.pair_id = l.pair_id and s.idx = l.idx and s.b_line = l.line))"""
+#: Shared tokens and trigrams of all lines that are left.
+_BOUNDED = "grams as (" + " union all ".join(f"""
+select '{x}' as part, pair_id, idx, line, sort, gram, count(*) as n from (
+  select pair_id, idx, line, 't' as sort, unnest(regexp_extract_all(low, {sql.quoted(sql.TOKEN_RE2)})) as gram from left_{x}
+  union all select pair_id, idx, line, 'g', unnest({_GRAMS}) from (select *, string_split(regexp_replace(low, '[{sql.SPACE_RE2}]+', ' ', 'g'), '') as c from left_{x})) group by all"""
+    for x in "ab") + """),
+shares as (
+  select a.pair_id, a.idx, a.line as a_line, b.line as b_line, sum(least(a.n, b.n)) filter (a.sort = 't') as t, sum(least(a.n, b.n)) filter (a.sort = 'g') as g
+  from grams a join grams b on a.part = 'a' and b.part = 'b' and a.pair_id = b.pair_id and a.idx = b.idx and a.sort = b.sort and a.gram = b.gram group by all
+),
+gram_sizes as (select part, pair_id, idx, line, sum(n) filter (sort = 't') as nt, sum(n) filter (sort = 'g') as ng from grams group by all),
+bounded as (
+  select s.pair_id, s.idx, a_line, b_line, coalesce(2 * g / (x.ng + y.ng)::double, 0) as gram_dice,
+    greatest(coalesce(2 * t / (x.nt + y.nt)::double, 0), coalesce(2 * g / (x.ng + y.ng)::double, 0) * 0.94::double) as ceiling
+  from shares s join gram_sizes x on x.part = 'a' and x.pair_id = s.pair_id and x.idx = s.idx and x.line = a_line
+  join gram_sizes y on y.part = 'b' and y.pair_id = s.pair_id and y.idx = s.idx and y.line = b_line
+)"""
+#: Longest common subsequences of tokens, row by row, then the score of each pair.
+_SCORED = f"""
+scored as (
+  select * from (
+    select *, similarity * 0.82::double + least(la, lb) / greatest(la, lb)::double * 0.18::double - sqrt(dx * dx + dy * dy) * 0.3::double as score from (
+      select *, greatest(2 * lcs / (len(ta) + len(tb))::double, gram_dice * 0.94::double) as similarity,
+        (wa / 2 - wb / 2) / {PAGE_WIDTH} as dx, (ya + 5) / {PAGE_HEIGHT} - (yb + 5) / {PAGE_HEIGHT} as dy from (
+        select *, list_reduce(list_transform(ta, lambda x: list_transform(tb, lambda y: (x = y)::int)), lambda acc, f: list_reduce(
+            list_transform(range(1, len(f) + 1), lambda j: [j::int]),
+            lambda r, j: list_append(r, case when f[j[1]] = 1 then acc[j[1]] + 1 else greatest(acc[j[1] + 1], r[-1]) end), [0::int]),
+          list_transform(range(0, len(tb) + 1), lambda z: 0::int))[-1] as lcs from (
+          select c.*, regexp_extract_all(a.low, {sql.quoted(sql.TOKEN_RE2)}) as ta, regexp_extract_all(b.low, {sql.quoted(sql.TOKEN_RE2)}) as tb,
+            length(a.low) as la, length(b.low) as lb, length(a.text) * {CHAR_WIDTH}::double as wa, length(b.text) * {CHAR_WIDTH}::double as wb,
+            (a.line - 1) * {LINE_HEIGHT}::double as ya, (b.line - 1) * {LINE_HEIGHT}::double as yb,
+            case when least(len(string_split(a.low, ' ')), len(string_split(b.low, ' '))) <= 2 then {lines.FLOOR_SHORT}::double else {lines.FLOOR}::double end as floor_at
+          from bounded c join left_a a on a.pair_id = c.pair_id and a.idx = c.idx and a.line = a_line join left_b b on b.pair_id = c.pair_id and b.idx = c.idx and b.line = b_line)
+        where ceiling >= floor_at)))
+  where similarity >= floor_at and not (abs(wa / 2 - wb / 2) / {PAGE_WIDTH} > 0.24::double and similarity < 0.9::double)
+)"""
+_ACCEPTED = """
+ranked as (select *, row_number() over (partition by pair_id, idx order by score desc, a_line, b_line) as k from scored),
+accepting as (
+  select distinct pair_id, idx, 0::bigint as k, []::bigint[] as used_a, []::bigint[] as used_b, false as taken, 0::bigint as a_line, 0::bigint as b_line from ranked
+  union all
+  select pair_id, idx, k, case when ok then list_append(used_a, a_line) else used_a end, case when ok then list_append(used_b, b_line) else used_b end, ok, a_line, b_line from (
+    select t.pair_id, t.idx, r.k, t.used_a, t.used_b, r.a_line, r.b_line, not list_contains(t.used_a, r.a_line) and not list_contains(t.used_b, r.b_line) as ok
+    from accepting t join ranked r on r.pair_id = t.pair_id and r.idx = t.idx and r.k = t.k + 1)
+),
+changed as (select pair_id, idx, a_line, b_line from accepting where taken)"""
+
 #: Lines of pages: items of mostly short ones, and rotated ones, stand alone; else the items of
 #: one height are cut into columns at wide gaps.
 _LINES = f"""
@@ -400,31 +476,18 @@ texts as (select pair_id, side, page_number, string_agg(gap || str, '' order by
               where not rotated window w as (partition by pair_id, side, page_number, y order by x, item_index)))""",
         ITEMS, upto=sql.PAGES,
     ),
-    "exact_lines": sql.over(
-        """select a.pair_id, a.idx, a.line as a_line, b.line as b_line from
-        (select pair_id, idx, low, min(line) as line from side_a group by all having count(*) = 1) a
-        join (select pair_id, idx, low, min(line) as line from side_b group by all having count(*) = 1) b
-        on a.pair_id = b.pair_id and a.idx = b.idx and a.low = b.low""", _PLAIN, upto=sql.POSITION,
-    ),
+    "exact_lines": sql.over("select pair_id, idx, a_line, b_line from same", _PLAIN, _SAME, upto=sql.POSITION),
     "similarity_ceiling": sql.over(
-        f"""select * from (
-        select pair_id, idx, line as a_line, line as b_line, greatest(2 * t_both / (na_t + nb_t)::double, 2 * g_both / (na_g + nb_g)::double * 0.94) as ceiling
-        from (select pair_id, idx, line, sum(case when sort = 't' then least(ca, cb) else 0 end) as t_both,
-            sum(case when sort = 'g' then least(ca, cb) else 0 end) as g_both from (
-          select a.pair_id, a.idx, a.line, a.sort, a.n as ca, b.n as cb from ga a join gb b
-            on a.pair_id = b.pair_id and a.idx = b.idx and a.line = b.line and a.sort = b.sort and a.gram = b.gram) group by all)
-        join (select pair_id, idx, line, sum(n) filter (sort = 't') as na_t, sum(n) filter (sort = 'g') as na_g from ga group by all) using (pair_id, idx, line)
-        join (select pair_id, idx, line, sum(n) filter (sort = 't') as nb_t, sum(n) filter (sort = 'g') as nb_g from gb group by all) using (pair_id, idx, line))
-        where ceiling >= {lines.FLOOR}""",
-        _PLAIN + f""",
-duo as (select a.pair_id, a.idx, a.line, a.low as la, b.low as lb from side_a a join side_b b
-  on a.pair_id = b.pair_id and a.idx = b.idx and a.line = b.line and a.text != b.text),
-""" + ",\n".join(
-            f"""g{s} as (select pair_id, idx, line, sort, gram, count(*) as n from (
-  select pair_id, idx, line, 't' as sort, unnest(regexp_extract_all(l{s}, {sql.quoted(sql.TOKEN_RE2)})) as gram from duo
-  union all select pair_id, idx, line, 'g', unnest({_GRAMS}) from (
-    select *, string_split(regexp_replace(l{s}, '[{sql.SPACE_RE2}]+', ' ', 'g'), '') as c from duo)) group by all)"""
-            for s in "ab"
-        ), upto=sql.POSITION,
+        f"select pair_id, idx, a_line, b_line, round(ceiling, 9) as ceiling from bounded where ceiling >= {lines.FLOOR}",
+        _PLAIN, _SAME, _BOUNDED, upto=sql.POSITION,
+    ),
+    "plain_candidates": sql.over(
+        "select pair_id, idx, a_line, b_line, round(similarity, 9) as similarity, round(score, 9) as score from scored", _PLAIN, _SAME, _BOUNDED, _SCORED, upto=sql.POSITION
+    ),
+    "plain_matches": sql.over(
+        """select pair_id, idx, 'same' as kind, a_line, b_line from same union all select pair_id, idx, 'changed', a_line, b_line from changed
+        union all select pair_id, idx, 'removed', line, null from left_a l where not exists (select 1 from changed c where c.pair_id = l.pair_id and c.idx = l.idx and c.a_line = l.line)
+        union all select pair_id, idx, 'added', null, line from left_b l where not exists (select 1 from changed c where c.pair_id = l.pair_id and c.idx = l.idx and c.b_line = l.line)""",
+        _PLAIN, _SAME, _BOUNDED, _SCORED, _ACCEPTED, upto=sql.POSITION,
     ),
 }
