@@ -60,6 +60,12 @@ def bounds(quad: Column) -> Column:
     )
 
 
+def is_horizontal(quad: Column) -> Column:
+    """Whether a quad's text runs across the page rather than along it."""
+    p = lambda i, c: F.get(quad, F.lit(i))[c]
+    return F.abs(p(1, "x") - p(0, "x")) >= F.abs(p(1, "y") - p(0, "y"))
+
+
 def sub_quad(quad: Column, start: Column, end: Column) -> Column:
     """The part of a quad between two shares of its length."""
     p = lambda i: F.get(quad, F.lit(i))

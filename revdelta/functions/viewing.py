@@ -47,6 +47,42 @@ def shows_side(text_filter: Column, side: Column) -> Column:
     return text_filter.isin("all", "changed") | (F.when(text_filter == "added", "newer").otherwise("earlier") == side)
 
 
+def counted(n: Column, mode: Column) -> Column:
+    """So many changes, in the unit that a view walks: text changes in text mode, else areas."""
+    noun = F.when(mode == "semantic-text", "text change").otherwise("area")
+    return F.concat(n, F.lit(" "), noun, F.when(n == 1, "").otherwise("s"))
+
+
+def walker(n: Column, selected: Column, mode: Column) -> Column:
+    """Where a reader stands among a page's changes; selected counts from 0, -1 is none."""
+    name = F.when(mode == "semantic-text", "Text change").otherwise("Area")
+    stands = F.concat(name, F.lit(" "), selected + 1, F.lit(" of "), n)
+    return F.concat(F.when(selected < 0, counted(n, mode)).otherwise(stands), F.lit(" on this page"))
+
+
+#: What a rail says of a page's state, and text mode of a page without changes.
+STATES = {"same": "No changes", "added": "Added", "removed": "Removed", "changed": "Changed", "processing": "Comparing…", "error": "Error"}
+NO_TEXT = {"all": "No semantic text changes", "added": "No added text on this page", "removed": "No removed text on this page", "changed": "No changed text on this page"}
+
+
+def _named(key: Column, names: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), key)
+
+
+def rail_status(status: Column, n: Column, mode: Column) -> Column:
+    """A changed page's count of changes, any other one's state."""
+    return F.when((status == "changed") & (n > 0), counted(n, mode)).otherwise(_named(status, STATES))
+
+
+def rail_summary(index: Column, pages: Column, changed: Column) -> Column:
+    more = F.when(changed > 0, F.concat(F.lit(" · "), changed, F.lit(" changed"))).otherwise("")
+    return F.concat(F.lit("Page "), index + 1, F.lit(" of "), pages, more)
+
+
+def text_summary(unreadable: Column, n: Column, text_filter: Column) -> Column:
+    return F.when(unreadable, "Text could not be read").when(n > 0, "").otherwise(_named(text_filter, NO_TEXT))
+
+
 def rgb(hex_text: Column, fallback: tuple[int, int, int]) -> Column:
     """The channels of #rrggbb, with or without the mark; anything else is the fallback."""
     digits = F.regexp_extract(F.trim(hex_text), "(?i)^#?([0-9a-f]{6})$", 1)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from revdelta.functions import viewing as V
 from revdelta.operators import labels
 from revdelta.plans import sql
 from revdelta.plans.visual import BOX
+from revdelta.sources.comparisons import change_rows, comparison_rows
 from revdelta.sources.revisions import revision_pages, table
 
 PAGE_PIXELS = (900, 2800)
@@ -49,6 +51,39 @@ def percent_quads(spark, sf_dir):
     )
 
 
+def page_walker(spark, sf_dir):
+    """What a reader of each page is told: its changes in the view's mode and filter, and where
+    the selection stands. Modes, filters, areas and selections follow from the page's number."""
+    rows = comparison_rows(spark, sf_dir)
+    changes = change_rows(rows).select("pair_id", "idx", F.concat(F.lit("semantic-"), F.col("seq")).alias("id"), "kind")
+    areas = rows.where("idx % 5 > 0").select("pair_id", "idx", F.explode(F.expr("sequence(1, idx % 5)")).alias("seq"))
+    areas = areas.select("pair_id", "idx", F.concat(F.lit("area-"), F.col("seq")).alias("id"), F.lit("changed").alias("kind"))
+    state = rows.withColumns({n: F.expr(e) for n, e in WALK_RULES.items()})
+    listed = labels.page_changes(changes, areas, state.select("pair_id", "idx", "mode", "text_filter"))
+    order = Window.partitionBy("pair_id", "idx").orderBy(F.regexp_extract("id", r"(\d+)$", 1).cast("int"))
+    numbered = listed.select("pair_id", "idx", "id", (F.row_number().over(order) - 1).alias("at"))
+    kept = labels.still_selected(state.select("pair_id", "idx", "selected"), listed).withColumnRenamed("selected", "kept")
+    counts = listed.groupBy("pair_id", "idx").agg(F.count("*").alias("n"))
+    whole = rows.groupBy("pair_id").agg(F.count("*").alias("pages"), F.count_if((F.col("status") != "same") | (F.col("alignment") == "moved")).alias("changed"))
+    told = state.join(kept, ["pair_id", "idx"]).join(counts, ["pair_id", "idx"], "left").join(whole, "pair_id")
+    told = told.join(numbered.withColumnRenamed("id", "kept"), ["pair_id", "idx", "kept"], "left")
+    n, at = F.coalesce("n", F.lit(0)), F.coalesce("at", F.lit(-1))
+    n_text = F.when(F.col("mode") == "semantic-text", n).otherwise(F.lit(0))
+    return told.select(
+        "pair_id", "idx", F.col("kept").alias("selected"), V.walker(n, at, F.col("mode")).alias("walker"),
+        V.rail_status(F.col("status"), n, F.col("mode")).alias("status_text"), V.rail_summary(F.col("idx") - 1, F.col("pages"), F.col("changed")).alias("rail"),
+        V.text_summary(F.col("text_unreadable"), n_text, F.col("text_filter")).alias("text_summary"),
+    )
+
+
+#: Rules for a page's view, in SQL that any engine reads.
+WALK_RULES = {
+    "mode": "case idx % 3 when 0 then 'overlay' when 1 then 'semantic-text' else 'split' end",
+    "text_filter": "case idx % 4 when 0 then 'all' when 1 then 'added' when 2 then 'removed' else 'changed' end",
+    "selected": "case idx % 6 when 1 then 'semantic-' || (1 + idx % 2) when 3 then 'area-2' when 5 then 'area-1' end",
+}
+
+
 def viewer_state(spark, sf_dir):
     """Filters, zoom, page and status of viewer states that the events stand for."""
     e = F.col("event_id")
@@ -93,7 +128,7 @@ def color_parse(spark, sf_dir):
     return pages.select("page_id", *[F.get(parsed, F.lit(i)).alias(f"hex_{i}") for i in range(3)], *[F.get(valid, F.lit(i)).alias(f"valid_{i}") for i in range(3)])
 
 
-QUERIES = {f.__name__: f for f in (described_regions, percent_quads, viewer_state, overlay_settings, color_parse)}
+QUERIES = {f.__name__: f for f in (page_walker, described_regions, percent_quads, viewer_state, overlay_settings, color_parse)}
 
 _SIDE = """(select pair_id, page_number as idx, {rules}, {x} / 9e2 * 100 as x, {y} / 28e2 * 100 as y, {width} / 9e2 * 100 as width, {height} / 28e2 * 100 as height
   from (select pair_id, page_number, unnest(range(len(l))) as r, unnest(l) as t from (
@@ -101,6 +136,23 @@ _SIDE = """(select pair_id, page_number as idx, {rules}, {x} / 9e2 * 100 as x, {
 _side = lambda side, rules: _SIDE.format(side=side, rules=", ".join(f"{e} as {n}" for n, e in rules.items()), **{c: BOX[c] for c in ("x", "y", "width", "height")})  # noqa: E731, E501
 
 ORACLES = {
+    "page_walker": sql.over(
+        f"""select pair_id, idx, sel as selected,
+          case when pos is null then n || ' ' || unit || if(n = 1, '', 's') else upper(left(unit, 1)) || unit[2:] || ' ' || pos || ' of ' || n end || ' on this page' as walker,
+          case when status = 'changed' and n > 0 then n || ' ' || unit || if(n = 1, '', 's') else
+            map {{'same': 'No changes', 'added': 'Added', 'removed': 'Removed', 'changed': 'Changed'}}[status] end as status_text,
+          format('Page {{}} of {{}}', idx, pages) || if(changed > 0, ' · ' || changed || ' changed', '') as rail,
+          case when text_unreadable then 'Text could not be read' when mode = 'semantic-text' and n > 0 then ''
+            when text_filter = 'all' then 'No semantic text changes' else 'No ' || text_filter || ' text on this page' end as text_summary
+        from (select s.*, len(ids) as n, nullif(list_position(ids, selected), 0) as pos, if(list_contains(ids, selected), selected, null) as sel,
+            if(mode = 'semantic-text', 'text change', 'area') as unit, count(*) over (partition by pair_id) as pages,
+            count(*) filter (status != 'same' or alignment = 'moved') over (partition by pair_id) as changed
+          from (select r.*, {', '.join(f'{e} as {n}' for n, e in WALK_RULES.items())}, if(idx % 3 = 1,
+              coalesce((select list('semantic-' || c.seq order by c.seq) from changes c where c.pair_id = r.pair_id and c.idx = r.idx
+                and (r.idx % 4 = 0 or c.kind = ['added', 'removed', 'changed'][(r.idx % 4)::int])), []),
+              list_transform(range(1, r.idx % 5 + 1), lambda k: 'area-' || k)) as ids from rows_cmp r) s)""",
+        upto=sql.CHANGES,
+    ),
     "described_regions": sql.over(
         """select pair_id, idx, row_number() over (partition by pair_id, idx order by place) as place, id, round(x, 6) as x, round(y, 6) as y,
           round(r - x, 6) as width, round(b - y, 6) as height, case when told is null then 'changed' else mk end as kind,

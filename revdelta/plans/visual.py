@@ -88,6 +88,28 @@ def _raster_pairs(spark, sf_dir):
     return raster_pairs(pages, alignment.by_position(alignment.fingerprints(pages)))
 
 
+def overlay_layers(spark, sf_dir):
+    """How much of each layer shows and what they come to when composed, for shifted pages too:
+    the newer page is moved a column to the right on every third one."""
+    pairs = _raster_pairs(spark, sf_dir)
+    moved, still = pairs.where("idx % 3 = 1"), pairs.where("idx % 3 != 1")
+    found = rasters.layered(still, THRESHOLD, True).unionByName(rasters.layered(moved, THRESHOLD, True, dx=1))
+
+    @F.pandas_udf("base_pixels long, base_grey long, added_alpha long, removed_alpha long, modified_alpha long, red long, green long, blue long")
+    def sums(base: pd.Series, added: pd.Series, removed: pd.Series, modified: pd.Series, composed: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        total = lambda cells, depth, k: [int(np.frombuffer(c, np.uint8)[k::depth].sum(dtype=np.int64)) for c in cells]
+        alphas = [total(x, 4, 3) for x in (base, added, removed, modified)]
+        return pd.DataFrame({
+            "base_pixels": [n // 255 for n in alphas[0]], "base_grey": total(base, 4, 0), "added_alpha": alphas[1], "removed_alpha": alphas[2],
+            "modified_alpha": alphas[3], **{c: total(composed, 3, k) for k, c in enumerate(("red", "green", "blue"))},
+        })
+
+    told = found.select("pair_id", "idx", "width", "height", sums("base", "added", "removed", "modified", "composed").alias("s"))
+    return told.select("pair_id", "idx", "width", "height", "s.*")
+
+
 def visual_diff(spark, sf_dir):
     found = rasters.compare(_raster_pairs(spark, sf_dir), THRESHOLD)
     return found.select(*[c for c in found.columns if c not in ("regions", "overlay")], F.size("regions").alias("n_regions"))
@@ -192,7 +214,7 @@ def item_geometry(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    changed_mask, pixel_counts, pixel_direction, overlay_pixels, translation_score, visual_diff, regions, overlay_png,
+    changed_mask, pixel_counts, pixel_direction, overlay_pixels, translation_score, visual_diff, overlay_layers, regions, overlay_png,
     classify_regions, class_counts, regions_display, regions_topk, reading_order, merge_edges, regions_merged, regions_grown, render_size, item_geometry,
 )}
 
@@ -213,6 +235,11 @@ two as (
 _CHANGED = _PIXELS + f""",
 chg as (select *, {pixels.DIRECTION} as direction, {pixels.STRENGTH} as strength from two where {pixels.DELTA} > 35215 * {THRESHOLD} * {THRESHOLD})"""
 _tint = lambda i: f"floor(255 - (255 - case direction when 'added' then {pixels.ADDED[i]} when 'removed' then {pixels.REMOVED[i]} else {pixels.MODIFIED[i]} end) * strength + 0.5)::bigint"  # noqa: E731, E501
+#: A pixel of the composed layers: unchanged ones faint on white, changed ones in their colour.
+_LAYER = lambda i: (
+    f"floor(case when not is_changed then 255 * (1 - {pixels.OPACITY}::double) + ar * {pixels.OPACITY}::double else 255 * (1 - alpha / 255) + "
+    f"case direction when 'added' then {pixels.ADDED[i]} when 'removed' then {pixels.REMOVED[i]} else {pixels.MODIFIED[i]} end * (alpha / 255) end + 0.5)"
+)
 _BOXES = f"""
 boxes as (select pair_id, side, page_number as idx, r + 1 as id, {", ".join(f"{e} as {n}" for n, e in BOX.items())} from (
   select pair_id, side, page_number, unnest(range(len(l))) as r, unnest(l) as t from (select *, string_split(text, chr(10)) as l from pages_rev))
@@ -227,6 +254,24 @@ classed as (
 )"""
 
 ORACLES = {
+    "overlay_layers": sql.over(
+        f"""select pair_id, idx, w as width, h as height, w * h - changed as base_pixels, 255 * (w * h - changed - inked) + grey as base_grey, added_alpha, removed_alpha, modified_alpha,
+          red + 255 * (w * h - changed - inked) as red, green + 255 * (w * h - changed - inked) as green, blue + 255 * (w * h - changed - inked) as blue
+        from (select pair_id, idx, w, h, count(*) filter (is_changed) as changed, count(*) filter (not is_changed) as inked, coalesce(sum(ar) filter (not is_changed), 0)::bigint as grey,
+            {', '.join(f"coalesce(sum(alpha) filter (is_changed and direction = '{d}'), 0)::bigint as {d}_alpha" for d in ("added", "removed", "modified"))},
+            {', '.join(f"coalesce(sum({_LAYER(i)}), 0)::bigint as {c}" for i, c in enumerate(("red", "green", "blue")))}
+          from (select *, floor(strength * 255 + 0.5) as alpha from (select *, {pixels.DIRECTION} as direction, {pixels.STRENGTH} as strength, {pixels.DELTA} > 35215 * {THRESHOLD} * {THRESHOLD} as is_changed from canvas
+            where x is not null)) right join sizes_c using (pair_id, idx, w, h) group by all)""",
+        _PIXELS, """
+sizes_c as (select pair_id, page_number as idx, max(len(l)) as h, greatest(1, max(list_max(list_transform(l, lambda t: length(t))))) as w
+  from (select *, string_split(text, chr(10)) as l from pages_rev) group by pair_id, page_number),
+canvas as (
+  select c.pair_id, c.idx, c.w, c.h, t.x, coalesce(a.v, 255) as ar, coalesce(a.v, 255) as ag, coalesce(a.v, 255) as ab, coalesce(b.v, 255) as br, coalesce(b.v, 255) as bg, coalesce(b.v, 255) as bb
+  from sizes_c c join (select pair_id, idx, x + if(side = 'newer' and idx % 3 = 1, 1, 0) as x, y from px group by all) t on t.pair_id = c.pair_id and t.idx = c.idx and t.x < c.w
+  left join px a on a.side = 'earlier' and a.pair_id = t.pair_id and a.idx = t.idx and a.x = t.x and a.y = t.y
+  left join px b on b.side = 'newer' and b.pair_id = t.pair_id and b.idx = t.idx and b.x + if(b.idx % 3 = 1, 1, 0) = t.x and b.y = t.y
+)""", upto=sql.PAGES,
+    ),
     "changed_mask": sql.over("select pair_id, idx, y, count(*) as n, min(x) as first_x, max(x) as last_x from chg group by all", _CHANGED, upto=sql.PAGES),
     "pixel_counts": sql.over(
         "select pair_id, idx, count(*) as changed_pixels, " + ", ".join(f"count(*) filter (direction = '{d}') as {d}_pixels" for d in ("added", "removed", "modified"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revdelta.functions import geometry as G
 from revdelta.functions import text as X
 from revdelta.operators import alignment, edits, lines, spans
 from revdelta.plans import sql
@@ -121,8 +122,9 @@ def page_items(spark, sf_dir):
 
 
 def item_orientation(spark, sf_dir):
+    across = G.is_horizontal(spans.box_quad(F.col("rotated")))
     return _items(spark, sf_dir).groupBy("pair_id", "side", "page_number").agg(
-        F.count_if(~F.col("rotated")).alias("n_horizontal"), F.count_if(F.col("rotated")).alias("n_rotated")
+        F.count_if(across).alias("n_horizontal"), F.count_if(~across).alias("n_rotated")
     )
 
 
@@ -459,8 +461,8 @@ texts as (select pair_id, side, page_number, string_agg(gap || str, '' order by
         "select pair_id, side, page_number, item_index, md5(str) as str_md5, x, y, width, height from boxes", ITEMS, upto=sql.PAGES
     ),
     "item_orientation": sql.over(
-        "select pair_id, side, page_number, count(*) filter (not rotated) as n_horizontal, count(*) filter (rotated) as n_rotated"
-        " from boxes group by all", ITEMS, upto=sql.PAGES,
+        """select pair_id, side, page_number, count(*) filter (across >= down) as n_horizontal, count(*) filter (across < down) as n_rotated
+        from (select *, if(rotated, 0, width) as across, if(rotated, height, 0) as down from boxes) group by all""", ITEMS, upto=sql.PAGES,
     ),
     "item_order": sql.over(
         """select pair_id, side, page_number, item_index,
