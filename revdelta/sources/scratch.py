@@ -26,6 +26,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named or spark.sparkContext.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the library wrote, wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Tables that stored() wrote within the innermost scratch(); null outside of any.
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
@@ -41,8 +47,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _written.get():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path)
         _written.reset(token)
 
 
