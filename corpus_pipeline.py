@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from revdelta.llm import packing, pii, quality_rules, simhash, substrings
 from revdelta.llm.common import scratch, shared_folder
+from revdelta.sources.scratch import remove
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows that Python workers get at once. Texts are long: Spark's 10,000 rows of them take tens
@@ -79,11 +80,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    at = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    """All stages over documents; each result is written to the shared folder and read again.
+
+    A stage's table goes once the next one's is written, so two are kept at most; the last
+    one's stays, as the result is read from it.
+    """
+    at, last = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         with scratch(spark):  # what a stage stores on its way goes once its result is written
             stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if last is not None:
+            remove(spark, f"{at}/{last}")
+        last = name
     return docs
