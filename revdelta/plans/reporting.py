@@ -234,6 +234,8 @@ ORACLES = {
         "select pair_id, c > 0 as has_changes, u > 0 as has_unreadable, case when c > 0 or u > 0 then 1 else 0 end as exit_code"
         " from (select pair_id, changed_pages + added_pages + removed_pages + moved_pages as c, unreadable_pages as u from totals)"
     ),
+    "canonical_text": f"select doc_id, md5({sql.CANONICAL}) as canonical_md5 from documents where text is not null",
+    "identity_text": f"select doc_id, md5({sql.IDENTITY}) as identity_md5 from {sql.IDENTITY_FROM}",
     "report_csv": sql.over("select * from csv_lines", _CSV_LINES, upto=sql.CHANGES),
     "report_csv_whole": sql.over(
         f"""select p.pair_id, {sql.quoted(report.CSV_HEADER)} || chr(10) || coalesce(body || chr(10), '') as report

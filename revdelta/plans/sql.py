@@ -12,6 +12,27 @@ UNREADABLE_RE2 = r"[\x00-\x08\x0E-\x1F\x{E000}-\x{F8FF}\x{FFFD}]"
 WORD_RE2 = r"[\p{L}\p{N}][\p{L}\p{N}'’.\-/]*"
 TOKEN_RE2 = rf"[\p{{L}}\p{{N}}_]+|[^{SPACE_RE2}\p{{L}}\p{{N}}_]"
 
+#: White space as Python's patterns see it.
+GAP_RE2 = r"[\x09-\x0D\x1C-\x20\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_END = "([^A-Za-z0-9_]|$)"
+
+
+def _glued(text: str) -> str:
+    """Numbers next to the letter or unit behind them; a pattern keeps the sign that ends it."""
+    letters = rf"regexp_replace({text}, '([0-9]){GAP_RE2}*-{GAP_RE2}*([a-z]){_END}', '\1\2\3', 'g')"
+    return rf"regexp_replace({letters}, '([0-9]){GAP_RE2}+({X.UNITS}){_END}', '\1\2\3', 'g')"
+
+
+#: The normal forms of text whose composed and compatible forms are the same.
+_SOURCE = f"regexp_replace(nfc_normalize(text), '{X.DASHES}', '-', 'g')"
+CANONICAL = rf"trim(regexp_replace({_glued(f'lower({_SOURCE})')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_BETWEEN = rf"'(\p{{L}}){GAP_RE2}+(\p{{L}})', '\1\2', 'g'"
+# letters that stand alone end one match and begin the next, so gaps go in two passes
+_TECHNICAL = f"regexp_replace(regexp_replace(low, {_BETWEEN}), {_BETWEEN})"
+_MARKED = rf"regexp_replace(case when normal = upper(normal) or regexp_matches(normal, '[0-9/_+#]') then {_TECHNICAL} else low end, '{GAP_RE2}*([,;:/()\[\]{{}}]){GAP_RE2}*', '\1', 'g')"
+IDENTITY = f"""trim(regexp_replace({_MARKED}, '{GAP_RE2}+', ' ', 'g'))"""
+IDENTITY_FROM = f"(select *, {_glued('lower(normal)')} as low from (select doc_id, {_SOURCE} as normal from documents where text is not null))"
+
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

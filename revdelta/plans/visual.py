@@ -13,22 +13,13 @@ from revdelta.sources.revisions import revision_pages
 THRESHOLD = max(0.025, 0.18 - G.SENSITIVITY * 0.00145)
 
 
-def _pixels(spark, sf_dir):
-    """Each character other than a space is a grey pixel at (column, line) of its page."""
-    lines = revision_pages(spark, sf_dir).select(
-        "pair_id", "side", F.col("page_number").alias("idx"), F.posexplode(F.split("text", "\n")).alias("y", "words")
-    ).where("words != ''")
-    chars = lines.select("pair_id", "side", "idx", "y", F.posexplode(F.split("words", "")).alias("x", "c")).where("c not in (' ', '')")
-    grey = (F.ascii("c") % 200).alias("r")
-    return chars.select("pair_id", "side", "idx", "x", "y", grey, (F.ascii("c") % 200).alias("g"), (F.ascii("c") % 200).alias("b"))
-
-
-def _changed(spark, sf_dir):
-    return pixels.changed(pixels.paired(_pixels(spark, sf_dir)), THRESHOLD)
+def changed_mask(spark, sf_dir):
+    return rasters.mask_lines(_raster_pairs(spark, sf_dir), THRESHOLD, include_smoothing=True)
 
 
-def changed_mask(spark, sf_dir):
-    return _changed(spark, sf_dir).groupBy("pair_id", "idx", "y").agg(F.count("*").alias("n"), F.min("x").alias("first_x"), F.max("x").alias("last_x"))
+def smoothed_pixels(spark, sf_dir):
+    """Pixels over the threshold and those that anti-aliasing explains, for each page pair."""
+    return rasters.smoothing_counts(_raster_pairs(spark, sf_dir), THRESHOLD)
 
 
 def pixel_counts(spark, sf_dir):
@@ -38,18 +29,17 @@ def pixel_counts(spark, sf_dir):
 
 
 def pixel_direction(spark, sf_dir):
-    return _changed(spark, sf_dir).groupBy("direction").agg(F.count("*").alias("n"))
+    found = rasters.tint_sums(_raster_pairs(spark, sf_dir), THRESHOLD, include_smoothing=True)
+    return found.groupBy("direction").agg(F.sum("n").alias("n"))
 
 
 def overlay_pixels(spark, sf_dir):
-    sums = [F.sum(F.col(f"overlay_{c}").cast("long")).alias(f"sum_{c}") for c in "rgb"]
-    return _changed(spark, sf_dir).groupBy("pair_id", "idx", "direction").agg(*sums)
+    return rasters.tint_sums(_raster_pairs(spark, sf_dir), THRESHOLD, include_smoothing=True).drop("n")
 
 
 def translation_score(spark, sf_dir):
-    shifts = spark.createDataFrame([(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)], "dx int, dy int")
-    scores = pixels.shift_scores(_pixels(spark, sf_dir), shifts, 5, 2)
-    return scores.select("pair_id", "idx", "dx", "dy", F.round(F.col("score") * F.col("samples"), 3).alias("total"), "samples")
+    scores = rasters.ink_shift_totals(_raster_pairs(spark, sf_dir), 1, 5, 2)
+    return scores.withColumn("total", F.round("total", 3))
 
 
 def raster_pairs(pages, pairs):
@@ -214,7 +204,7 @@ def item_geometry(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    changed_mask, pixel_counts, pixel_direction, overlay_pixels, translation_score, visual_diff, overlay_layers, regions, overlay_png,
+    changed_mask, smoothed_pixels, pixel_counts, pixel_direction, overlay_pixels, translation_score, visual_diff, overlay_layers, regions, overlay_png,
     classify_regions, class_counts, regions_display, regions_topk, reading_order, merge_edges, regions_merged, regions_grown, render_size, item_geometry,
 )}
 
@@ -240,6 +230,33 @@ _LAYER = lambda i: (
     f"floor(case when not is_changed then 255 * (1 - {pixels.OPACITY}::double) + ar * {pixels.OPACITY}::double else 255 * (1 - alpha / 255) + "
     f"case direction when 'added' then {pixels.ADDED[i]} when 'removed' then {pixels.REMOVED[i]} else {pixels.MODIFIED[i]} end * (alpha / 255) end + 0.5)"
 )
+_SIZES = """
+sizes_c as (select pair_id, page_number as idx, max(len(l)) as h, greatest(1, max(list_max(list_transform(l, lambda t: length(t))))) as w
+  from (select *, string_split(text, chr(10)) as l from pages_rev) group by pair_id, page_number)"""
+#: Of pixels over the threshold: their neighbours on either side, the darkest and the lightest
+#: (the first of equals by column, then line), and whether these stand in flat areas of both.
+_SMOOTHING = """
+cand as (select chg.pair_id, chg.idx, x, y, w, h from chg join sizes_c using (pair_id, idx)),
+side as (select * from (values ('earlier'), ('newer')) t(side)),
+step as (select dx, dy from (select unnest([-1, 0, 1]) as dx) a, (select unnest([-1, 0, 1]) as dy) b where dx != 0 or dy != 0),
+own as (select c.*, s.side, coalesce(p.v, 255) as v from cand c cross join side s
+  left join px p on p.pair_id = c.pair_id and p.idx = c.idx and p.side = s.side and p.x = c.x and p.y = c.y),
+near as (select o.pair_id, o.idx, o.side, o.x, o.y, o.w, o.h, dx, dy, coalesce(p.v, 255) - o.v as gap from own o cross join step
+  left join px p on p.pair_id = o.pair_id and p.idx = o.idx and p.side = o.side and p.x = o.x + dx and p.y = o.y + dy
+  where o.x + dx between 0 and o.w - 1 and o.y + dy between 0 and o.h - 1),
+ends as (select pair_id, idx, side, x, y, w, h, min({'g': gap, 'dx': dx, 'dy': dy}) as low, min({'g': -gap, 'dx': dx, 'dy': dy}) as high
+  from near group by all having count(*) filter (gap = 0) + (count(*) < 8)::int <= 2 and min(gap) < 0 and max(gap) > 0),
+spots as (select distinct pair_id, idx, w, h, ex, ey from (select *, x + low.dx as ex, y + low.dy as ey from ends
+  union all select *, x + high.dx, y + high.dy from ends)),
+spot_v as (select c.*, s.side, coalesce(p.v, 255) as v from spots c cross join side s
+  left join px p on p.pair_id = c.pair_id and p.idx = c.idx and p.side = s.side and p.x = c.ex and p.y = c.ey),
+flat_one as (select o.pair_id, o.idx, o.ex, o.ey, o.side from spot_v o cross join step
+  left join px p on p.pair_id = o.pair_id and p.idx = o.idx and p.side = o.side and p.x = o.ex + dx and p.y = o.ey + dy
+  where o.ex + dx between 0 and o.w - 1 and o.ey + dy between 0 and o.h - 1
+  group by all having count(*) filter (coalesce(p.v, 255) = o.v) + (count(*) < 8)::int > 2),
+flat as (select pair_id, idx, ex, ey from flat_one group by all having count(*) = 2),
+smooth as (select distinct e.pair_id, e.idx, e.side, e.x, e.y from ends e join flat f on f.pair_id = e.pair_id and f.idx = e.idx
+  and (f.ex = e.x + low.dx and f.ey = e.y + low.dy or f.ex = e.x + high.dx and f.ey = e.y + high.dy))"""
 _BOXES = f"""
 boxes as (select pair_id, side, page_number as idx, r + 1 as id, {", ".join(f"{e} as {n}" for n, e in BOX.items())} from (
   select pair_id, side, page_number, unnest(range(len(l))) as r, unnest(l) as t from (select *, string_split(text, chr(10)) as l from pages_rev))
@@ -262,9 +279,7 @@ ORACLES = {
             {', '.join(f"coalesce(sum({_LAYER(i)}), 0)::bigint as {c}" for i, c in enumerate(("red", "green", "blue")))}
           from (select *, floor(strength * 255 + 0.5) as alpha from (select *, {pixels.DIRECTION} as direction, {pixels.STRENGTH} as strength, {pixels.DELTA} > 35215 * {THRESHOLD} * {THRESHOLD} as is_changed from canvas
             where x is not null)) right join sizes_c using (pair_id, idx, w, h) group by all)""",
-        _PIXELS, """
-sizes_c as (select pair_id, page_number as idx, max(len(l)) as h, greatest(1, max(list_max(list_transform(l, lambda t: length(t))))) as w
-  from (select *, string_split(text, chr(10)) as l from pages_rev) group by pair_id, page_number),
+        _PIXELS, _SIZES, """
 canvas as (
   select c.pair_id, c.idx, c.w, c.h, t.x, coalesce(a.v, 255) as ar, coalesce(a.v, 255) as ag, coalesce(a.v, 255) as ab, coalesce(b.v, 255) as br, coalesce(b.v, 255) as bg, coalesce(b.v, 255) as bb
   from sizes_c c join (select pair_id, idx, x + if(side = 'newer' and idx % 3 = 1, 1, 0) as x, y from px group by all) t on t.pair_id = c.pair_id and t.idx = c.idx and t.x < c.w
@@ -273,6 +288,13 @@ canvas as (
 )""", upto=sql.PAGES,
     ),
     "changed_mask": sql.over("select pair_id, idx, y, count(*) as n, min(x) as first_x, max(x) as last_x from chg group by all", _CHANGED, upto=sql.PAGES),
+    "smoothed_pixels": sql.over(
+        """select pair_id, idx, over, coalesce(e, 0) as smooth_earlier, coalesce(n, 0) as smooth_newer, coalesce(t, 0) as smooth
+        from (select pair_id, idx, count(*) as over from cand group by all) left join (
+          select pair_id, idx, count(*) filter (side = 'earlier') as e, count(*) filter (side = 'newer') as n, count(distinct (x, y)) as t
+          from smooth group by all) using (pair_id, idx)""",
+        _CHANGED, _SIZES, _SMOOTHING, upto=sql.PAGES,
+    ),
     "pixel_counts": sql.over(
         "select pair_id, idx, count(*) as changed_pixels, " + ", ".join(f"count(*) filter (direction = '{d}') as {d}_pixels" for d in ("added", "removed", "modified"))
         + " from chg group by all", _CHANGED, upto=sql.PAGES,
