@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -231,6 +232,29 @@ def test_url_rules_and_templates(spark):
     assert url_filters.judge(pages.limit(0), rules, F.col("good")).count() == 0
 
 
+def plain_apart(one, group):
+    """Whether a child's labels differ from the others' of its group; None if that can't be told."""
+    labelled, all_labelled = one[1], sum(c[1] for c in group)
+    rest = all_labelled - labelled
+    if not labelled or not rest:
+        return None
+    good, all_good = one[2], sum(c[2] for c in group)
+    rate = all_good / all_labelled
+    error = (rate * (1 - rate) * (1 / labelled + 1 / rest)) ** 0.5
+    return abs(good / labelled - (all_good - good) / rest) > url_filters.SPLIT_Z * error
+
+
+def plain_branches(group):
+    """Names of the segments of one node that stay out of the wildcard."""
+    kept = {s: c for s, c in group.items() if c[0] >= url_filters.MIN_PAGES and plain_apart(c, group.values())}
+    band = {s: min(int(math.asin((c[2] / c[1]) ** 0.5) * 2 / math.pi * url_filters.BANDS), url_filters.BANDS - 1) for s, c in kept.items()}
+    names = {}
+    for s, c in kept.items():
+        alike = plain_apart(c, [kept[o] for o in kept if band[o] == band[s]]) is False
+        names[s] = f"{{{band[s]}}}" if alike else s
+    return names
+
+
 def plain_templates(rows, depth):
     """(url -> template, purity) by the rules of the operator, over plain dictionaries."""
     shapes = Counter()
@@ -252,21 +276,11 @@ def plain_templates(rows, depth):
                 child = children.setdefault((host, template), {}).setdefault(parts[level], [0, 0, 0])
                 for i in range(3):
                     child[i] += sums[host, parts][i]
-        after = {}
-        for (host, parts), template in now.items():
-            if len(parts) <= level:
-                after[host, parts] = template
-                continue
-            group = children[host, template]
-            n, labelled, good = group[parts[level]]
-            everything, all_good = sum(c[1] for c in group.values()), sum(c[2] for c in group.values())
-            rest, kept = everything - labelled, False
-            if n >= url_filters.MIN_PAGES and labelled and rest:
-                rate = all_good / everything
-                error = (rate * (1 - rate) * (1 / labelled + 1 / rest)) ** 0.5
-                kept = abs(good / labelled - (all_good - good) / rest) > url_filters.SPLIT_Z * error
-            after[host, parts] = (*template, parts[level] if kept else "*")
-        now = after
+        names = {node: plain_branches(group) for node, group in children.items()}
+        now = {
+            (host, parts): (*template, names[host, template].get(parts[level], "*")) if len(parts) > level else template
+            for (host, parts), template in now.items()
+        }
     now = {k: (*t, "**") if len(k[1]) > depth else t for k, t in now.items()}
     prior = sum(c[2] for c in sums.values()) / sum(c[1] for c in sums.values())
     of = lambda keep: [sum(c[i] for k, c in sums.items() if keep(k)) for i in (1, 2)]
@@ -294,6 +308,25 @@ def test_url_templates_equal_plain_ones(spark):
         assert (r.template, r.verdict) == (template, "block" if purity < 0.5 else "allow") and abs(r.purity - purity) < 1e-9
 
 
+def test_similar_branches_merge_and_hot_keys_are_spread(spark, monkeypatch):
+    rng = random.Random(5)
+    rates = {"ads": 0.0, "promo": 0.0, "deals": 0.05, "news": 0.95, "docs": 0.9, "misc": 0.5, "forum": 0.45}
+    rows = [(f"http://a.org/{s}/{rng.randrange(10**6)}", rng.random() < rate) for s, rate in rates.items() for _ in range(60)]
+    rows += [("http://a.org/ads/same", False)] * 50 + [("http://b.org/one", None)] * 9 + [("http://b.org/two", True)]
+    rows += [("http://c.org/", False), ("http://c.org/x", None)]
+    frame = spark.createDataFrame(rows, "url string, good boolean")
+    want = plain_templates(rows, 3)
+    key = lambda r: (r.host, tuple(p for p in r.path.split("/") if p))
+    for few in (url_filters.HOT_ROWS, 2):
+        monkeypatch.setattr(url_filters, "HOT_ROWS", few)
+        found = url_filters.judge(frame, [], F.col("good"), depth=3).collect()
+        assert len(found) == len(rows)
+        assert all((r.template, round(r.purity, 9)) == (want[key(r)][0], round(want[key(r)][1], 9)) for r in found)
+        names = {r.path.split("/")[1]: r.template for r in found if r.host == "a.org"}
+        assert names["ads"] == names["promo"] != names["news"] and names["ads"].startswith("/{")
+        assert {r.verdict for r in found if "/ads/" in r.path} == {"block"} and {r.verdict for r in found if "/news/" in r.path} == {"allow"}
+
+
 def test_pages_that_show_prose(spark):
     prose = "<p>" + "some words here " * 30 + "</p>"
     pages = [prose, "<nav>" + prose + "</nav><p>short</p>", prose.replace("words", "###$$$"), prose.upper(), "<script>" + prose, "", None]
