@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the render and comparison policy.
@@ -18,6 +18,28 @@ GAP_X = "cast(greatest(6, floor(h * 9e-3 + 5e-1)) as int)"
 GAP_Y = "cast(greatest(2, floor(h * 25e-4 + 5e-1)) as int)"
 
 
+def threshold(sensitivity: float) -> float:
+    """The colour difference from which a pixel counts as changed."""
+    return max(0.025, 0.18 - sensitivity * 0.00145)
+
+
+def common_grid(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """The pixel grid on which both pages of a pair are drawn, and where each begins in it.
+
+    sizes: (keys, side, w, h) in points. The grid is that of a page as wide and as high as
+    the larger of both; pages stand in its middle. Offsets of a missing side are null.
+    """
+    own = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{side}_{c}")
+    sides = [own(side, c) for side in ("earlier", "newer") for c in "wh"]
+    both = sizes.groupBy(*keys).agg(F.max("w").alias("w"), F.max("h").alias("h"), *sides)
+    both = both.select("*", *[F.expr(e).alias(n) for n, e in (("width", RENDER_WIDTH), ("height", RENDER_HEIGHT), ("scale", USED_SCALE))])
+    offsets = [
+        center_offset(F.col(canvas), F.col(f"{side}_{c}"), F.col("scale")).alias(f"{side}_{axis}")
+        for side in ("earlier", "newer") for canvas, c, axis in (("width", "w", "x"), ("height", "h", "y"))
+    ]
+    return both.select(*keys, "width", "height", "scale", *offsets)
+
+
 def center_offset(canvas: Column, points: Column, scale: Column) -> Column:
     return (canvas - points * scale) / 2
 

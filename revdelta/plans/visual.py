@@ -10,7 +10,7 @@ from revdelta.operators import alignment, classify, pixels, rasters
 from revdelta.plans import sql
 from revdelta.sources.revisions import revision_pages
 
-THRESHOLD = max(0.025, 0.18 - G.SENSITIVITY * 0.00145)
+THRESHOLD = G.threshold(G.SENSITIVITY)
 
 
 def changed_mask(spark, sf_dir):
@@ -186,6 +186,11 @@ def render_size(spark, sf_dir):
     return _sizes(spark, sf_dir).select("pair_id", "side", "page_number", *[F.expr(e).alias(n) for n, e in GEOMETRY.items()])
 
 
+def page_grids(spark, sf_dir):
+    """The grid of both pages at one place, whatever their sizes."""
+    return G.common_grid(_sizes(spark, sf_dir).withColumnRenamed("page_number", "idx"), ["pair_id", "idx"])
+
+
 def item_geometry(spark, sf_dir):
     """Quads and bounds of one item a page, turned by its page number, under the page's flip."""
     d = F.col("page_number") * 0.1
@@ -205,7 +210,8 @@ def item_geometry(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     changed_mask, smoothed_pixels, pixel_counts, pixel_direction, overlay_pixels, translation_score, visual_diff, overlay_layers, regions, overlay_png,
-    classify_regions, class_counts, regions_display, regions_topk, reading_order, merge_edges, regions_merged, regions_grown, render_size, item_geometry,
+    classify_regions, class_counts, regions_display, regions_topk, reading_order, merge_edges, regions_merged, regions_grown, render_size, page_grids,
+    item_geometry,
 )}
 
 _PIXELS = """
@@ -346,6 +352,16 @@ canvas as (
         f"select pair_id, side, page_number, {', '.join(f'{e} as {n}' for n, e in GEOMETRY.items())} from"
         f" (select *, {', '.join(f'{e} as {n}' for n, e in SIZES.items())} from pages_rev)", upto=sql.PAGES,
     ),
+    "page_grids": sql.over(
+        f"""select pair_id, idx, {G.RENDER_WIDTH} as width, {G.RENDER_HEIGHT} as height, {G.USED_SCALE} as scale,
+          ({G.RENDER_WIDTH} - aw * {G.USED_SCALE}) / 2 as earlier_x, ({G.RENDER_HEIGHT} - ah * {G.USED_SCALE}) / 2 as earlier_y,
+          ({G.RENDER_WIDTH} - bw * {G.USED_SCALE}) / 2 as newer_x, ({G.RENDER_HEIGHT} - bh * {G.USED_SCALE}) / 2 as newer_y
+        from (select coalesce(a.pair_id, b.pair_id) as pair_id, coalesce(a.page_number, b.page_number) as idx, a.w as aw, a.h as ah, b.w as bw, b.h as bh,
+            greatest(a.w, b.w) as w, greatest(a.h, b.h) as h
+          from (select * from sized where side = 'earlier') a full join (select * from sized where side = 'newer') b
+          on a.pair_id = b.pair_id and a.page_number = b.page_number)""",
+        f"sized as (select pair_id, side, page_number, {', '.join(f'{e} as {n}' for n, e in SIZES.items())} from pages_rev)", upto=sql.PAGES,
+    ),
     "item_geometry": sql.over(
         """select pair_id, side, page_number, 10.0::double as font_size,
           round(least(x0, x1, x2, x3), 6) as box_x, round(least(y0, y1, y2, y3), 6) as box_y,
