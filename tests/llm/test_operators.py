@@ -438,6 +438,51 @@ def test_grades_order_texts(spark):
     assert grader.grade(frame.limit(3), none).count() == 3
 
 
+def area_under_curve(scores, wanted):
+    """The share of (wanted, other) pairs that the scores put in order, ties half."""
+    ranks = {}
+    for place, score in enumerate(sorted(scores)):
+        ranks.setdefault(score, []).append(place + 1)
+    total = sum(np.mean(ranks[s]) for s, w in zip(scores, wanted) if w)
+    n, rest = sum(wanted), len(wanted) - sum(wanted)
+    return (total - n * (n + 1) / 2) / (n * rest)
+
+
+def test_grades_of_held_out_documents(spark):
+    """Fitted on odd ids of the given ratings, judged on even ones; figures are in the README."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    ratings = grader.ratings_of(spark.read.parquet(f"{folder}/labels.parquet")).toDF("doc_id", "grade")
+    model = grader.fit(docs, ratings.where("doc_id % 2 = 1"))
+    held = docs.join(ratings.where("doc_id % 2 = 0"), "doc_id")
+    found = grader.grade(held, model).withColumn("kept", grader.kept()).select("grade", "expected_grade", "tails", "kept").collect()
+    good = area_under_curve([r.expected_grade for r in found], [r.grade == 2 for r in found])
+    clean = area_under_curve([r.tails[0] for r in found], [r.grade > 0 for r in found])
+    right, always = np.mean([r.kept == (r.grade == 2) for r in found]), np.mean([r.grade == 2 for r in found])
+    print(f"held out {len(found)}: good {good:.3f}, not toxic {clean:.3f}, right {right:.3f} against {always:.3f}")
+    assert len(found) > 1000 and good > 0.7 and clean > 0.6 and right > always
+
+
+def test_grades_equal_plain_sums_and_take_odd_rows(spark, docs):
+    rng = np.random.default_rng(3)
+    model = grader.Model(rng.normal(size=grader.BUCKETS), np.array([-0.5, 0.25, 2.0]))
+    single = model.weights.astype(np.float32)
+    clashing = docs.withColumn("tails", F.lit("own")).withColumn("raw_text", F.lit(1))
+    found = grader.grade(clashing, model).collect()
+    assert len(found) == docs.count() and found[0].raw_text == 1
+    for r in found:
+        score = float(single[grader.features((r.text or "").encode())].sum())
+        want = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert np.allclose(r.tails, want, atol=1e-5) and abs(r.expected_grade - sum(r.tails)) < 1e-9
+    # repeated and null ratings: the smallest grade of an id counts, rows without id or grade do not
+    once = spark.createDataFrame([(i, i % 3) for i in range(12)], "doc_id long, grade int")
+    odd = once.unionByName(once.withColumn("grade", F.col("grade") + 1)).unionByName(
+        spark.createDataFrame([(None, 0), (5, None)], "doc_id long, grade int")
+    )
+    a, b = grader.fit(docs, once), grader.fit(docs.drop_duplicates(), odd)
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     vectors = rng.normal(size=(700, 16)).round(3)
