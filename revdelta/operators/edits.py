@@ -5,6 +5,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ from revdelta.functions import text as X
 LEAST_WORK, MOST_WORK, WORK_PER_TOKEN = 250_000, 4_000_000, 240
 
 
+#: Edits from which a level's diagonals are followed together rather than one by one, and
+#: how few of them that still match are followed one by one again.
+WIDE, FEW = 64, 8
+
+
 def shortest_script(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]] | None:
     """The common tokens, as index pairs, of a shortest edit script; None beyond the work limit.
 
@@ -23,15 +29,29 @@ def shortest_script(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]
     """
     n, m = len(a), len(b)
     limit = max(LEAST_WORK, min(MOST_WORK, (n + m) * WORK_PER_TOKEN))
+    ids: dict[str, int] = {}
+    # tokens as numbers; the ends differ from everything, so no match runs over them
+    one = [*(ids.setdefault(t, len(ids)) for t in a), -1]
+    two = [*(ids.setdefault(t, len(ids)) for t in b), -2]
+    arrays = np.array(one), np.array(two)
     # a level holds how far each of its diagonals, d + 1 of them, reached
-    levels: list[array] = []
+    levels: list[array | np.ndarray] = []
     last, work = array("i"), 0
     for d in range(n + m + 1):
-        reach = array("i", bytes(4 * (d + 1)))
-        for at in range(d + 1):
-            work += 1
+        if d >= WIDE:
+            reach, costs = _together(np.asarray(last), d, one, two, *arrays)
+            ends = np.flatnonzero((reach >= n) & (reach - (2 * np.arange(d + 1) - d) >= m))
+            at = int(ends[0]) if len(ends) else d
+            work += int(costs[: at + 1].sum())
             if work > limit:
                 return None
+            if len(ends):
+                return _common(levels, n, m, d, at)
+            levels.append(reach)
+            last = reach
+            continue
+        reach = array("i", bytes(4 * (d + 1)))
+        for at in range(d + 1):
             # diagonal k = 2 * at - d comes from k + 1 (an insertion) or k - 1 of the last level
             if not d:
                 i = 0
@@ -39,11 +59,13 @@ def shortest_script(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]
                 i = last[at]
             else:
                 i = last[at - 1] + 1
-            j = i - (2 * at - d)
-            while i < n and j < m and a[i] == b[j]:
-                i, j, work = i + 1, j + 1, work + 1
-                if work > limit:
-                    return None
+            start, j = i, i - (2 * at - d)
+            if i < n and j < m:
+                while one[i] == two[j]:
+                    i, j = i + 1, j + 1
+            work += 1 + i - start
+            if work > limit:
+                return None
             reach[at] = i
             if i >= n and j >= m:
                 return _common(levels, n, m, d, at)
@@ -52,6 +74,29 @@ def shortest_script(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]
     return None
 
 
+def _together(
+    last: np.ndarray, d: int, one: list[int], two: list[int], one_at: np.ndarray, two_at: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(how far the diagonals of level d reach, the work of each), from the level before."""
+    n, m = len(one) - 1, len(two) - 1
+    i = np.empty(d + 1, np.int32)
+    i[0], i[d] = last[0], last[d - 1] + 1
+    # the further of an insertion and a removal
+    i[1:d] = np.maximum(last[1:], last[:-1] + 1)
+    start, j = i.copy(), i - (2 * np.arange(d + 1, dtype=np.int32) - d)
+    live = np.flatnonzero(one_at[np.minimum(i, n)] == two_at[np.minimum(j, m)])
+    while len(live) > FEW:
+        i[live] += 1
+        j[live] += 1
+        live = live[one_at[np.minimum(i[live], n)] == two_at[np.minimum(j[live], m)]]
+    for at in live.tolist():
+        x, y = int(i[at]), int(j[at])
+        while one[x] == two[y]:
+            x, y = x + 1, y + 1
+        i[at] = x
+    return i, 1 + i - start
+
+
 def _common(levels: list[array], i: int, j: int, d: int, at: int) -> list[tuple[int, int]]:
     """Follow the search back from the end and collect the diagonals it went down."""
     pairs: list[tuple[int, int]] = []

@@ -1,5 +1,7 @@
 """Word differences and lines."""
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -79,3 +81,23 @@ def test_equal_lines_pair_with_the_nearest(spark):
     pages = spark.createDataFrame([("p", 1, 1, 1)], "pair_id string, idx int, earlier_page int, newer_page int")
     matched = lines.match(lines.text_lines(frame, 600.0), pages, 600.0, 800.0).where("kind = 'same'").collect()
     assert sorted((r.a_y, r.b_y) for r in matched) == [(10.0, 12.0), (300.0, 300.0)]
+
+
+def test_diagonals_followed_together_give_the_same_script(monkeypatch):
+    rng = random.Random(4)
+    for case in range(250):
+        a = [rng.choice("abcdefgh"[: 1 + case % 8]) for _ in range(rng.randrange(90))]
+        b = [t for t in a if rng.random() > 0.2] if case % 3 else [rng.choice("abcxyz") for _ in range(rng.randrange(90))]
+        b[len(b) // 2 : len(b) // 2] = [rng.choice("abcdefgh") for _ in range(rng.randrange(9))]
+        for least, most, each in ((250_000, 4_000_000, 240), (rng.randrange(1, 900), 1, 0)):
+            monkeypatch.setattr(edits, "LEAST_WORK", least)
+            monkeypatch.setattr(edits, "MOST_WORK", most)
+            monkeypatch.setattr(edits, "WORK_PER_TOKEN", each)
+            found = []
+            for wide, few in ((10**9, 8), (1, 0), (1, 3), (20, 8)):
+                monkeypatch.setattr(edits, "WIDE", wide)
+                monkeypatch.setattr(edits, "FEW", few)
+                found.append(edits.shortest_script(a, b))
+            assert found[1:] == found[:1] * 3
+            if found[0] is not None:
+                assert all(a[i] == b[j] for i, j in found[0]) and found[0] == sorted(set(found[0]))
