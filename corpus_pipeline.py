@@ -58,12 +58,20 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and secrets are masked by their kind; null texts stay null."""
+    """Personal data and secrets are masked by their kind; null texts stay null.
+
+    Every row stays, repeated ones too; columns beyond COLUMNS are dropped; an empty table
+    stays empty.
+    """
     return pii.mask(_documents(spark, docs)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left becomes training sequences; an empty or null text is its end id alone."""
+    """What is left becomes training sequences; an empty or null text is its end id alone.
+
+    Rows that repeat an id are packed each for itself, as are rows with a null id; an empty
+    table gives no pieces.
+    """
     return packing.pack(_documents(spark, docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
