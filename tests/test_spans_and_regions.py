@@ -111,3 +111,35 @@ def test_components_by_key(spark):
     want = {("a", 1): 1, ("a", 2): 1, ("a", 3): 1, ("b", 2): 2, ("b", 9): 2, ("a", 7): 7, ("a", 8): 7} | {("c", i): 0 for i in range(51)}
     assert {(r.k, r.node): r.component for r in found} == want
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, components.FEW])
+def test_components_of_structs_by_rounds_and_by_one_task(spark, monkeypatch, few):
+    """Long chains, hubs, loops and repeats of keys; both ways agree."""
+    rng = random.Random(7)
+    edges = [(k, rng.randrange(90), rng.randrange(90)) for k in ("a", None) for _ in range(40)] + [("z", i, i + 1) for i in range(100, 130)] * 2
+    node = "named_struct('doc', cast({0} div 10 as bigint), 'at', if({0} % 10 = 9, null, cast({0} % 10 as int)))"
+    frame = spark.createDataFrame(edges, "k string, u int, v int").selectExpr("coalesce(k, 'none') as k", f"{node.format('u')} as u", f"{node.format('v')} as v")
+    monkeypatch.setattr(components, "FEW", few)
+    found = {(r.k, *r.node): (r.k, *r.component) for r in components.components(frame, ["k"]).collect()}
+    order = lambda n: tuple((x is not None, x) for x in n)
+    want = {}
+    for k, u, v in ((k or "none", *((x // 10, None if x % 10 == 9 else x % 10) for x in e)) for k, *e in edges):
+        if u != v:
+            one, two = (want.setdefault((k, *n), {(k, *n)}) for n in (u, v))
+            for n in two if one is not two else ():
+                want[n] = one
+            one |= two
+    assert found == {n: min(group, key=order) for n, group in want.items()}
+
+
+def test_few_edges_take_few_tasks(spark):
+    """A chain's rounds are not worth their joins where it is short."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long").repartition(3)
+    context = spark.sparkContext
+    context.setJobGroup("few", "components")
+    assert components.components(edges).where("component = 0").count() == 301
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(s.numTasks for s in stages if s is not None) < 60
