@@ -26,6 +26,8 @@ unless `within` is set. Rows with a null id take no part. An empty table gives n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -596,21 +598,23 @@ def find(
 def remove(text: Column, spans: Column) -> Column:
     """text without the (start, end) spans, and without lines that they empty."""
 
-    @F.pandas_udf("string")
-    def without(texts, all_spans):
-        out = []
-        for t, spans in zip(texts, all_spans):
-            kept, at = [], 0
-            for start, end in sorted((s["start"], s["end"]) for s in spans):
-                kept.append(t[at:start])
-                at = max(at, end)
-                if (start == 0 or t[start - 1] == "\n") and t[at : at + 1] == "\n":
-                    at += 1
-            whole = "".join([*kept, t[at:]])
-            out.append(whole.removesuffix("\n") if at == len(t) else whole)
-        return type(texts)(out)
-
-    return without(text, spans)
+    def cut(t: str, places: list[dict]) -> str:
+        kept, at = [], 0
+        for start, end in sorted((s["start"], s["end"]) for s in places):
+            kept.append(t[at:start])
+            at = max(at, end)
+            if (start == 0 or t[start - 1] == "\n") and t[at : at + 1] == "\n":
+                at += 1
+        whole = "".join([*kept, t[at:]])
+        return whole.removesuffix("\n") if at == len(t) else whole
+
+    def without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, all_spans in batches:
+            yield pa.array(map(cut, texts.to_pylist(), all_spans.to_pylist()), pa.string())
+        give_back()
+
+    # else a filter on the result runs the function once more, in a second worker for each core
+    return F.arrow_udf("string")(without).asNondeterministic()(text, spans)
 
 
 def dedup(

@@ -69,5 +69,17 @@ def test_stages_take_odd_rows(spark, tmp_path, name):
     assert told == want
 
 
+def test_repeats_cuts_a_text_once(spark):
+    """A function that runs twice in a task needs two workers for each core, which executors keep."""
+    rows = [(i, prose(i) + "\n" + prose(50, 60), "en", "s", 9) for i in range(1, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    with scratch(spark):
+        found = corpus_pipeline.repeats(spark, docs, "")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        left = {r.doc_id: (r.text, r.n_chars) for r in found.collect()}
+    assert plan.count("EvalPython") == 1
+    assert left == {i: (t, len(t)) for i, t in ((i, rows[0][1] if i == 1 else prose(i)) for i in range(1, 5))}
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n.split("_")[0][2:]) for n in catalog.queries()) == list(range(1, 14))
