@@ -86,6 +86,17 @@ def _probes(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array_compact(F.array(*exact, *ball))).alias("p")).select("fp", "p.*")
 
 
+def _hits(fps: DataFrame) -> DataFrame:
+    """(half, fp, exact, pivot): the probes that meet others, and their half's smallest fingerprint.
+
+    Spark sizes probes like the fingerprints that they come from, some 30 times too low, and
+    would broadcast them; so the join is a merge, whatever it expects.
+    """
+    probes = _probes(fps)
+    buckets = probes.where("exact").groupBy("half").agg(F.min("fp").alias("pivot"), F.count("*").alias("n"))
+    return probes.join(buckets.hint("merge"), "half").where("n > 1 or fp != pivot").select("half", "fp", "exact", "pivot")
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v) pairs of distinct fingerprints that connect all that the radius connects.
 
@@ -93,10 +104,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if not 0 <= radius <= 3:
         raise ValueError("two halves with balls of radius 1 reach at most 3 bits")
-    probes = _probes(fps)
-    buckets = probes.where("exact").groupBy("half").agg(F.min("fp").alias("pivot"), F.count("*").alias("n"))
     # what probes find: nearly nothing but near copies, as a half has 2^32 values
-    hits = stored(probes.join(buckets, "half").where("n > 1 or fp != pivot").select("half", "fp", "exact", "pivot"))
+    hits = stored(_hits(fps))
     stars = hits.where((F.col("fp") != F.col("pivot")) & (_apart("fp", "pivot") <= radius))
     stars = stars.select(F.col("pivot").alias("u"), F.col("fp").alias("v"))
     labels = stored(components(stars))

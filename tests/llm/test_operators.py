@@ -110,6 +110,15 @@ def plain_fingerprint(text):
     return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
 
 
+def test_probes_are_not_broadcast(spark):
+    """Spark takes them to be as small as the fingerprints that they are made of."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp")).distinct()
+    found = simhash._hits(fps)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    found.collect()
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_groups_equal_all_pairs(spark, docs, rows):
     rng = random.Random(3)
     base = [w for t in random_texts(4, 9) for w in t.split()]
