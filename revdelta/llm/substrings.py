@@ -394,7 +394,8 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     rows = sets.select("p", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = rows.groupBy("s").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("p").orderBy("df", "s"))
-    ranked = rows.join(counts, "s").withColumn("at", rank)
+    # a merge: Spark takes the rows for as small as the sets that they come from
+    ranked = rows.join(counts.hint("merge"), "s").withColumn("at", rank)
     prefix = ranked.where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity) + 1) & (F.col("df") > 1))
     ahead = Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     return prefix.select("s", "p", "n", "at", F.collect_list(F.when(F.col("at") <= AHEAD, F.col("s"))).over(ahead).alias("before"))
@@ -505,10 +506,11 @@ def _with_cuts(texts: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def _salted(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     """Join on keys of which one may hold a large share of `many`: its rows are dealt to
-    SALTS parts, each of which gets a copy of `few`, where a key has few rows."""
+    SALTS parts, each of which gets a copy of `few`, where a key has few rows. Spark takes the
+    copies for as small as `few` and would broadcast them; so the join is a merge."""
     salt = F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS)).cast("int")
     copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.withColumn("salt", salt).join(copies, [*keys, "salt"]).drop("salt")
+    return many.withColumn("salt", salt).join(copies.hint("merge"), [*keys, "salt"]).drop("salt")
 
 
 def _asked(texts: DataFrame, cuts: DataFrame, asked: DataFrame) -> DataFrame:

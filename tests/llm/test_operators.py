@@ -407,6 +407,15 @@ def test_every_place_of_a_shared_passage_is_found(spark):
     assert left[1] == " ".join([*piece[3:7], "end"]).split() and left[3] == " ".join(piece[9:12]).split()
 
 
+def test_copies_for_dealt_keys_are_not_broadcast(spark):
+    """Spark takes SALTS copies of a table to be as small as one."""
+    many = spark.range(100).selectExpr("id as doc", "id as row", "id % 7 as k")
+    few = spark.range(7).selectExpr("id as k", "id * 2 as v")
+    met = substrings._salted(many, few, ["k"])
+    assert "BroadcastExchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc, r.v) for r in met.collect()) == [(i, 2 * (i % 7)) for i in range(100)]
+
+
 def test_similar_families_are_found_whole(spark):
     rng = random.Random(8)
     base = paragraph(11, 70).split()
